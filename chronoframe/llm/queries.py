@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from chronoframe.llm import pii, secrets
+from chronoframe.llm import bpe, packing, pii, secrets, wavelet
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_secrets": secrets.op2_secrets,
+    "op8_bpe": bpe.op8_bpe,
+    "op9_packing": packing.op9_packing,
+    "op10_wavelet": wavelet.op10_wavelet,
 }
 ORACLES = {
     "op1_pii": pii.oracle(),

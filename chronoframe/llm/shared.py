@@ -29,3 +29,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder: computed once, and read again after a loss."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def make_dir(spark: SparkSession, folder: str) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
