@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from chronoframe.llm import bpe, packing, pii, secrets, wavelet
+from chronoframe.llm import bpe, dartminhash, packing, pii, secrets, toxicity, wavelet
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_secrets": secrets.op2_secrets,
+    "op5_minhash": dartminhash.op5_minhash,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe": bpe.op8_bpe,
     "op9_packing": packing.op9_packing,
     "op10_wavelet": wavelet.op10_wavelet,
