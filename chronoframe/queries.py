@@ -7,14 +7,963 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoframe.functions import embeddings, text, values
+from chronoframe.functions import vectors as V
+from chronoframe.operators import (
+    auth,
+    conflict,
+    graph,
+    lifecycle,
+    memory,
+    reconcile,
+    temporal,
+    ttl,
+    vector_search,
+)
+from chronoframe.plans import query as Q
+from chronoframe.plans.filters import Contains, Eq, Exists, Gt, Gte, Lt, Lte, Matches, Ne, Not, Or
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def registered(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as versions of users: each event is the next version of its user."""
+    return table(spark, sf_dir, "events").select(
+        F.lit("user").alias("ns"), F.col("user_id").alias("key"), F.col("event_id").alias("seq"),
+        "ts", "event_type", "value", "props",
+    )
+
+
+LOG = "(SELECT 'user' AS ns, user_id AS key, event_id AS seq, ts, event_type, value, props FROM events)"
+LATEST = f"(SELECT * FROM {LOG} QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) = 1)"
+CUT = "TIMESTAMP '2024-01-15 00:00:00'"
+
+
+def cut_time() -> object:
+    return F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest state of every user in the event log."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("user_id").agg(
-        F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"),
-        F.max_by("value", F.struct("ts", "event_id")).alias("value"),
+    """Where users stood in mid-January, by the kind of their last event."""
+    now = temporal.as_of(event_log(spark, sf_dir), cut_time())
+    out = Q.Query().where(Gt("value", 10)).agg(
+        Q.group_by("event_type", users=Q.count(), total=Q.sum_of("value"))
+    )
+    return out.run(now).select("event_type", "users", F.round("total", 4).alias("total"))
+
+
+@registered(
+    f"""SELECT event_type, count(*) AS users, round(sum(value), 4) AS total FROM (
+    SELECT * FROM {LOG} WHERE ts <= {CUT}
+    QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) = 1)
+    WHERE value > 10 GROUP BY event_type"""
+)
+def as_of_summary(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+# ---- filters ---------------------------------------------------------------------------
+
+
+@registered("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'")
+def f_eq(spark, sf_dir):
+    q = Q.Query(key="c_custkey").where(Eq("c_mktsegment", "BUILDING")).project("c_mktsegment")
+    return q.run(table(spark, sf_dir, "customer"))
+
+
+@registered(
+    "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT coalesce(c_mktsegment = 'BUILDING', false)"
+)
+def f_ne(spark, sf_dir):
+    q = Q.Query(key="c_custkey").where(Ne("c_mktsegment", "BUILDING")).project("c_mktsegment")
+    return q.run(table(spark, sf_dir, "customer"))
+
+
+@registered(
+    """SELECT p_partkey, p_size, p_retailprice FROM part
+    WHERE p_size > 10 AND p_size <= 30 AND p_retailprice >= 950 AND p_retailprice < 1500"""
+)
+def f_range(spark, sf_dir):
+    q = Q.Query(key="p_partkey").where(
+        Gt("p_size", 10), Lte("p_size", 30), Gte("p_retailprice", 950), Lt("p_retailprice", 1500)
+    )
+    return q.project("p_size", "p_retailprice").run(table(spark, sf_dir, "part"))
+
+
+@registered("SELECT p_partkey, p_type FROM part WHERE contains(p_type, 'STEEL')")
+def f_contains(spark, sf_dir):
+    q = Q.Query(key="p_partkey").where(Contains("p_type", "STEEL")).project("p_type")
+    return q.run(table(spark, sf_dir, "part"))
+
+
+@registered("SELECT p_partkey, p_brand FROM part WHERE regexp_matches(p_brand, '#[1-3][24]')")
+def f_regex(spark, sf_dir):
+    q = Q.Query(key="p_partkey").where(Matches("p_brand", "#[1-3][24]")).project("p_brand")
+    return q.run(table(spark, sf_dir, "part"))
+
+
+@registered("SELECT p_partkey FROM part WHERE false")
+def f_bad_regex(spark, sf_dir):
+    q = Q.Query(key="p_partkey").where(Matches("p_brand", "[invalid"))
+    return q.run(table(spark, sf_dir, "part")).select("p_partkey")
+
+
+@registered(
+    """SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders
+    WHERE NOT (o_orderstatus = 'F' OR o_totalprice > 100000)"""
+)
+def f_not_or(spark, sf_dir):
+    q = Q.Query(key="o_orderkey").where(Not(Or([Eq("o_orderstatus", "F"), Gt("o_totalprice", 100000)])))
+    return q.project("o_orderstatus", "o_totalprice").run(table(spark, sf_dir, "orders"))
+
+
+@registered("SELECT event_id, props FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50")
+def f_nested_json(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("doc", F.try_parse_json("props"))
+    q = Q.Query(key="event_id", value="doc").where(Exists("k"), Gte("k", 50))
+    return q.run(events).select("event_id", "props")
+
+
+@registered("SELECT p_partkey, p_size FROM part WHERE p_size >= 40 AND p_brand != 'Brand#11'")
+def f_text(spark, sf_dir):
+    q = Q.Query(key="p_partkey").where("p_size >= 40", "p_brand != 'Brand#11'").project("p_size")
+    return q.run(table(spark, sf_dir, "part"))
+
+
+@registered("SELECT p_partkey, p_size FROM part WHERE p_size < 5 AND contains(p_type, 'BRASS')")
+def f_dict(spark, sf_dir):
+    q = Q.Query(key="p_partkey").where(
+        {"field": "p_size", "op": "lt", "value": 5},
+        {"field": "p_type", "op": "contains", "value": "BRASS"},
+    )
+    return q.project("p_size").run(table(spark, sf_dir, "part"))
+
+
+@registered("SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0")
+def f_metadata(spark, sf_dir):
+    return Q.Query(key="doc_id").where({"quality": 1, "toxic": 0}).run(
+        table(spark, sf_dir, "labels")
+    ).select("doc_id")
+
+
+# ---- projection, sort, page -------------------------------------------------------------
+
+
+@registered(
+    """SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders
+    WHERE o_totalprice > 1000 AND o_orderstatus = 'O'
+    ORDER BY o_totalprice DESC, o_orderkey LIMIT 25"""
+)
+def q_filter_sort_limit(spark, sf_dir):
+    q = Q.Query(key="o_orderkey").where(Gt("o_totalprice", 1000), Eq("o_orderstatus", "O"))
+    q = q.project("o_totalprice", "o_orderstatus").sort("o_totalprice", False).limit(25)
+    return q.run(table(spark, sf_dir, "orders"))
+
+
+@registered(
+    """SELECT o_orderkey, o_orderdate, o_orderpriority FROM orders
+    ORDER BY o_orderpriority, o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40"""
+)
+def q_offset(spark, sf_dir):
+    q = Q.Query(key="o_orderkey").project("o_orderdate", "o_orderpriority")
+    q = q.sort("o_orderpriority").sort("o_orderdate", False).offset(40).limit(20)
+    return q.run(table(spark, sf_dir, "orders"))
+
+
+@registered(
+    """SELECT count(*) AS n, round(sum(o_totalprice), 4) AS total FROM (
+    SELECT * FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 100)"""
+)
+def q_topn_then_agg(spark, sf_dir):
+    q = Q.Query(key="o_orderkey").where(Eq("o_orderstatus", "F")).sort("o_totalprice", False).limit(100)
+    page = q.page(table(spark, sf_dir, "orders"))
+    return page.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 4).alias("total"))
+
+
+@registered("SELECT count(*) AS total_count FROM orders WHERE o_totalprice > 50000")
+def q_total_count(spark, sf_dir):
+    q = Q.Query(key="o_orderkey").where(Gt("o_totalprice", 50000))
+    return q.agg(Q.count()).run(table(spark, sf_dir, "orders")).withColumnRenamed("value", "total_count")
+
+
+# ---- aggregation ------------------------------------------------------------------------
+
+
+def _aggregate(spark, sf_dir, a: Q.Aggregate) -> DataFrame:
+    return Q.Query().agg(a).run(table(spark, sf_dir, "lineitem"))
+
+
+@registered("SELECT count(*) AS value FROM lineitem")
+def a_count(spark, sf_dir):
+    return _aggregate(spark, sf_dir, Q.count())
+
+
+@registered("SELECT round(coalesce(sum(l_quantity), 0), 2) AS value FROM lineitem")
+def a_sum(spark, sf_dir):
+    return _aggregate(spark, sf_dir, Q.sum_of("l_quantity")).select(F.round("value", 2).alias("value"))
+
+
+@registered("SELECT round(avg(l_extendedprice), 4) AS value FROM lineitem")
+def a_avg(spark, sf_dir):
+    return _aggregate(spark, sf_dir, Q.avg_of("l_extendedprice")).select(F.round("value", 4).alias("value"))
+
+
+@registered("SELECT min(l_shipdate) AS value FROM lineitem")
+def a_min(spark, sf_dir):
+    return _aggregate(spark, sf_dir, Q.min_of("l_shipdate"))
+
+
+@registered("SELECT max(l_extendedprice) AS value FROM lineitem")
+def a_max(spark, sf_dir):
+    return _aggregate(spark, sf_dir, Q.max_of("l_extendedprice"))
+
+
+@registered("SELECT DISTINCT l_returnflag AS value FROM lineitem")
+def a_distinct(spark, sf_dir):
+    return _aggregate(spark, sf_dir, Q.distinct("l_returnflag"))
+
+
+@registered(
+    """SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity,
+    round(avg(l_discount), 6) AS discount FROM lineitem GROUP BY l_returnflag"""
+)
+def a_group_by(spark, sf_dir):
+    parts = {"n": Q.count(), "quantity": Q.sum_of("l_quantity"), "discount": Q.avg_of("l_discount")}
+    out = _aggregate(spark, sf_dir, Q.group_by("l_returnflag", **parts))
+    return out.withColumns({"quantity": F.round("quantity", 2), "discount": F.round("discount", 6)})
+
+
+@registered(
+    """SELECT l_returnflag, l_linestatus, count(*) AS n, max(l_tax) AS tax
+    FROM lineitem GROUP BY l_returnflag, l_linestatus"""
+)
+def a_group_by_nested(spark, sf_dir):
+    inner = Q.group_by("l_linestatus", n=Q.count(), tax=Q.max_of("l_tax"))
+    return _aggregate(spark, sf_dir, Q.group_by("l_returnflag", by_status=inner))
+
+
+# ---- versions and time ------------------------------------------------------------------
+
+
+@registered(f"SELECT key, seq, ts, event_type, value FROM {LATEST}")
+def t_latest(spark, sf_dir):
+    return temporal.latest(event_log(spark, sf_dir)).select("key", "seq", "ts", "event_type", "value")
+
+
+@registered(
+    f"""SELECT key, seq, ts, event_type, value FROM {LOG} WHERE ts <= {CUT}
+    QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) = 1"""
+)
+def t_as_of(spark, sf_dir):
+    now = temporal.as_of(event_log(spark, sf_dir), cut_time())
+    return now.select("key", "seq", "ts", "event_type", "value")
+
+
+@registered(
+    f"""SELECT q.o_orderkey, q.key, q.at, coalesce(v.seq, -1) AS seq, v.event_type FROM
+    (SELECT o_orderkey, o_custkey AS key, TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey % 30 AS INT)) AS at FROM orders) q
+    ASOF LEFT JOIN (SELECT key, event_type, seq, ts FROM {LOG}
+      QUALIFY row_number() OVER (PARTITION BY key, ts ORDER BY seq DESC) = 1) v
+    ON q.key = v.key AND q.at >= v.ts"""
+)
+def t_as_of_join(spark, sf_dir):
+    asked = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_custkey").alias("key"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval((F.col("o_orderkey") % 30).cast("int"))).alias("at"),
+    )
+    out = temporal.as_of_join(asked, event_log(spark, sf_dir), ("key",))
+    return out.select("o_orderkey", "key", "at", F.coalesce("version.seq", F.lit(-1)).alias("seq"), "version.event_type")
+
+
+@registered(f"SELECT key, seq, ts, event_type FROM {LOG} WHERE key = 7 ORDER BY ts, seq")
+def t_history(spark, sf_dir):
+    return temporal.history(event_log(spark, sf_dir), key=7).select("key", "seq", "ts", "event_type")
+
+
+@registered(
+    f"""SELECT key, seq, ts, value FROM {LOG} WHERE value > 20
+    AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'
+    QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) <= 2"""
+)
+def t_history_query(spark, sf_dir):
+    at = lambda s: F.lit(s).cast("timestamp_ntz")
+    h = Q.HistoryQuery(Q.Query().where(Gt("value", 20)), at("2024-01-05"), at("2024-01-20"), 2)
+    return h.run(event_log(spark, sf_dir)).select("key", "seq", "ts", "value")
+
+
+@registered(
+    f"SELECT key, seq, ts FROM {LOG} QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) <= 3"
+)
+def t_latest_n(spark, sf_dir):
+    return temporal.newest_versions(event_log(spark, sf_dir), 3).select("key", "seq", "ts")
+
+
+@registered(f"SELECT key, seq FROM {LOG} WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12'")
+def t_between(spark, sf_dir):
+    at = lambda s: F.lit(s).cast("timestamp_ntz")
+    return temporal.between(event_log(spark, sf_dir), at("2024-01-10"), at("2024-01-12")).select("key", "seq")
+
+
+@registered(
+    f"""SELECT key, seq, coalesce(lag(seq) OVER w, -1) AS prev_seq, row_number() OVER w AS version
+    FROM {LOG} WINDOW w AS (PARTITION BY key ORDER BY ts, seq)"""
+)
+def t_previous_version(spark, sf_dir):
+    out = temporal.with_previous(event_log(spark, sf_dir), ["seq"])
+    return out.select("key", "seq", F.coalesce("prev_seq", F.lit(-1)).alias("prev_seq"), F.col("version").cast("bigint").alias("version"))
+
+
+@registered(
+    f"""WITH v AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) AS b FROM {LOG})
+    SELECT n.key, 'event_type' AS field, o.event_type AS old, n.event_type AS new
+    FROM v n JOIN v o ON n.key = o.key AND n.b = 1 AND o.b = 2 WHERE n.event_type <> o.event_type
+    UNION ALL SELECT n.key, 'props', o.props, n.props
+    FROM v n JOIN v o ON n.key = o.key AND n.b = 1 AND o.b = 2 WHERE n.props <> o.props"""
+)
+def t_diff(spark, sf_dir):
+    out = temporal.diff(event_log(spark, sf_dir), ["event_type", "props"])
+    return out.select("key", "field", "old", "new")
+
+
+@registered("SELECT DISTINCT event_type AS ns FROM events")
+def t_namespaces(spark, sf_dir):
+    log = event_log(spark, sf_dir).withColumn("ns", F.col("event_type"))
+    return temporal.namespaces(log)
+
+
+@registered("SELECT DISTINCT user_id AS key FROM events WHERE event_type = 'click'")
+def t_keys(spark, sf_dir):
+    log = event_log(spark, sf_dir).withColumn("ns", F.col("event_type"))
+    return temporal.keys(log, "click")
+
+
+@registered(
+    """SELECT count(DISTINCT event_type || ':' || user_id) AS key_count, count(*) AS total_versions,
+    count(DISTINCT event_type) AS namespace_count FROM events"""
+)
+def t_stats(spark, sf_dir):
+    return temporal.stats(event_log(spark, sf_dir).withColumn("ns", F.col("event_type")))
+
+
+@registered("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT user_id FROM events)")
+def t_exists(spark, sf_dir):
+    wanted = table(spark, sf_dir, "customer").select(F.lit("user").alias("ns"), F.col("c_custkey").alias("key"))
+    return temporal.contains(event_log(spark, sf_dir), wanted).select(F.col("key").alias("c_custkey"))
+
+
+# ---- change feeds and views -------------------------------------------------------------
+
+CHANGES = f"""(SELECT key, seq, event_type, CASE WHEN event_type = 'error' THEN 'delete'
+    WHEN coalesce(lag(event_type) OVER w, 'error') = 'error' THEN 'insert' ELSE 'update' END AS change,
+    CASE WHEN coalesce(lag(event_type) OVER w, 'error') = 'error' THEN NULL ELSE lag(value) OVER w END AS prev_value,
+    value FROM {LOG} WINDOW w AS (PARTITION BY key ORDER BY ts, seq))"""
+
+
+def _changes(spark, sf_dir) -> DataFrame:
+    """An 'error' event deletes its user, so that all kinds of change occur."""
+    log = event_log(spark, sf_dir)
+    return temporal.changes(log.withColumn("op", F.when(F.col("event_type") == "error", "D").otherwise("P")), ["value"])
+
+
+@registered(f"SELECT key, seq, change, value, prev_value FROM {CHANGES}")
+def c_change_feed(spark, sf_dir):
+    return _changes(spark, sf_dir).select("key", "seq", "change", "value", "prev_value")
+
+
+@registered(f"SELECT key, seq, change FROM {CHANGES} WHERE change IN ('insert', 'update') AND value > 50")
+def c_subscription(spark, sf_dir):
+    from chronoframe.streaming.feed import Subscription
+
+    wanted = Subscription(ns="user", kinds=("insert", "update"))
+    found = wanted.matches(_changes(spark, sf_dir))
+    return Q.Query().where(Gt("value", 50)).matching(found).select("key", "seq", "change")
+
+
+@registered("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 1000")
+def v_view(spark, sf_dir):
+    q = Q.Query(key="o_orderkey").where(Eq("o_orderstatus", "P")).project("o_orderstatus", "o_totalprice")
+    kept = q.page(table(spark, sf_dir, "orders"))
+    return Q.Query(key="o_orderkey").where(Gt("o_totalprice", 1000)).page(kept)
+
+
+# ---- vectors ----------------------------------------------------------------------------
+
+PROBE = [((i * 37) % 19 - 9) / 40 for i in range(64)]
+SECOND = [((i * 11) % 23 - 11) / 50 for i in range(64)]
+_P = "[" + ", ".join(f"CAST({v!r} AS DOUBLE)" for v in PROBE) + "]"
+_S = "[" + ", ".join(f"CAST({v!r} AS DOUBLE)" for v in SECOND) + "]"
+_E = "CAST(embedding AS DOUBLE[])"
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "key")
+
+
+def _scored(df: DataFrame, score: str = "score") -> DataFrame:
+    return df.select(F.col("key").alias("vec_id"), F.round(score, 6).alias("score"))
+
+
+@registered(
+    f"""SELECT vec_id, round(list_cosine_similarity({_E}, {_P}), 6) AS score FROM embeddings
+    ORDER BY list_cosine_similarity({_E}, {_P}) DESC, vec_id LIMIT 10"""
+)
+def x_cosine_topk(spark, sf_dir):
+    return _scored(vector_search.search(_vectors(spark, sf_dir), PROBE, 10, -1.0))
+
+
+@registered(f"SELECT vec_id, round(list_cosine_similarity({_E}, {_P}), 6) AS score FROM embeddings WHERE list_cosine_similarity({_E}, {_P}) >= 0.15")
+def x_threshold(spark, sf_dir):
+    return _scored(vector_search.search(_vectors(spark, sf_dir), PROBE, 1_000_000, 0.15))
+
+
+@registered(f"SELECT vec_id, round(list_distance({_E}, {_P}), 6) AS score FROM embeddings")
+def x_euclidean(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return _scored(v.withColumn("score", V.euclidean(F.col("embedding"), V.literal(PROBE))))
+
+
+@registered(f"SELECT vec_id, round(list_inner_product({_E}, {_P}), 6) AS score FROM embeddings")
+def x_dot(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return _scored(v.withColumn("score", V.dot(F.col("embedding"), V.literal(PROBE))))
+
+
+@registered(
+    f"""SELECT vec_id, round(list_cosine_similarity({_E}, {_P}), 6) AS score FROM embeddings WHERE label = 3
+    ORDER BY list_cosine_similarity({_E}, {_P}) DESC, vec_id LIMIT 5"""
+)
+def x_namespace(spark, sf_dir):
+    return _scored(vector_search.search(_vectors(spark, sf_dir), PROBE, 5, -1.0, where=F.col("label") == 3))
+
+
+@registered(
+    f"""WITH v AS (SELECT vec_id, vec_id % 100 AS grp, vec_id AS seq, embedding,
+      TIMESTAMP '2024-01-01' + to_days(CAST(vec_id % 28 AS INT)) AS ts FROM embeddings),
+    s AS (SELECT * FROM v WHERE ts <= {CUT} QUALIFY row_number() OVER (PARTITION BY grp ORDER BY ts DESC, seq DESC) = 1)
+    SELECT vec_id, round(list_cosine_similarity({_E}, {_P}), 6) AS score FROM s
+    ORDER BY list_cosine_similarity({_E}, {_P}) DESC, vec_id LIMIT 10"""
+)
+def x_similar_as_of(spark, sf_dir):
+    ts = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval((F.col("vec_id") % 28).cast("int"))
+    log = table(spark, sf_dir, "embeddings").withColumns({"grp": F.col("vec_id") % 100, "seq": F.col("vec_id"), "ts": ts})
+    found = vector_search.search_as_of(log, PROBE, cut_time(), 10, -1.0, keys=("grp",), key="vec_id")
+    return found.select("vec_id", F.round("score", 6).alias("score"))
+
+
+@registered(
+    f"""WITH p AS (SELECT list_transform(range(1, 65), lambda i: greatest(-1.0, least(1.0, ({_P})[i] + ({_S})[i]))) AS q)
+    SELECT vec_id, round(list_cosine_similarity({_E}, CAST(q AS DOUBLE[])), 6) AS score FROM embeddings, p
+    ORDER BY list_cosine_similarity({_E}, CAST(q AS DOUBLE[])) DESC, vec_id LIMIT 5"""
+)
+def x_navigate(spark, sf_dir):
+    found = vector_search.navigate(_vectors(spark, sf_dir), PROBE, [("add", SECOND)], 5, threshold=-1.0)
+    return _scored(found)
+
+
+@registered(
+    """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
+    FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+    WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.95"""
+)
+def x_pairs(spark, sf_dir):
+    found = vector_search.pairs(_vectors(spark, sf_dir), 0.95)
+    return found.select("a", "b", F.round("score", 6).alias("score"))
+
+
+@registered(
+    """SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+    WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.95 AND a.label <> b.label"""
+)
+def x_pairs_unconnected(spark, sf_dir):
+    found = vector_search.pairs(_vectors(spark, sf_dir), 0.95)
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    near = found.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").where("la = lb")
+    return vector_search.unconnected(found, near, 1_000_000).select("a", "b")
+
+
+_HITS = f"(SELECT vec_id, list_cosine_similarity({_E}, {_P}) AS score, label FROM embeddings ORDER BY score DESC, vec_id LIMIT 30)"
+
+
+def _hits(spark, sf_dir) -> DataFrame:
+    return vector_search.search(_vectors(spark, sf_dir), PROBE, 30, -1.0)
+
+
+@registered(
+    f"""SELECT vec_id, round(0.7 * score + 0.3 * label / 10.0, 6) AS score FROM {_HITS} WHERE label > 0
+    ORDER BY 0.7 * score + 0.3 * label / 10.0 DESC, vec_id LIMIT 10"""
+)
+def x_hybrid(spark, sf_dir):
+    hits = _hits(spark, sf_dir)
+    causal = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), (F.col("label") / 10.0).alias("causal"))
+    return _scored(vector_search.hybrid(hits.select("key", "score"), causal, "key", 10), "combined")
+
+
+@registered(
+    f"""SELECT vec_id, round(score * exp(-0.693 * label / 5.0), 6) AS score FROM {_HITS}
+    ORDER BY score * exp(-0.693 * label / 5.0) DESC, vec_id LIMIT 10"""
+)
+def x_decay(spark, sf_dir):
+    return _scored(vector_search.decayed(_hits(spark, sf_dir), F.col("label"), 5.0, 10, "key"), "decayed")
+
+
+@registered()
+def x_mmr(spark, sf_dir):
+    hits = _hits(spark, sf_dir).withColumn("query", F.lit(1))
+    return vector_search.mmr(hits, 10).select("key", "rank", F.round("score", 6).alias("score"))
+
+
+@registered(
+    """WITH e AS (SELECT CASE WHEN s > 0.95 THEN 'abstraction' WHEN s > 0.85 THEN 'composition' ELSE 'proximity' END AS kind, s FROM (
+      SELECT list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s
+      FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE s >= 0.95)
+    SELECT kind, count(*) AS edges, round(avg(0.4 * s + 0.6 * CASE kind WHEN 'abstraction' THEN 0.9 WHEN 'composition' THEN 0.7 ELSE 0 END), 6) AS mean_strength
+    FROM e GROUP BY kind"""
+)
+def x_edge_stats(spark, sf_dir):
+    edges = vector_search.typed_edges(vector_search.pairs(_vectors(spark, sf_dir), 0.95))
+    return vector_search.edge_stats(edges).withColumn("mean_strength", F.round("mean_strength", 6))
+
+
+@registered()
+def x_structural_embedding(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "props")
+    return events.withColumn("embedding", embeddings.structural_embedding(F.col("props"))).select(
+        "event_id", F.size("embedding").alias("dimensions")
+    )
+
+
+# ---- graphs -----------------------------------------------------------------------------
+
+EDGES = """(SELECT 'r' || r_regionkey AS parent, 'n' || n_nationkey AS child FROM region JOIN nation ON n_regionkey = r_regionkey
+    UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer)"""
+
+
+def hierarchy(spark, sf_dir) -> DataFrame:
+    """region -> nation -> customer."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nations = table(spark, sf_dir, "nation").select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("child"))
+    customers = table(spark, sf_dir, "customer").select(name("n", "c_nationkey"), name("c", "c_custkey"))
+    return nations.union(customers)
+
+
+_UP = f"""WITH RECURSIVE e AS (SELECT * FROM {EDGES}), up(src, dst) AS (
+    SELECT child, parent FROM e UNION SELECT up.src, e.parent FROM up JOIN e ON up.dst = e.child)"""
+
+
+@registered(f"{_UP} SELECT src, dst FROM up WHERE src IN ('c1', 'c7', 'n3')")
+def g_ancestors(spark, sf_dir):
+    start = spark.createDataFrame([("c1",), ("c7",), ("n3",)], "node string")
+    return graph.ancestors(hierarchy(spark, sf_dir), start)
+
+
+@registered(f"{_UP} SELECT dst AS src, src AS dst FROM up WHERE dst IN ('r1', 'n5')")
+def g_descendants(spark, sf_dir):
+    start = spark.createDataFrame([("r1",), ("n5",)], "node string")
+    return graph.descendants(hierarchy(spark, sf_dir), start)
+
+
+@registered(f"SELECT DISTINCT child AS node FROM {EDGES} WHERE child NOT IN (SELECT parent FROM {EDGES})")
+def g_frontier(spark, sf_dir):
+    return graph.frontier(hierarchy(spark, sf_dir))
+
+
+@registered(f"SELECT DISTINCT parent AS node FROM {EDGES} WHERE parent NOT IN (SELECT child FROM {EDGES})")
+def g_roots(spark, sf_dir):
+    return graph.roots(hierarchy(spark, sf_dir))
+
+
+@registered(
+    f"""SELECT node, CAST(sum(o) AS BIGINT) AS children, CAST(sum(i) AS BIGINT) AS parents FROM (
+    SELECT parent AS node, 1 AS o, 0 AS i FROM {EDGES} UNION ALL SELECT child, 0, 1 FROM {EDGES}) GROUP BY node"""
+)
+def g_degree(spark, sf_dir):
+    return graph.degrees(hierarchy(spark, sf_dir))
+
+
+@registered(
+    f"""{_UP}, p AS (SELECT 'c' || a.c_custkey AS a, 'c' || b.c_custkey AS b FROM customer a JOIN customer b
+      ON b.c_custkey = a.c_custkey + 1 WHERE a.c_custkey <= 40)
+    SELECT a, b, min(dst) AS lca FROM (
+      SELECT p.a, p.b, x.dst, row_number() OVER (PARTITION BY p.a, p.b ORDER BY CASE WHEN x.dst LIKE 'n%' THEN 1 ELSE 0 END) AS k
+      FROM p JOIN up x ON x.src = p.a JOIN up y ON y.src = p.b AND y.dst = x.dst
+      QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY CASE WHEN x.dst LIKE 'r%' THEN 0 ELSE 1 END) = 1)
+    GROUP BY a, b"""
+)
+def g_lca(spark, sf_dir):
+    ids = table(spark, sf_dir, "customer").where("c_custkey <= 40").select("c_custkey")
+    known = table(spark, sf_dir, "customer").select((F.col("c_custkey") - 1).alias("c_custkey"))
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    pairs = ids.join(known, "c_custkey").select(name(F.col("c_custkey")).alias("a"), name(F.col("c_custkey") + 1).alias("b"))
+    return graph.lca(hierarchy(spark, sf_dir), pairs).where("lca IS NOT NULL")
+
+
+@registered(
+    f"""WITH RECURSIVE e AS (SELECT * FROM {EDGES}), up(src, dst) AS (
+      SELECT child, child FROM e UNION SELECT parent, parent FROM e
+      UNION SELECT up.src, e.parent FROM up JOIN e ON up.dst = e.child)
+    SELECT src AS node, min(dst) AS root FROM up WHERE dst LIKE 'r%' GROUP BY src"""
+)
+def g_connected(spark, sf_dir):
+    edges = hierarchy(spark, sf_dir)
+    parts = graph.components(edges)
+    top = graph.roots(edges).join(parts, "node").select(F.col("node").alias("root"), "component")
+    return parts.join(top, "component").select("node", "root")
+
+
+@registered(
+    f"""{_UP}, d AS (SELECT src AS node, 1 AS a, 0 AS d FROM up UNION ALL SELECT dst, 0, 1 FROM up)
+    SELECT node, CAST(sum(a) AS BIGINT) AS ancestors, CAST(sum(d) AS BIGINT) AS descendants,
+      CAST(sum(a) + sum(d) + (sum(a) + sum(d)) // 2 AS BIGINT) AS score FROM d GROUP BY node ORDER BY score DESC, node LIMIT 10"""
+)
+def g_highly_connected(spark, sf_dir):
+    return graph.highly_connected(hierarchy(spark, sf_dir), 10)
+
+
+@registered(
+    """SELECT 'n' || n_nationkey AS node FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey < 0) AND false
+    UNION ALL SELECT DISTINCT 'r' || n_regionkey FROM nation WHERE n_regionkey <> 0"""
+)
+def g_garbage(spark, sf_dir):
+    edges = hierarchy(spark, sf_dir)
+    kept = spark.createDataFrame([("r0",)], "node string")
+    return graph.garbage(edges, graph.nodes(edges), kept)
+
+
+@registered("SELECT 'e' || user_id AS node, count(*) AS refs FROM events GROUP BY user_id HAVING count(*) >= 5")
+def g_hot_candidates(spark, sf_dir):
+    refs = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("x"), F.col("event_id").cast("string")).alias("parent"),
+        F.concat(F.lit("e"), F.col("user_id").cast("string")).alias("child"),
+    )
+    return graph.hot_candidates(refs, 5)
+
+
+@registered(
+    f"""SELECT count(*) FILTER (i = 0) AS roots, count(*) FILTER (o > 1) AS branches, count(*) FILTER (i > 1) AS convergences FROM (
+    SELECT node, sum(o) AS o, sum(i) AS i FROM (
+    SELECT parent AS node, 1 AS o, 0 AS i FROM {EDGES} UNION ALL SELECT child, 0, 1 FROM {EDGES}) GROUP BY node)"""
+)
+def g_shape(spark, sf_dir):
+    return graph.shape(hierarchy(spark, sf_dir))
+
+
+@registered()
+def g_path(spark, sf_dir):
+    pairs = spark.createDataFrame([("c1", "c2"), ("c3", "c4"), ("r0", "c1")], "a string, b string")
+    return graph.shortest_paths(hierarchy(spark, sf_dir), pairs, 6)
+
+
+@registered()
+def g_random_walks(spark, sf_dir):
+    return graph.random_walks(hierarchy(spark, sf_dir), 20, 4).select("walk", F.size("path").alias("steps"), "novelty")
+
+
+# ---- access logs and tiers --------------------------------------------------------------
+
+NOW = "TIMESTAMP '2024-02-01 00:00:00'"
+
+
+def now_time():
+    return F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+
+
+def access_log(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "ts")
+
+
+_STATS = """(SELECT id, count(*) AS accesses, min(ts) AS first, max(ts) AS last,
+    coalesce(sum(gap), 0) / count(*) AS mean_interval FROM (
+    SELECT user_id AS id, ts, floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) / 1e6) AS gap FROM events) GROUP BY id)"""
+
+
+@registered(f"SELECT id, accesses, first, last, round(mean_interval, 4) AS mean_interval FROM {_STATS}")
+def l_access_stats(spark, sf_dir):
+    return lifecycle.access_stats(access_log(spark, sf_dir)).withColumn("mean_interval", F.round("mean_interval", 4))
+
+
+@registered("SELECT user_id AS id, count(*) AS accesses FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
+def l_most_frequent(spark, sf_dir):
+    return lifecycle.most_frequent(access_log(spark, sf_dir), 15)
+
+
+@registered("SELECT user_id AS id, max(ts) AS last FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
+def l_most_recent(spark, sf_dir):
+    return lifecycle.most_recent(access_log(spark, sf_dir), 15)
+
+
+@registered("SELECT CAST(hour(ts) AS INT) AS hour, count(*) AS accesses FROM events GROUP BY 1")
+def l_hourly(spark, sf_dir):
+    return lifecycle.hourly(access_log(spark, sf_dir))
+
+
+@registered("SELECT CAST(isodow(ts) - 1 AS INT) AS weekday, count(*) AS accesses FROM events GROUP BY 1")
+def l_weekday(spark, sf_dir):
+    return lifecycle.weekday(access_log(spark, sf_dir))
+
+
+@registered(
+    """SELECT id, CAST(max_by(h, n * 100 + h) AS INT) AS peak_hour FROM (
+    SELECT user_id AS id, hour(ts) AS h, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY id"""
+)
+def l_peak_hour(spark, sf_dir):
+    return lifecycle.peak_hour(access_log(spark, sf_dir), "id")
+
+
+@registered(f"SELECT id, last + to_seconds(CAST(floor(mean_interval) AS BIGINT)) AS next_access FROM {_STATS} WHERE accesses > 1")
+def l_next_access(spark, sf_dir):
+    return lifecycle.next_access(lifecycle.access_stats(access_log(spark, sf_dir))).select("id", "next_access")
+
+
+@registered(
+    """SELECT id, round(CASE WHEN n < 3 THEN 0 ELSE top / n * least(n / 10, 1.0) END, 6) AS regularity FROM (
+    SELECT id, CAST(sum(n) AS DOUBLE) AS n, CAST(max(n) AS DOUBLE) AS top FROM (
+    SELECT user_id AS id, hour(ts) AS h, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY id)"""
+)
+def l_regularity(spark, sf_dir):
+    return lifecycle.regularity(access_log(spark, sf_dir)).withColumn("regularity", F.round("regularity", 6))
+
+
+_IMPORTANCE = f"""(SELECT id, 0.6 * exp(-((epoch_us({NOW}) - epoch_us(last)) / 86400e6) / 7) + 0.4 * least(accesses / 100, 1.0) AS importance FROM {_STATS})"""
+
+
+@registered(f"SELECT id, round(importance, 6) AS importance FROM {_IMPORTANCE}")
+def l_importance(spark, sf_dir):
+    out = lifecycle.importance(lifecycle.access_stats(access_log(spark, sf_dir)), now_time())
+    return out.select("id", F.round("importance", 6).alias("importance"))
+
+
+@registered(
+    f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY importance DESC, id) AS k FROM {_IMPORTANCE}),
+    h AS (SELECT *, k <= 10 AND importance >= 0.6 AS hot FROM r),
+    w AS (SELECT *, count(*) FILTER (hot) OVER () AS nh FROM h),
+    x AS (SELECT *, NOT hot AND k - nh <= 40 AND importance >= 0.3 AS warm FROM w),
+    y AS (SELECT *, count(*) FILTER (warm) OVER () AS nw FROM x)
+    SELECT id, CASE WHEN hot THEN 'hot' WHEN warm THEN 'warm' WHEN k - nh - nw <= 60 AND importance >= 0.1 THEN 'cold' ELSE 'deep' END AS tier FROM y"""
+)
+def l_tier_plan(spark, sf_dir):
+    scored = lifecycle.importance(lifecycle.access_stats(access_log(spark, sf_dir)), now_time())
+    return lifecycle.plan_tiers(scored, 10, 40, 60).select("id", "tier")
+
+
+@registered(
+    f"""SELECT CASE WHEN a = b THEN 'stay' WHEN b = 3 THEN 'archive' WHEN a = 3 THEN 'restore' WHEN b < a THEN 'promote' ELSE 'demote' END AS move,
+    count(*) AS items FROM (SELECT id % 4 AS a, CASE WHEN importance >= 0.6 THEN 0 WHEN importance >= 0.3 THEN 1 WHEN importance >= 0.1 THEN 2 ELSE 3 END AS b FROM {_IMPORTANCE}) GROUP BY 1"""
+)
+def l_transitions(spark, sf_dir):
+    scored = lifecycle.importance(lifecycle.access_stats(access_log(spark, sf_dir)), now_time())
+    names = F.array(*map(F.lit, lifecycle.ORDER))
+    s = F.col("importance")
+    target = F.when(s >= 0.6, 0).when(s >= 0.3, 1).when(s >= 0.1, 2).otherwise(3)
+    move = lifecycle.transition(F.get(names, (F.col("id") % 4).cast("int")), F.get(names, target))
+    return scored.groupBy(F.coalesce(move, F.lit("stay")).alias("move")).agg(F.count(F.lit(1)).alias("items"))
+
+
+# ---- conflicts, reconciliation, time to live --------------------------------------------
+
+_CLOCKS = """(SELECT user_id AS key, count(*) FILTER (event_type = 'view') AS a1, count(*) FILTER (event_type = 'click') AS b1,
+    count(*) FILTER (event_type = 'signup') AS a2, count(*) FILTER (event_type = 'purchase') AS b2 FROM events GROUP BY 1)"""
+
+
+def _clocks(spark, sf_dir) -> DataFrame:
+    n = lambda kind: F.count_if(F.col("event_type") == kind)
+    by = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg(
+        n("view").alias("a1"), n("click").alias("b1"), n("signup").alias("a2"), n("purchase").alias("b2")
     )
+    pair = lambda x, y: F.create_map(F.lit("a"), F.col(x), F.lit("b"), F.col(y))
+    return by.select("key", pair("a1", "b1").alias("x"), pair("a2", "b2").alias("y"))
+
+
+@registered(
+    f"""SELECT key, CASE WHEN (a1 < a2 OR b1 < b2) AND (a1 > a2 OR b1 > b2) THEN 'concurrent' WHEN a1 < a2 OR b1 < b2 THEN 'less'
+    WHEN a1 > a2 OR b1 > b2 THEN 'greater' ELSE 'equal' END AS ordering FROM {_CLOCKS}"""
+)
+def d_clock_compare(spark, sf_dir):
+    return _clocks(spark, sf_dir).select("key", conflict.compare(F.col("x"), F.col("y")).alias("ordering"))
+
+
+@registered(f"SELECT key, greatest(a1, a2) AS a, greatest(b1, b2) AS b FROM {_CLOCKS}")
+def d_clock_merge(spark, sf_dir):
+    m = conflict.merge(F.col("x"), F.col("y"))
+    return _clocks(spark, sf_dir).select("key", m["a"].alias("a"), m["b"].alias("b"))
+
+
+@registered(f"SELECT key FROM {_CLOCKS} WHERE NOT (key % 3 = 0 AND a2 >= a1 AND b2 >= b1)")
+def d_tombstones(spark, sf_dir):
+    c = _clocks(spark, sf_dir)
+    values_ = c.select("key", F.col("x").alias("clock"))
+    graves = c.where("key % 3 = 0").select("key", F.col("y").alias("clock"))
+    return conflict.without_deleted(values_, graves, ["key"]).select("key")
+
+
+@registered(
+    f"""SELECT CASE WHEN key % 5 = 0 THEN 'applied' WHEN (a1 < a2 OR b1 < b2) AND (a1 > a2 OR b1 > b2) THEN 'conflict'
+    WHEN a1 < a2 OR b1 < b2 THEN 'applied' WHEN a1 > a2 OR b1 > b2 THEN 'rejected' ELSE 'duplicate' END AS outcome, count(*) AS writes
+    FROM {_CLOCKS} GROUP BY 1"""
+)
+def d_apply_writes(spark, sf_dir):
+    c = _clocks(spark, sf_dir)
+    now = c.where("key % 5 <> 0").select("key", F.col("x").alias("clock"))
+    out = conflict.apply_writes(now, c.select("key", F.col("y").alias("clock")), ["key"])
+    return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("writes"))
+
+
+@registered(
+    f"""SELECT l.key, l.event_type, l.seq, c.a + 1 AS a FROM {LATEST} l JOIN
+    (SELECT user_id AS key, max(event_id % 7) AS a FROM events GROUP BY 1) c ON l.key = c.key"""
+)
+def d_resolve(spark, sf_dir):
+    log = event_log(spark, sf_dir).select("key", "seq", "ts", "event_type", F.create_map(F.lit("a"), F.col("seq") % 7).alias("clock"))
+    out = conflict.resolve(log, ["key"], "a")
+    return out.select("key", "event_type", "seq", F.col("clock")["a"].alias("a"))
+
+
+@registered("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def u_missing(spark, sf_dir):
+    docs, labels = (table(spark, sf_dir, t).select("doc_id") for t in ("documents", "labels"))
+    return reconcile.missing(labels, docs, "doc_id")
+
+
+@registered("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
+def u_common(spark, sf_dir):
+    docs, labels = (table(spark, sf_dir, t).select("doc_id") for t in ("documents", "labels"))
+    return reconcile.common(labels, docs, "doc_id")
+
+
+@registered(
+    """SELECT count(*) AS total, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS missing,
+    round(1 - count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) / count(*), 6) AS efficiency FROM documents"""
+)
+def u_efficiency(spark, sf_dir):
+    docs, labels = (table(spark, sf_dir, t).select("doc_id") for t in ("documents", "labels"))
+    return reconcile.efficiency(labels, docs, "doc_id").withColumn("efficiency", F.round("efficiency", 6))
+
+
+@registered("SELECT doc_id, 'b' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def u_merkle_diff(spark, sf_dir):
+    docs, labels = (table(spark, sf_dir, t).select("doc_id") for t in ("documents", "labels"))
+    return reconcile.merkle_diff(labels, docs, "doc_id")
+
+
+@registered()
+def u_bloom_missing(spark, sf_dir):
+    docs, labels = (table(spark, sf_dir, t).select("doc_id") for t in ("documents", "labels"))
+    return reconcile.maybe_missing(labels, docs, "doc_id", 100_000)
+
+
+@registered(
+    """SELECT doc_id, CASE WHEN max(l) = 1 AND max(r) = 1 THEN 'both' WHEN max(l) = 1 THEN 'local' ELSE 'remote' END AS side FROM (
+    SELECT doc_id, 1 AS l, 0 AS r FROM labels UNION ALL SELECT doc_id, 0, 1 FROM documents) GROUP BY doc_id"""
+)
+def u_merge(spark, sf_dir):
+    docs, labels = (table(spark, sf_dir, t).select("doc_id") for t in ("documents", "labels"))
+    return reconcile.merge_graphs(labels, docs, "doc_id")
+
+
+def _ttl(spark, sf_dir) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    return ttl.with_ttl(orders, 0, F.col("o_orderkey") % 1000)
+
+
+@registered("SELECT o_orderkey FROM orders WHERE o_orderkey % 1000 <= 500")
+def ttl_expired(spark, sf_dir):
+    return ttl.expired(_ttl(spark, sf_dir), 500).select("o_orderkey")
+
+
+@registered("SELECT o_orderkey FROM orders WHERE o_orderkey % 1000 > 500")
+def ttl_live(spark, sf_dir):
+    return ttl.live(_ttl(spark, sf_dir), 500).select("o_orderkey")
+
+
+@registered("SELECT o_orderkey, greatest(o_orderkey % 1000 - 500, 0) AS remaining FROM orders WHERE o_orderkey % 1000 <= 600")
+def ttl_soon(spark, sf_dir):
+    return ttl.expiring_soon(_ttl(spark, sf_dir), 500, 100).select("o_orderkey", "remaining")
+
+
+# ---- memory, text, capabilities ---------------------------------------------------------
+
+
+@registered(
+    """SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'tion') OR contains(CAST(doc_id AS VARCHAR), 'tion')
+    ORDER BY doc_id LIMIT 50"""
+)
+def k_keyword(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return memory.keyword(docs, "TION", 50, F.col("text"), "doc_id").select("doc_id", "lang")
+
+
+@registered(
+    """SELECT doc_id, round(0.5 * CASE WHEN contains(lower(text), 'the') THEN 0.5 ELSE 0 END + 0.5 * (doc_id % 100) / 100.0, 6) AS relevance
+    FROM documents ORDER BY 2 DESC, doc_id LIMIT 40"""
+)
+def k_recall(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("importance", F.col("doc_id") % 100 / 100.0)
+    out = memory.recall(docs, "the", 40, key="doc_id")
+    return out.select("doc_id", F.round("relevance", 6).alias("relevance"))
+
+
+@registered("SELECT role, count(*) AS items FROM conversations GROUP BY role")
+def k_stats(spark, sf_dir):
+    return memory.stats(table(spark, sf_dir, "conversations"), "role")
+
+
+@registered()
+def k_chunks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return text.chunked(docs, "text", 500, 50).select("doc_id", "chunk", F.length("content").alias("length"))
+
+
+@registered("SELECT doc_id, CAST(greatest(1, length(text) // 4) AS INT) AS tokens FROM documents")
+def k_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens"))
+
+
+@registered("SELECT count(DISTINCT sha256(text)) AS contents, count(text) AS documents FROM documents")
+def s_dedupe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    by = docs.groupBy(F.sha2("text", 256).alias("content_id")).agg(F.count(F.lit(1)).alias("n"))
+    return by.agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("documents"))
+
+
+@registered("SELECT count(DISTINCT props) AS contents FROM events")
+def s_content_ids(spark, sf_dir):
+    ids = table(spark, sf_dir, "events").select(values.content_id(F.col("props")).alias("id")).distinct()
+    return ids.agg(F.count(F.lit(1)).alias("contents"))
+
+
+@registered(
+    """SELECT c_custkey AS identity, n_nationkey AS ns FROM customer JOIN nation ON n_regionkey = c_custkey % 5
+    WHERE c_custkey % 7 <> 0 AND c_custkey % 4 < 2 AND c_nationkey = n_nationkey"""
+)
+def h_authorize(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer")
+    nations = table(spark, sf_dir, "nation")
+    asked = customers.join(nations, F.col("n_regionkey") == F.col("c_custkey") % 5).select(
+        F.col("c_custkey").alias("identity"), F.col("n_nationkey").alias("ns"),
+        F.col("n_nationkey").alias("key"), F.lit("read").alias("permission"),
+    )
+    grants = customers.select(
+        F.col("c_custkey").alias("grant_id"), F.col("c_custkey").alias("grantee"),
+        F.lit("namespace").alias("kind"), F.col("c_nationkey").cast("string").alias("pattern"),
+        F.lit("write").alias("permission"), (F.col("c_custkey") % 4 * -100 + 150).alias("expires_at"),
+    )
+    revoked = customers.where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("grant_id"))
+    asked = asked.withColumn("ns", F.col("ns").cast("string"))
+    out = auth.authorize(asked, grants, revoked, 0)
+    return out.select("identity", F.col("ns").cast("int").alias("ns"))
