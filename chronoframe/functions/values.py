@@ -164,5 +164,6 @@ def typed_field(schema: T.StructType, path: str, root: Column | None = None) ->
 
 
 def content_id(json_text: Column) -> Column:
-    """Equal for equal documents, whatever the order of their keys."""
-    return F.sha2(F.to_json(F.parse_json(json_text)), 256)
+    """Equal for equal documents, whatever the order of their keys; text that is no JSON
+    counts as it stands."""
+    return F.sha2(F.coalesce(F.to_json(F.try_parse_json(json_text)), json_text), 256)
