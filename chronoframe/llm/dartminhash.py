@@ -49,6 +49,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: A pair at the similarity misses every band with probability (1 - 0.8^5)^24 < 0.0001.
 BANDS, ROWS = 24, 5
+#: Shingles that are signed together.
+AT_ONCE = 100_000
 #: Buckets with more representatives are parted by a second band.
 LARGE = 64
 
@@ -87,54 +89,72 @@ class Shingler:
         return np.unique(out, return_counts=True)
 
 
-def darts(elements: np.ndarray, weights: np.ndarray, count: int) -> np.ndarray:
-    """The element whose dart comes first in each of ``count`` coordinates.
+def darts(sets: list[tuple[np.ndarray, np.ndarray]], count: int) -> np.ndarray:
+    """For each weighted set (elements, weights), the element whose dart comes first in each
+    of ``count`` coordinates.
 
     Weight is cut into cells [0, 1), [1, 2), [2, 4), ...; each (element, cell) has its own
     Poisson process of darts, so an element's darts don't depend on the rest of the set.
+    Ranks are compared as 32-bit floats; of equal ones the smaller element counts.
     """
-    total = float(weights.sum())
-    reach = (count * (math.log(count) + 3)) / total
-    while True:
-        ids: list[np.ndarray] = []
-        ranks: list[np.ndarray] = []
-        coords: list[np.ndarray] = []
+    out = np.zeros((len(sets), count), np.uint64)
+    todo = np.arange(len(sets))
+    totals = np.array([w.sum() for _, w in sets])
+    reach = count * (math.log(count) + 2) / totals
+    while len(todo):
+        sizes = [len(sets[i][0]) for i in todo.tolist()]
+        owner = np.repeat(np.arange(len(todo)), sizes)
+        element = np.concatenate([sets[i][0] for i in todo.tolist()])
+        weight = np.concatenate([sets[i][1] for i in todo.tolist()])
+        far = reach[todo][owner]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         low, high, cell = 0.0, 1.0, 1
         while True:
-            inside = weights > low
+            inside = weight > low
             if not inside.any():
                 break
-            element, weight = elements[inside], weights[inside]
+            if inside.all():
+                e, w, o, f = element, weight, owner, far
+            else:
+                e, w, o, f = element[inside], weight[inside], owner[inside], far[inside]
             width = high - low
-            seed = mix(element + np.uint64(cell * int(STEP) % 2**64))
-            at = np.zeros(len(element))
-            while len(element):
+            seed = mix(e + np.uint64(cell * int(STEP) % 2**64))
+            at = np.zeros(len(e))
+            while len(e):
                 seed = mix(seed + STEP)
                 at = at - np.log(((seed >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / width
-                go = at <= reach
-                element, weight, seed, at = element[go], weight[go], seed[go], at[go]
+                go = np.flatnonzero(at <= f)
+                e, w, o, f, seed, at = e[go], w[go], o[go], f[go], seed[go], at[go]
                 place = mix(seed ^ MIX2)
                 height = low + width * ((place >> np.uint64(40)).astype(float) + 0.5) * 2.0**-24
-                hit = height < weight
-                ids.append(element[hit])
-                ranks.append(at[hit])
-                coords.append((place[hit] & np.uint64(0xFFFFFFFF)) % np.uint64(count))
+                hit = np.flatnonzero(height < w)
+                coord = (place[hit] & np.uint64(0xFFFFFFFF)) % np.uint64(count)
+                key = o[hit].astype(np.uint64) * np.uint64(count) + coord
+                rank = at[hit].astype(np.float32).view(np.uint32).astype(np.uint64)
+                found.append((key << np.uint64(32) | rank, e[hit]))
             low, high, cell = high, high * 2, cell + 1
-        ids_, ranks_, coords_ = (np.concatenate(x) for x in (ids, ranks, coords))
-        order = np.lexsort((ids_, ranks_, coords_))
-        found, first = np.unique(coords_[order], return_index=True)
-        if len(found) == count:
-            return ids_[order][first]
-        reach *= 2
-
-
-def signature(elements: np.ndarray, counts: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """One hash for each band."""
-    coords = darts(elements, 1 + np.log(counts), bands * rows)
-    out = np.arange(1, bands + 1, dtype=np.uint64)
-    for row in coords.reshape(bands, rows).T:
+        placed, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(placed, kind="stable")
+        placed, ids = placed[order], ids[order]
+        key = placed >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        for i in np.flatnonzero(placed[1:] == placed[:-1]).tolist():  # hardly ever
+            ids[i] = ids[i + 1] = min(ids[i], ids[i + 1])
+        full = np.bincount((key[first] // np.uint64(count)).astype(np.int64), minlength=len(todo)) == count
+        keep = full[(key[first] // np.uint64(count)).astype(np.int64)]
+        out[todo[full]] = ids[first[keep]].reshape(-1, count)
+        todo = todo[~full]
+        reach[todo] *= 2
+    return out
+
+
+def signature(sets: list[tuple[np.ndarray, np.ndarray]], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """One hash for each band of each (elements, counts)."""
+    coords = darts([(e, 1 + np.log(c)) for e, c in sets], bands * rows)
+    out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(sets), bands))
+    for row in np.moveaxis(coords.reshape(-1, bands, rows), 2, 0):
         out = mix(out * STEP + row)
-    return out.view(np.int64)
+    return np.ascontiguousarray(out).view(np.int64)
 
 
 def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -142,30 +162,33 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        # copies often stand close together
-        seen = Memory(lambda _: None, 2_000)
         for batch in batches:
-            docs_, same, bands = [], [], []
-            for doc, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            held: list[tuple[int, bytes]] = []
+            sets: list[tuple[np.ndarray, np.ndarray]] = []
+            seen: dict[bytes, int] = {}
+            size = 0
+            for i, (doc, words) in enumerate(
+                zip(batch.column(0).to_pylist(), batch.column(1), strict=True), 1
+            ):
                 elements, counts = shingler.shingles(words.as_py())
-                if not len(elements):
-                    continue
-                name = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
-                sig = seen.get(name)
-                if sig is None:
-                    # one set, one signature: counts must not tell copies of a set apart
-                    sig = seen[name] = signature(elements, counts)
-                docs_.append(doc)
-                same.append(name)
-                bands.append(sig)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(docs_, pa.int64()),
-                    pa.array(same, pa.binary()),
-                    pa.array(bands, pa.list_(pa.int64())),
-                ],
-                names=["doc", "same", "bands"],
-            )
+                if len(elements):
+                    same = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+                    held.append((doc, same))
+                    if same not in seen:
+                        seen[same] = len(sets)
+                        sets.append((elements, counts))
+                        size += len(elements)
+                if held and (size >= AT_ONCE or i == batch.num_rows):
+                    bands = signature(sets)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([d for d, _ in held], pa.int64()),
+                            pa.array([n for _, n in held], pa.binary()),
+                            pa.array([bands[seen[n]] for _, n in held], pa.list_(pa.int64())),
+                        ],
+                        names=["doc", "same", "bands"],
+                    )
+                    held, sets, seen, size = [], [], {}, 0
 
     rows = docs.select(F.col(key).cast("long").alias("doc"), text).where(F.col("doc").isNotNull())
     return rows.mapInArrow(run, "doc long, same binary, bands array<long>")
