@@ -16,12 +16,14 @@ Groups of any size:
 1. Documents with the same shingle set become one representative first.
 2. In a band's bucket every member is compared with the bucket's least one only.  Links
    that hold merge their documents into classes.
-3. Buckets whose members are of more than one class are gone through again, pair by pair,
-   but only for pairs of different classes; buckets over LARGE are first parted by a
-   second band, so that only documents which agree on both meet.
-
-So the members of a large group of near copies meet their least one, not each other, and
-still no link between classes is lost that the bands propose.  Classes are the connected
+3. Buckets whose members are of more than one class are gone through again, for pairs of
+   different classes only.  A bucket of up to LARGE members gives these pairs as rows.  In
+   a larger one the members outside its main class (strays) are compared with all members
+   of all buckets that have this main class: in blocks of BLOCK by BLOCK documents inside a
+   task, which gives only the links that hold.
+
+So the members of a large group of near copies meet their least one and the strays, not
+each other, no pair of them becomes a row, and no link that the bands propose is lost.  Classes are the connected
 components, found by joins with the lineage cut between rounds.
 
 Defined results: a null or empty text, or one without a word, is its own class; so is
@@ -51,8 +53,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: Shingles that are signed together.
 AT_ONCE = 100_000
-#: Buckets with more representatives are parted by a second band.
-LARGE = 64
+#: Buckets with more representatives are compared in blocks of so many documents.
+LARGE, BLOCK = 32, 256
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -194,12 +196,17 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     return rows.mapInArrow(run, "doc long, same binary, bands array<long>")
 
 
+def _texts(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
+    """(doc, text) of the ids ``doc`` of ``wanted``; an id that repeats stands for one text,
+    the least of them."""
+    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    texts = texts.join(wanted, "doc", "left_semi")
+    return cut(texts.groupBy("doc").agg(F.min("text").alias("text")))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
     """The (a, b) of ``pairs`` whose shingle sets are similar enough."""
-    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    # an id that repeats stands for one text, the least of them
-    texts = cut(texts.join(wanted, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")))
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), text, key)
     left = pairs.join(texts.withColumnsRenamed({"doc": "b", "text": "right"}), "b")
     both = left.join(texts.withColumnsRenamed({"doc": "a", "text": "left"}), "a")
 
@@ -285,6 +292,83 @@ def _across(members: DataFrame, *by: str) -> DataFrame:
     return pairs.where("a < b AND root <> root_b").select("a", "b").distinct()
 
 
+def _overlap(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of ``x`` with each of ``y``."""
+
+    def table(sets: list[np.ndarray], shared: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(sets), len(shared)), np.float32)
+        for row, s in zip(out, sets, strict=True):
+            at = np.searchsorted(shared, s)
+            at[at == len(shared)] = 0
+            row[at[shared[at] == s]] = 1
+        return out
+
+    shared = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
+    if not len(shared):
+        return np.zeros((len(x), len(y)), np.float32)
+    out = np.zeros((len(x), len(y)), np.float32)
+    for low in range(0, len(shared), 1 << 14):
+        part = shared[low : low + (1 << 14)]
+        out += table(x, part) @ table(y, part).T
+    return out
+
+
+def _links_of_strays(large: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """The links (a, b) between documents of different classes that share one of ``large``
+    buckets (band, hash, rep, root)."""
+    sizes = large.groupBy("band", "hash", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("band", "hash").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    rows = large.join(main, ["band", "hash"]).select("main", "rep", "root").distinct()
+    rows = cut(rows.withColumn("stray", F.col("main") != F.col("root")))
+    counts = rows.groupBy("main").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"),
+        F.ceil(F.count_if("stray") / BLOCK).alias("stray_blocks"),
+    )
+    texts = _texts(docs, rows.select(F.col("rep").alias("doc")).distinct(), text, key)
+    rows = rows.join(counts, "main").join(texts.withColumnRenamed("doc", "rep"), "rep")
+    shape = "main long, stray_block int, block int, rep long, root long, shingles binary"
+
+    def deal(strays: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingler = Shingler()
+            for batch in batches:
+                out = []
+                for r in batch.to_pylist():
+                    place = int(mix(np.array([r["rep"]], np.int64).view(np.uint64))[0])
+                    own = shingler.shingles(r["text"])[0].tobytes()
+                    n, m = r["stray_blocks"], r["blocks"]
+                    cells = [(place % n, b) for b in range(m)] if strays else [(b, place % m) for b in range(n)]
+                    out += [(r["main"], s, b, r["rep"], r["root"], own) for s, b in cells]
+                if out:
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
+                        names=["main", "stray_block", "block", "rep", "root", "shingles"],
+                    )
+
+        return run
+
+    cell = ["main", "stray_block", "block"]
+    columns = ["main", "rep", "root", "blocks", "stray_blocks", "text"]
+    strays = rows.where("stray").select(*columns).mapInArrow(deal(True), shape)
+    every = rows.select(*columns).mapInArrow(deal(False), shape)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = (t.column("rep").to_numpy() for t in (left, right))
+        found: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if len(a) and len(b):
+            x, y = ([np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()] for t in (left, right))
+            both = _overlap(x, y)
+            total = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y]) - both
+            apart = left.column("root").to_numpy()[:, None] != right.column("root").to_numpy()
+            i, j = np.nonzero(apart & (both >= SIMILARITY * total - 1e-6))
+            found = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
+        return pa.table({"a": found[0], "b": found[1]})
+
+    links = strays.groupBy(*cell).cogroup(every.groupBy(*cell)).applyInArrow(compare, "a long, b long")
+    return links.distinct()
+
+
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc, class) of every distinct non-null id; a class is named by its least id."""
     sigs = cut(signatures(docs, text, key))
@@ -301,23 +385,14 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 
     mixed = cut(_mixed(buckets, roots, "band", "hash"))
     more = _across(mixed.where(F.col("n") <= LARGE), "band", "hash")
-    large = mixed.where(F.col("n") > LARGE)
-    second = large.join(reps, "rep").select(
-        "rep", "root", "band", "hash", F.posexplode("bands").alias("band2", "hash2")
-    )
-    second = second.where("band <> band2")
-    parted = second.groupBy("band", "hash", "band2", "hash2").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi")
-    )
-    second = second.join(
-        parted.where("lo < hi").drop("lo", "hi"), ["band", "hash", "band2", "hash2"]
-    )
-    more = more.union(_across(second, "band", "hash", "band2", "hash2")).distinct()
     more = cut(more.join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = cut(verify(more, docs, text, key))
-        if not found.isEmpty():
-            roots = cut(components(links.union(found)))
+    found = links.limit(0) if more.isEmpty() else verify(more, docs, text, key)
+    large = mixed.where(F.col("n") > LARGE)
+    if not large.isEmpty():
+        found = found.union(_links_of_strays(large.drop("n"), docs, text, key))
+    found = cut(found)
+    if not found.isEmpty():
+        roots = cut(components(links.union(found)))
 
     # copies of a set follow their representative
     copies = sigs.select("doc", "same").distinct().join(reps.select("same", "rep"), "same")
