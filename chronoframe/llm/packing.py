@@ -1,13 +1,15 @@
 """Hierarchical best-fit packing of token pieces into sequences.
 
 Round 0 packs each partition of pieces by itself, longest piece first, into the bin that
-it fits best.  Bins that are nearly full are done.  The others go up a tree, each as one
-item: a node packs the open bins of FAN_IN nodes below it, again best fit first.  After
-round 1 only bins that are at most half full go on; best fit leaves a node no more than
-one of those, so what reaches a node stays small however many pieces there are.
+it fits best.  Bins that are nearly full are done.  What lies in the others goes up a
+tree: a node packs the open pieces of FAN_IN nodes below it anew, again best fit first,
+and so on up to one root.  A node with more than OPEN open pieces has packed so many that
+more company helps little; it passes on only what lies in bins at most half full, and best
+fit leaves it no more than one of those.  So what reaches a node stays bounded however
+many pieces there are.
 
-Only lengths travel between rounds.  A bin keeps the id of its first part, and a join on
-bin ids gives every piece its sequence and its place there.
+Only lengths travel between rounds.  A piece is known by its place in round 0, and a join
+on that gives those that moved their sequence and their place there.
 
 Defined results: a null or empty text is the end id alone, one piece of length 1; a null
 ``doc_id`` is kept; repeated rows are packed each by itself; an empty table gives no
@@ -31,6 +33,8 @@ from chronoframe.llm.vocab import vocabulary
 CAPACITY = 2048
 END_ID = 0
 FAN_IN = 8
+#: Pieces in bins that aren't nearly full, up to which a node passes them all on.
+OPEN = 2_000
 #: Share of a bin that may stay empty when its partition is done with it.
 SLACK = 0.01
 #: Pieces that a task packs at once; more begin a new set of bins.
@@ -98,8 +102,17 @@ def pieces(
     return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, PIECES)
 
 
+def _packed(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Bin and offset of each length, whether its bin stays open, and the number of bins."""
+    bins, offsets, fills = best_fit(lengths, capacity)
+    left = fills < capacity - int(capacity * SLACK)
+    if np.count_nonzero(left[bins]) > OPEN:
+        left = fills <= capacity // 2
+    return bins, offsets, left[bins], len(fills)
+
+
 def _local(items: DataFrame, capacity: int) -> DataFrame:
-    """``items`` with the bin, place in it and bin's fill of a packing of each partition."""
+    """``items`` packed within each partition, with ``bin``, ``offset``, ``node``, ``open``."""
     names = items.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,13 +121,13 @@ def _local(items: DataFrame, capacity: int) -> DataFrame:
 
         def packed(table: pa.Table) -> Iterator[pa.RecordBatch]:
             nonlocal used
-            bins, offsets, fills = best_fit(table.column("length").to_numpy(), capacity)
+            bins, offsets, left, n = _packed(table.column("length").to_numpy(), capacity)
             ids = (np.int64(part) << 32) + used + bins
-            used += len(fills)
-            columns = [*table.columns, pa.array(ids), pa.array(offsets), pa.array(fills[bins])]
+            used += n
+            node = pa.array(np.full(len(bins), part, np.int64))
             out = pa.Table.from_arrays(
-                [*columns, pa.array(np.full(len(bins), part, np.int64))],
-                names=[*names, "bin", "offset", "fill", "node"],
+                [*table.columns, pa.array(ids), pa.array(offsets), node, pa.array(left)],
+                names=[*names, "bin", "offset", "node", "open"],
             )
             yield from out.to_batches(max_chunksize=10_000)
 
@@ -128,65 +141,47 @@ def _local(items: DataFrame, capacity: int) -> DataFrame:
             yield from packed(pa.Table.from_batches(block))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema)
-    return items.mapInArrow(run, f"{fields}, bin long, offset long, fill long, node long")
+    return items.mapInArrow(run, f"{fields}, bin long, offset long, node long, open boolean")
+
+
+UNIT = "bin long, offset long, length long, node long, to long, at long, open boolean"
 
 
-def _merge(open_bins: DataFrame, capacity: int) -> DataFrame:
-    """One round: for each (bin, fill, node), the bin that takes it and the place there."""
+def _merge(rows: DataFrame, level: int, capacity: int) -> DataFrame:
+    """One round: open pieces (bin, offset, length, node) with the bin ``to`` and place ``at``
+    that the node above gives them."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("bin")
-        bins, offsets, fills = best_fit(table.column("fill").to_numpy(), capacity)
-        ids = table.column("bin").to_numpy()
-        first = np.zeros(len(fills), np.int64)
-        first[bins[offsets == 0]] = ids[offsets == 0]
-        return pa.table(
-            {
-                "bin": ids,
-                "to": first[bins],
-                "shift": offsets,
-                "fill": fills[bins],
-                "node": table.column("node"),
-            }
-        )
-
-    up = open_bins.select("bin", "fill", F.floor(F.col("node") / FAN_IN).alias("node"))
-    return up.groupBy("node").applyInArrow(run, "bin long, to long, shift long, fill long, node long")
+        table = table.sort_by([("bin", "ascending"), ("offset", "ascending")])
+        bins, offsets, left, _ = _packed(table.column("length").to_numpy(), capacity)
+        node = table.column("node")[0].as_py()
+        ids = (1 << 62) + (level << 56) + (node << 28) + bins
+        return table.append_column("to", pa.array(ids)).append_column("at", pa.array(offsets)).append_column("open", pa.array(left))
+
+    up = rows.select("bin", "offset", "length", F.floor(F.col("node") / FAN_IN).alias("node"))
+    return up.groupBy("node").applyInArrow(run, UNIT)
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``items`` (with ``length`` from 1 to ``capacity``) with ``sequence_id`` and ``offset``."""
     nodes = max(1, items.rdd.getNumPartitions())
     placed = cut(_local(items, capacity))
-    most = capacity - int(capacity * SLACK)
-    left = placed.where((F.col("offset") == 0) & (F.col("fill") < most)).select("bin", "fill", "node")
-    moved: DataFrame | None = None
+    rows = placed.where("open").select("bin", "offset", F.col("length").cast("long").alias("length"), "node")
+    steps: list[DataFrame] = []
     while nodes > 1:
         nodes = -(-nodes // FAN_IN)
-        step = cut(_merge(left, capacity))
-        moves = step.select("bin", "to", "shift")
-        if moved is None:
-            moved = moves
-        else:
-            on = moves.select(F.col("bin").alias("to"), F.col("to").alias("up"), F.col("shift").alias("by"))
-            moved = moved.join(on, "to", "left").select(
-                "bin",
-                F.coalesce("up", "to").alias("to"),
-                (F.col("shift") + F.coalesce("by", F.lit(0))).alias("shift"),
-            )
-        left = step.where((F.col("shift") == 0) & (F.col("fill") <= capacity // 2)).select(
-            "bin", "fill", "node"
-        )
-    out = placed.drop("fill", "node")
-    if moved is None:
-        return out.withColumnRenamed("bin", "sequence_id")
-    # only bins that moved need a partner; the rest keep what round 0 gave them
-    moved = moved.where((F.col("bin") != F.col("to")) | (F.col("shift") != 0))
-    return out.join(moved, "bin", "left").select(
-        *items.columns,
-        F.coalesce("to", "bin").alias("sequence_id"),
-        (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"),
-    )
+        steps.append(cut(_merge(rows, len(steps) + 1, capacity)))
+        rows = steps[-1].where("open").select("bin", "offset", "length", "node")
+    out = placed.drop("node", "open")
+    if steps:
+        # where a piece came to rest is what the last round that moved it says
+        rest = [s if i == len(steps) - 1 else s.where("NOT open") for i, s in enumerate(steps)]
+        moved = rest[0]
+        for step in rest[1:]:
+            moved = moved.union(step)
+        out = out.join(moved.select("bin", "offset", "to", "at"), ["bin", "offset"], "left")
+        out = out.withColumns({"bin": F.coalesce("to", "bin"), "offset": F.coalesce("at", "offset")})
+    return out.select(*items.columns, F.col("bin").alias("sequence_id"), "offset")
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
