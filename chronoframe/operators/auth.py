@@ -19,6 +19,21 @@ def active(grants: DataFrame, revoked: DataFrame, now: int) -> DataFrame:
     return grants.where(alive).join(revoked.select("grant_id"), "grant_id", "left_anti")
 
 
+def covers(ns: Column, key: Column) -> Column:
+    """Whether a grant's pattern (``kind``, ``pattern``) covers a resource."""
+    resource = F.concat_ws(":", ns, key)
+    return F.coalesce(
+        F.when(F.col("kind") == "exact", resource == F.col("pattern"))
+        .when(F.col("kind") == "wildcard", resource.startswith(F.regexp_replace("pattern", r"\*$", "")))
+        .when(F.col("kind") == "namespace", ns == F.col("pattern")),
+        F.lit(False),
+    )
+
+
+def for_resource(grants: DataFrame, ns: str, key: str) -> DataFrame:
+    return grants.where(covers(F.lit(ns), F.lit(key)))
+
+
 def authorize(
     requests: DataFrame, grants: DataFrame, revoked: DataFrame, now: int
 ) -> DataFrame:
@@ -29,11 +44,6 @@ def authorize(
     a grantee's own grants.
     """
     g = active(grants, revoked, now).select("grantee", "kind", "pattern", level(F.col("permission")).alias("up_to"))
-    resource = F.concat_ws(":", "ns", "key")
-    fits = (
-        F.when(F.col("kind") == "exact", resource == F.col("pattern"))
-        .when(F.col("kind") == "wildcard", resource.startswith(F.regexp_replace("pattern", r"\*$", "")))
-        .when(F.col("kind") == "namespace", F.col("ns") == F.col("pattern"))
-    )
+    fits = covers(F.col("ns"), F.col("key"))
     enough = F.col("up_to") >= level(F.col("permission"))
     return requests.join(g, (F.col("identity") == F.col("grantee")) & fits & enough, "left_semi")

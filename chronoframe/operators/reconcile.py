@@ -117,3 +117,30 @@ def maybe_missing(local: DataFrame, remote: DataFrame, key: str, items: int, rat
     seen = each.select(key, "at", F.shiftright("at", 6).alias("word")).join(bloom, "word", "left")
     hit = F.coalesce(F.expr("(mask & shiftleft(1L, cast(at & 63 as int))) <> 0"), F.lit(False))
     return seen.groupBy(key).agg(F.bool_and(hit).alias("held")).where("NOT held").select(key)
+
+
+def divergence(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """Where two histories part: nodes that both edge tables (parent, child) hold and below
+    which at least one of them has a child that the other lacks."""
+    mine, theirs = (d.select("parent", "child").distinct() for d in (local, remote))
+    only = mine.join(theirs, ["parent", "child"], "left_anti").union(theirs.join(mine, ["parent", "child"], "left_anti"))
+
+    def nodes(d: DataFrame) -> DataFrame:
+        return d.select(F.explode(F.array("parent", "child")).alias("node")).distinct()
+
+    both = nodes(mine).intersect(nodes(theirs))
+    return only.select(F.col("parent").alias("node")).distinct().join(both, "node", "left_semi")
+
+
+def frontier_exchange(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """Frontier nodes (no children) of each side that the other doesn't know: what each asks
+    the other to send from."""
+
+    def frontier(d: DataFrame) -> DataFrame:
+        return d.select(F.col("child").alias("node")).distinct().join(d.select(F.col("parent").alias("node")), "node", "left_anti")
+
+    def unknown(a: DataFrame, b: DataFrame, side: str) -> DataFrame:
+        known = b.select(F.explode(F.array("parent", "child")).alias("node"))
+        return frontier(a).join(known, "node", "left_anti").select("node", F.lit(side).alias("side"))
+
+    return unknown(local, remote, "local").union(unknown(remote, local, "remote"))

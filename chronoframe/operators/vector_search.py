@@ -181,5 +181,24 @@ def recall(approximate: DataFrame, exact: DataFrame, query: str, key: str) -> Da
     return both.groupBy(query).agg(F.avg(F.coalesce("__got", F.lit(0)).cast("double")).alias("recall"))
 
 
+def explain(hits: DataFrame, edges: DataFrame, shared: int = 5, kinds: int = 3) -> DataFrame:
+    """Hits (key) with up to ``shared`` neighbours that other hits have too, and up to
+    ``kinds`` kinds of edges that lead to them.  Hits are few: their edges alone are read."""
+    ends = edges.select(F.col("a").alias("key"), F.col("b").alias("near"), "kind").union(
+        edges.select("b", "a", "kind")
+    )
+    own = ends.join(hits.select("key"), "key", "left_semi")
+    common = own.groupBy("near").agg(F.count_distinct("key").alias("n")).where("n > 1")
+    why = own.join(common.select("near"), "near").groupBy("key").agg(
+        F.slice(F.sort_array(F.collect_set("near")), 1, shared).alias("shared"),
+        F.slice(F.sort_array(F.collect_set("kind")), 1, kinds).alias("relations"),
+    )
+    out = hits.join(why, "key", "left")
+    told = F.when(F.col("shared").isNull(), "no shared neighbours").otherwise(
+        F.concat_ws(" ", F.lit("shares"), F.size("shared"), F.lit("neighbours by"), F.concat_ws(", ", "relations"))
+    )
+    return out.withColumn("explanation", told)
+
+
 def rank_in(groups: str, score: str, key: str) -> Column:
     return F.row_number().over(Window.partitionBy(groups).orderBy(F.desc(score), key))

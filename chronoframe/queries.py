@@ -529,6 +529,12 @@ def x_mmr(spark, sf_dir):
     return vector_search.mmr(hits, 10).select("key", "rank", F.round("score", 6).alias("score"))
 
 
+@registered()
+def x_explain(spark, sf_dir):
+    found = vector_search.typed_edges(vector_search.pairs(_vectors(spark, sf_dir), 0.95))
+    return vector_search.explain(_hits(spark, sf_dir).select("key", "score"), found).select("key", "explanation")
+
+
 @registered(
     """WITH e AS (SELECT CASE WHEN s > 0.95 THEN 'abstraction' WHEN s > 0.85 THEN 'composition' ELSE 'proximity' END AS kind, s FROM (
       SELECT list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s
@@ -876,6 +882,33 @@ def u_merge(spark, sf_dir):
     return reconcile.merge_graphs(labels, docs, "doc_id")
 
 
+_PART = f"(SELECT * FROM {EDGES} WHERE child NOT LIKE 'c%' OR CAST(child[2:] AS BIGINT) % 3 <> 0)"
+_REST = f"(SELECT * FROM {EDGES} WHERE child NOT LIKE 'c%' OR CAST(child[2:] AS BIGINT) % 5 <> 0)"
+
+
+def _two_histories(spark, sf_dir):
+    edges = hierarchy(spark, sf_dir)
+    number = F.try_to_number(F.substring("child", 2, 20), F.lit("99999999999")).cast("bigint")
+    customer = F.col("child").startswith("c")
+    return edges.where(~customer | (number % 3 != 0)), edges.where(~customer | (number % 5 != 0))
+
+
+@registered(
+    f"""SELECT DISTINCT parent AS node FROM ((SELECT * FROM {_PART} EXCEPT SELECT * FROM {_REST})
+    UNION ALL (SELECT * FROM {_REST} EXCEPT SELECT * FROM {_PART}))"""
+)
+def u_divergence(spark, sf_dir):
+    return reconcile.divergence(*_two_histories(spark, sf_dir))
+
+
+@registered(
+    f"""SELECT child AS node, 'local' AS side FROM {_PART} WHERE child LIKE 'c%' AND child NOT IN (SELECT child FROM {_REST})
+    UNION ALL SELECT child, 'remote' FROM {_REST} WHERE child LIKE 'c%' AND child NOT IN (SELECT child FROM {_PART})"""
+)
+def u_frontier_exchange(spark, sf_dir):
+    return reconcile.frontier_exchange(*_two_histories(spark, sf_dir))
+
+
 def _ttl(spark, sf_dir) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
     return ttl.with_ttl(orders, 0, F.col("o_orderkey") % 1000)
