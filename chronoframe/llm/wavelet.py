@@ -57,14 +57,18 @@ class WaveletMatrix:
     def build(cls, values: np.ndarray) -> WaveletMatrix:
         bits = max(1, int(values.max()).bit_length()) if len(values) else 1
         now = values.astype(np.uint16 if bits <= 16 else np.uint32)
+        next_ = np.empty_like(now)
         planes = []
         for level in range(bits - 1, -1, -1):
-            bit = (now >> level & 1).astype(bool)
+            bit = (now & (1 << level)) != 0
             packed = np.packbits(bit, bitorder="little")
             padded = np.zeros(-(-len(packed) // 8) * 8, np.uint8)
             padded[: len(packed)] = packed
             planes.append(padded.view("<u8"))
-            now = np.concatenate([now[~bit], now[bit]])
+            ones = np.count_nonzero(bit)
+            np.compress(bit, now, out=next_[len(now) - ones :])
+            np.compress(~bit, now, out=next_[: len(now) - ones])
+            now, next_ = next_, now
         return cls(len(values), planes)
 
     def rank1(self, level: int, at):
@@ -127,15 +131,16 @@ class WaveletMatrix:
 
     def values(self) -> np.ndarray:
         """All values in order: each plane undone from the lowest bit up."""
-        now = np.zeros(self.size, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        now = np.zeros(self.size, kind)
         for level in range(self.bits - 1, -1, -1):
             bit = np.unpackbits(
                 self.planes[level].view(np.uint8), count=self.size, bitorder="little"
             ).astype(bool)
             zeros = self.zeros[level]
-            before = np.empty(self.size, np.uint32)
+            before = np.empty(self.size, kind)
             before[~bit] = now[:zeros]
-            before[bit] = now[zeros:] | np.uint32(1 << (self.bits - 1 - level))
+            before[bit] = now[zeros:] | kind(1 << (self.bits - 1 - level))
             now = before
         return now
 
@@ -242,7 +247,7 @@ def read(spark, folder: str, starts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, base in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 keys, lengths, matrix = load(data.as_py())
                 values = matrix.values().astype("<u4").tobytes()
                 ends = np.cumsum(lengths)
@@ -252,20 +257,23 @@ def read(spark, folder: str, starts: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array([name] * len(keys)),
                         pa.array(keys, pa.int64()),
-                        pa.array(ends - lengths + base),
+                        pa.array(ends - lengths),
                         pa.array(lengths),
                         pa.array(sums, pa.int64()),
                     ],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                    names=["name", "doc_id", "inside", "n_tokens", "ids_crc32"],
                 )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wvm").load(folder)
-    files = files.select("content", F.regexp_extract("path", r"([^/]+)\.wvm$", 1).alias("name"))
-    return (
-        files.join(starts, "name")
-        .select("content", "base")
-        .mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = files.select(F.regexp_extract("path", r"([^/]+)\.wvm$", 1).alias("name"), "content")
+    rows = files.mapInArrow(
+        run, "name string, doc_id long, inside long, n_tokens long, ids_crc32 long"
+    )
+    # contents stay where they are read: only the rows of documents meet the shards' starts
+    return rows.join(starts, "name").select(
+        "doc_id", (F.col("inside") + F.col("base")).alias("start"), "n_tokens", "ids_crc32"
     )
 
 
