@@ -13,9 +13,9 @@ and weighted by logistic regression with balanced classes.
 
 Defined results: null and empty texts get the score of a text without any known word;
 without a labelled toxic row every score is 0; a null ``doc_id`` is not held out; repeated
-rows give repeated results; an empty table gives no rows; repeated label rows count once
-each, null labels not at all.  Input columns beyond those named are ignored or, in
-``filter_toxic``, passed through.
+rows give repeated results; an empty table gives no rows.  To learn from, an id counts once,
+with the greatest of its labels and the least of its texts; null labels don't count.  Input
+columns beyond those named are ignored or, in ``filter_toxic``, passed through.
 """
 
 from __future__ import annotations
@@ -233,6 +233,7 @@ def fold(key: str = "doc_id") -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, key: str) -> DataFrame:
     """(text, toxic) of the labelled rows to learn from."""
     open_rows = labels.select(key, "toxic").where(F.col("toxic").isin(0, 1) & (fold(key) != 1))
+    open_rows = open_rows.groupBy(key).agg(F.max("toxic").alias("toxic"))
     lowest = [F.xxhash64(key), F.col(key)]
     picked = [
         open_rows.where(F.col("toxic") == y).orderBy(*lowest).limit(n)
@@ -240,7 +241,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, key: str) ->
     ]
     # no more rows than the two bounds allow
     few = F.broadcast(picked[0].union(picked[1]))
-    return docs.select(key, text).join(few, key).select(F.col(text).alias("text"), "toxic")
+    found = docs.select(F.col(key).alias("__id"), F.col(text).alias("text"))
+    found = found.join(few, F.col("__id") == few[key])
+    # an id that many rows repeat is one row of the sample
+    return found.groupBy("__id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).drop("__id")
 
 
 def _toxic_features(sample: DataFrame, counts: np.ndarray) -> list[str]:
