@@ -61,6 +61,8 @@ LETTERS = byte_letters()
 
 
 def lettered(piece: str) -> str:
+    if piece.isascii() and piece.isprintable():
+        return piece.replace(" ", LETTERS[32])
     return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(LETTERS)
 
 
@@ -150,6 +152,8 @@ class Vocabulary:
         return b"".join([self.pieces[p] for p in word_pieces(chunk)])
 
     def byte_chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return self.pieces[" " + chunk]
         return b"".join([self.pieces[p] for p in byte_pieces(" " + chunk)])
 
     def whole(self, text: str) -> bytes:

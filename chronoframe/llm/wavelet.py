@@ -65,9 +65,9 @@ class WaveletMatrix:
             padded = np.zeros(-(-len(packed) // 8) * 8, np.uint8)
             padded[: len(packed)] = packed
             planes.append(padded.view("<u8"))
-            ones = np.count_nonzero(bit)
-            np.compress(bit, now, out=next_[len(now) - ones :])
-            np.compress(~bit, now, out=next_[: len(now) - ones])
+            ones, zeros = np.flatnonzero(bit), np.flatnonzero(~bit)
+            np.take(now, zeros, out=next_[: len(zeros)], mode="clip")
+            np.take(now, ones, out=next_[len(zeros) :], mode="clip")
             now, next_ = next_, now
         return cls(len(values), planes)
 
@@ -136,11 +136,12 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             bit = np.unpackbits(
                 self.planes[level].view(np.uint8), count=self.size, bitorder="little"
-            ).astype(bool)
+            ).view(bool)
             zeros = self.zeros[level]
             before = np.empty(self.size, kind)
-            before[~bit] = now[:zeros]
-            before[bit] = now[zeros:] | kind(1 << (self.bits - 1 - level))
+            # places by number: several times as fast as by mask
+            before[np.flatnonzero(~bit)] = now[:zeros]
+            before[np.flatnonzero(bit)] = now[zeros:] | kind(1 << (self.bits - 1 - level))
             now = before
         return now
 
