@@ -39,6 +39,20 @@ def merge_graphs(local: DataFrame, remote: DataFrame, key: str) -> DataFrame:
     return both.groupBy(key).agg(side.otherwise("remote").alias("side"))
 
 
+def _leaf(key: str, depth: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string")), 64 - depth).alias("node")
+
+
+def merkle_leaves(ids: DataFrame, key: str, depth: int) -> DataFrame:
+    """(node, hash) of each range of id hashes that holds an id."""
+    text = F.col(key).cast("string")
+    each = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    sums = ids.select(key).distinct().groupBy(_leaf(key, depth)).agg(
+        F.sum(each).alias("sum"), F.count(F.lit(1)).alias("n")
+    )
+    return sums.select("node", F.sha2(F.concat_ws(":", "n", "sum"), 256).alias("hash"))
+
+
 def merkle_levels(ids: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
     """A Merkle tree over ids: (level, node, hash), leaves at level 0, one root on top.
 
@@ -47,17 +61,13 @@ def merkle_levels(ids: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
     combines before the shuffle; upper levels have at most ``buckets`` nodes.
     """
     depth = max(1, math.ceil(math.log2(buckets)))
-    text = F.col(key).cast("string")
-    leaf = F.shiftrightunsigned(F.xxhash64(text), 64 - depth).alias("node")
-    each = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    level = (
-        ids.select(key).distinct().groupBy(leaf).agg(F.sum(each).alias("sum"), F.count(F.lit(1)).alias("n"))
-        .select("node", F.sha2(F.concat_ws(":", "n", "sum"), 256).alias("hash"))
-    )
+    level = merkle_leaves(ids, key, depth)
     out = level.select(F.lit(0).alias("level"), "node", "hash")
     for i in range(1, depth + 1):
+        children = F.array_sort(F.collect_list(F.struct("node", "hash")))
+        told = F.transform(children, lambda c: F.concat_ws(":", c["node"], c["hash"]))
         level = level.groupBy(F.shiftright("node", 1).alias("node")).agg(
-            F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda c: F.concat_ws(":", c["node"], c["hash"])), "|"), 256).alias("hash")
+            F.sha2(F.array_join(told, "|"), 256).alias("hash")
         )
         out = out.union(level.select(F.lit(i).alias("level"), "node", "hash"))
     return out
@@ -71,8 +81,8 @@ def merkle_root(ids: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
 def merkle_diff(a: DataFrame, b: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
     """Ids that only one side has: leaves are compared first, ids of unequal leaves then."""
     depth = max(1, math.ceil(math.log2(buckets)))
-    leaf = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string")), 64 - depth).alias("node")
-    x, y = (merkle_levels(d, key, buckets).where("level = 0") for d in (a, b))
+    leaf = _leaf(key, depth)
+    x, y = (merkle_leaves(d, key, depth) for d in (a, b))
     differ = (
         x.select("node", F.col("hash").alias("x"))
         .join(y.select("node", F.col("hash").alias("y")), "node", "full")
