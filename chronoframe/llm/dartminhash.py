@@ -51,6 +51,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: A pair at the similarity misses every band with probability (1 - 0.8^5)^24 < 0.0001.
 BANDS, ROWS = 24, 5
+#: Words that a worker remembers the hashes of, in each generation.
+REMEMBERED = 100_000
 #: Shingles that are signed together.
 AT_ONCE = 100_000
 #: Buckets with more representatives are compared in blocks of so many documents.
@@ -76,7 +78,7 @@ class Shingler:
 
     def __init__(self, words: int = WORDS):
         self.size = words
-        self.hashes = Memory(_word)
+        self.hashes = Memory(_word, REMEMBERED)
 
     def shingles(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingle hashes in order, and how often each occurs."""

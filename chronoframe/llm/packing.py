@@ -39,6 +39,9 @@ OPEN = 2_000
 SLACK = 0.01
 #: Pieces that a task packs at once; more begin a new set of bins.
 BLOCK = 500_000
+#: Words that a worker remembers the ids of, in each generation: fewer than elsewhere, as
+#: packing follows other stages in the same workers.
+REMEMBERED = 200_000
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +87,7 @@ def pieces(
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = vocabulary(path).encode
+        encode = vocabulary(path, REMEMBERED).encode
         for batch in batches:
             rows = []
             for doc, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

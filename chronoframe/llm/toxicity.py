@@ -41,6 +41,8 @@ TIE = 20.0
 #: Least share of toxic texts among those with a feature.
 SHARE = 0.8
 PREFIXES = range(3, 9)
+#: Tokens that a worker remembers the features of, in each generation.
+REMEMBERED = 100_000
 THRESHOLD = 0.7
 
 #: Letters that a character can stand for.
@@ -147,7 +149,7 @@ class Reader:
 
     def __init__(self, model: LetterModel, known: dict[str, int] | None = None):
         self.model, self.known = model, known
-        self.words = Memory(self._word)
+        self.words = Memory(self._word, REMEMBERED)
 
     def _features(self, word: str) -> tuple:
         found = [word, *(word[:n] + "*" for n in PREFIXES if n < len(word))]

@@ -125,7 +125,7 @@ def byte_pieces(chunk: str) -> list[str]:
 class Vocabulary:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         self.path = path
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -140,8 +140,10 @@ class Vocabulary:
             self.style = "byte"
         else:
             self.style = "other"
-        self.pieces = Memory(self.piece)
-        self.chunks = Memory(self.word_chunk if self.style == "word" else self.byte_chunk)
+        self.pieces = Memory(self.piece, remembered)
+        self.chunks = Memory(
+            self.word_chunk if self.style == "word" else self.byte_chunk, remembered
+        )
 
     def piece(self, piece: str) -> bytes:
         """Ids of one piece that the pre-tokenizer leaves whole."""
@@ -174,5 +176,5 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=4)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def vocabulary(path: str, remembered: int = REMEMBERED) -> Vocabulary:
+    return Vocabulary(path, remembered)
