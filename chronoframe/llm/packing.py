@@ -1,15 +1,15 @@
 """Hierarchical best-fit packing of token pieces into sequences.
 
-Round 0 packs each partition of pieces by itself, longest piece first, into the bin that
-it fits best.  Bins that are nearly full are done.  What lies in the others goes up a
-tree: a node packs the open pieces of FAN_IN nodes below it anew, again best fit first,
-and so on up to one root.  A node with more than OPEN open pieces has packed so many that
-more company helps little; it passes on only what lies in bins at most half full, and best
-fit leaves it no more than one of those.  So what reaches a node stays bounded however
-many pieces there are.
+Each partition of pieces is packed by itself, longest piece first, into the bin that it
+fits best.  Bins that are nearly full are done.  All pieces in the others, however many,
+are packed anew over all partitions.  Best fit sees nothing of a piece but its length, and
+there are no more than ``capacity`` lengths: how many pieces have each is all that is sent
+up, and bins that are filled alike are planned as one range.  So what the root holds stays
+bounded and gives the bins that best fit gives to all these pieces at once.
 
-Only lengths travel between rounds.  A piece is known by its place in round 0, and a join
-on that gives those that moved their sequence and their place there.
+A piece is known by its length and its place among those of that length: its place in its
+partition and the number in the partitions before.  That gives its bin in the plan; no
+piece is moved but for the join on that number.
 
 Defined results: a null or empty text is the end id alone, one piece of length 1; a null
 ``doc_id`` is kept; repeated rows are packed each by itself; an empty table gives no
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.llm.shared import cut
@@ -32,9 +32,6 @@ from chronoframe.llm.vocab import vocabulary
 
 CAPACITY = 2048
 END_ID = 0
-FAN_IN = 8
-#: Pieces in bins that aren't nearly full, up to which a node passes them all on.
-OPEN = 2_000
 #: Share of a bin that may stay empty when its partition is done with it.
 SLACK = 0.01
 #: Pieces that a task packs at once; more begin a new set of bins.
@@ -77,6 +74,44 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(fills, np.int64)
 
 
+def best_fit_counts(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
+    """Best fit of so many pieces of each length: rows (length, first piece, first bin, pieces
+    for each bin, offset), by length and piece, and the number of bins.
+
+    The pieces of a length from a row's first one on fill its bins in turn.
+    """
+    plan: list[tuple[int, int, int, int, int]] = []
+    by_rest: dict[int, list[tuple[int, int]]] = {}
+    rests = used = 0
+
+    def put(rest: int, first: int, bins: int) -> None:
+        nonlocal rests
+        if rest and bins:
+            rests |= 1 << rest
+            by_rest.setdefault(rest, []).append((first, bins))
+
+    for n in sorted(counts, reverse=True):
+        piece, left = 0, counts[n]
+        while left:
+            fit = rests >> n
+            if fit:
+                rest = (fit & -fit).bit_length() - 1 + n
+                same = by_rest[rest]
+                first, bins = same.pop()
+                if not same:
+                    rests ^= 1 << rest
+            else:
+                rest, first, bins = capacity, used, -(-left // (capacity // n))
+                used += bins
+            each = min(rest // n, left)
+            full = min(bins, left // each)
+            plan.append((n, piece, first, each, capacity - rest))
+            put(rest - each * n, first, full)
+            put(rest, first + full, bins - full)
+            piece, left = piece + full * each, left - full * each
+    return np.array(sorted(plan), np.int64).reshape(-1, 5), used
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -105,86 +140,87 @@ def pieces(
     return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, PIECES)
 
 
-def _packed(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Bin and offset of each length, whether its bin stays open, and the number of bins."""
-    bins, offsets, fills = best_fit(lengths, capacity)
-    left = fills < capacity - int(capacity * SLACK)
-    if np.count_nonzero(left[bins]) > OPEN:
-        left = fills <= capacity // 2
-    return bins, offsets, left[bins], len(fills)
-
-
 def _local(items: DataFrame, capacity: int) -> DataFrame:
-    """``items`` packed within each partition, with ``bin``, ``offset``, ``node``, ``open``."""
-    names = items.columns
+    """``items`` packed within each partition, with ``bin``, ``offset``, ``node``, ``open``
+    and ``place``, an open piece's place among those of its partition and length."""
+    names, most = items.columns, BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         used = 0
+        seen = np.zeros(capacity + 1, np.int64)
 
         def packed(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            nonlocal used
-            bins, offsets, left, n = _packed(table.column("length").to_numpy(), capacity)
+            nonlocal used, seen
+            lengths = table.column("length").to_numpy()
+            bins, offsets, fills = best_fit(lengths, capacity)
+            left = (fills < capacity - int(capacity * SLACK))[bins]
+            at = np.flatnonzero(left)
+            at = at[np.argsort(lengths[at], kind="stable")]
+            here = np.bincount(lengths[at], minlength=capacity + 1)
+            place = np.zeros(len(bins), np.int64)
+            place[at] = np.arange(len(at)) + (seen - np.cumsum(here) + here)[lengths[at]]
+            seen += here
             ids = (np.int64(part) << 32) + used + bins
-            used += n
+            used += len(fills)
             node = pa.array(np.full(len(bins), part, np.int64))
             out = pa.Table.from_arrays(
-                [*table.columns, pa.array(ids), pa.array(offsets), node, pa.array(left)],
-                names=[*names, "bin", "offset", "node", "open"],
+                [*table.columns, pa.array(ids), pa.array(offsets), node, pa.array(left), pa.array(place)],
+                names=[*names, "bin", "offset", "node", "open", "place"],
             )
             yield from out.to_batches(max_chunksize=10_000)
 
         block: list[pa.RecordBatch] = []
         for batch in batches:
             block.append(batch)
-            if sum(b.num_rows for b in block) >= BLOCK:
+            if sum(b.num_rows for b in block) >= most:
                 yield from packed(pa.Table.from_batches(block))
                 block = []
         if block:
             yield from packed(pa.Table.from_batches(block))
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema)
-    return items.mapInArrow(run, f"{fields}, bin long, offset long, node long, open boolean")
+    return items.mapInArrow(run, f"{_fields(items)}, bin long, offset long, node long, open boolean, place long")
 
 
-UNIT = "bin long, offset long, length long, node long, to long, at long, open boolean"
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
 
 
-def _merge(rows: DataFrame, level: int, capacity: int) -> DataFrame:
-    """One round: open pieces (bin, offset, length, node) with the bin ``to`` and place ``at``
-    that the node above gives them."""
+def _planned(rows: DataFrame, plan: np.ndarray, names: list[str]) -> DataFrame:
+    """``rows`` (with ``length`` and ``place`` among all of that length) with ``bin`` and
+    ``offset`` of ``plan``."""
+    keys = plan[:, 0] << 48 | plan[:, 1]
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("bin", "ascending"), ("offset", "ascending")])
-        bins, offsets, left, _ = _packed(table.column("length").to_numpy(), capacity)
-        node = table.column("node")[0].as_py()
-        ids = (1 << 62) + (level << 56) + (node << 28) + bins
-        return table.append_column("to", pa.array(ids)).append_column("at", pa.array(offsets)).append_column("open", pa.array(left))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, place = (batch.column(c).to_numpy() for c in ("length", "place"))
+            length = length.astype(np.int64)
+            row = np.searchsorted(keys, length << 48 | place, side="right") - 1
+            _, piece, first, each, offset = plan[row].T
+            nth = place - piece
+            ids = (1 << 62) + first + nth // each
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), pa.array(ids), pa.array(offset + nth % each * length)],
+                names=[*names, "bin", "offset"],
+            )
 
-    up = rows.select("bin", "offset", "length", F.floor(F.col("node") / FAN_IN).alias("node"))
-    return up.groupBy("node").applyInArrow(run, UNIT)
+    return rows.mapInArrow(run, f"{_fields(rows.select(*names))}, bin long, offset long")
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``items`` (with ``length`` from 1 to ``capacity``) with ``sequence_id`` and ``offset``."""
-    nodes = max(1, items.rdd.getNumPartitions())
+    names = items.columns
     placed = cut(_local(items, capacity))
-    rows = placed.where("open").select("bin", "offset", F.col("length").cast("long").alias("length"), "node")
-    steps: list[DataFrame] = []
-    while nodes > 1:
-        nodes = -(-nodes // FAN_IN)
-        steps.append(cut(_merge(rows, len(steps) + 1, capacity)))
-        rows = steps[-1].where("open").select("bin", "offset", "length", "node")
-    out = placed.drop("node", "open")
-    if steps:
-        # where a piece came to rest is what the last round that moved it says
-        rest = [s if i == len(steps) - 1 else s.where("NOT open") for i, s in enumerate(steps)]
-        moved = rest[0]
-        for step in rest[1:]:
-            moved = moved.union(step)
-        out = out.join(moved.select("bin", "offset", "to", "at"), ["bin", "offset"], "left")
-        out = out.withColumns({"bin": F.coalesce("to", "bin"), "offset": F.coalesce("at", "offset")})
-    return out.select(*items.columns, F.col("bin").alias("sequence_id"), "offset")
+    left = placed.where("open").select(*names, "node", "place")
+    counts = cut(left.groupBy("node", "length").agg(F.count(F.lit(1)).alias("n")))
+    # at most ``capacity`` rows
+    total = {n: k for n, k in counts.groupBy("length").agg(F.sum("n")).collect()}
+    plan, _ = best_fit_counts(total, capacity)
+    before = Window.partitionBy("length").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("node", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    left = left.join(before, ["node", "length"]).withColumn("place", F.col("place") + F.col("before"))
+    out = placed.where("NOT open").select(*names, "bin", "offset").union(_planned(left, plan, names))
+    return out.select(*names, F.col("bin").alias("sequence_id"), "offset")
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:

@@ -114,6 +114,34 @@ def test_packing(spark, parts):
     assert len({r.sequence_id for r in got}) <= -(-total // packing.CAPACITY) + 2
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_best_fit_of_counts(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 101, 3000) if seed else np.repeat([60, 40, 7], [900, 700, 11])
+    lengths, counts = np.unique(sizes, return_counts=True)
+    plan, used = packing.best_fit_counts(dict(zip(lengths.tolist(), counts.tolist(), strict=True)), 100)
+    rows, fills = [], np.zeros(used, int)
+    for n, count in zip(lengths.tolist(), counts.tolist(), strict=True):
+        for i in range(count):
+            _, piece, first, each, offset = max(r for r in plan.tolist() if r[0] == n and r[1] <= i)
+            rows.append((first + (i - piece) // each, offset + (i - piece) % each * n, n))
+            fills[rows[-1][0]] += n
+    check_gapless(rows, 100)
+    assert sorted(fills) == sorted(packing.best_fit(sizes, 100)[2])
+
+
+# bins of short pieces that are full already stay as they are: the second case's 10 %
+@pytest.mark.parametrize("long,short,more", [("1200", "800", 1), ("1030 + pmod(xxhash64(id), 471)", "550 + pmod(xxhash64(id), 401)", 1.1)])
+def test_packing_of_unlike_partitions(spark, monkeypatch, long, short, more):
+    monkeypatch.setattr(packing, "BLOCK", 10_000)
+    items = spark.range(40_000, numPartitions=2).selectExpr("id AS doc_id", f"if(id < 20000, {long}, {short}) AS length")
+    got = packing.pack(items).collect()
+    assert sorted(r.doc_id for r in got) == list(range(40_000))
+    check_gapless(((r.sequence_id, r.offset, r.length) for r in got), packing.CAPACITY)
+    best = len(packing.best_fit(np.array([r.length for r in got]), packing.CAPACITY)[2])
+    assert len({r.sequence_id for r in got}) <= more * best
+
+
 def test_packing_nothing(spark):
     assert packing.pack(packing.pieces(docs(spark, []), WORD)).count() == 0
 
