@@ -1,12 +1,13 @@
 """Near-duplicate documents by DartMinHash signatures, banded joins and exact checks.
 
-A document is its set of five-word shingles, each weighted by 1 + ln(count).  Darts fall
-on every shingle as a Poisson process over (weight, rank), fixed by the shingle's hash
-alone: the k-th dart's rank follows the one before by an exponential gap.  A dart within
-the shingle's weight counts for the coordinate that its hash names, and each coordinate
-keeps its earliest.  Ranks are followed only as far as the document's total weight needs
+A document is its set of five-word shingles, each of weight 1 however often it occurs, so
+that signatures estimate the very similarity that decides the link.  Darts fall on every
+shingle as a Poisson process over (weight, rank), fixed by the shingle's hash alone: the
+k-th dart's rank follows the one before by an exponential gap.  A dart within the
+shingle's weight counts for the coordinate that its hash names, and each coordinate keeps
+its earliest.  Ranks are followed only as far as the document's total weight needs
 for every coordinate to be hit, so the work grows with shingles plus coordinates, not
-with their product.  Equal coordinates estimate the weighted Jaccard similarity.
+with their product.  Equal coordinates estimate the Jaccard similarity.
 
 Documents that agree on every coordinate of a band are candidates.  The link itself is
 exact: the Jaccard similarity of the two shingle sets is SIMILARITY or more.
@@ -74,23 +75,23 @@ def _word(word: str) -> int:
 
 
 class Shingler:
-    """Hashes of the shingles of a text, with counts."""
+    """Hashes of the shingles of a text."""
 
     def __init__(self, words: int = WORDS):
         self.size = words
         self.hashes = Memory(_word, REMEMBERED)
 
-    def shingles(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct shingle hashes in order, and how often each occurs."""
+    def shingles(self, text: str | None) -> np.ndarray:
+        """Distinct shingle hashes in order."""
         tokens = (text or "").lower().split()
         if not tokens:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64)
         h = np.fromiter(map(self.hashes.__getitem__, tokens), np.uint64, len(tokens))
         n = max(1, len(h) - self.size + 1)
         out = np.full(n, len(h) if len(h) < self.size else self.size, np.uint64)
         for k in range(min(self.size, len(h))):
             out = mix(out * STEP + h[k : k + n])
-        return np.unique(out, return_counts=True)
+        return np.unique(out)
 
 
 def darts(sets: list[tuple[np.ndarray, np.ndarray]], count: int) -> np.ndarray:
@@ -152,9 +153,9 @@ def darts(sets: list[tuple[np.ndarray, np.ndarray]], count: int) -> np.ndarray:
     return out
 
 
-def signature(sets: list[tuple[np.ndarray, np.ndarray]], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """One hash for each band of each (elements, counts)."""
-    coords = darts([(e, 1 + np.log(c)) for e, c in sets], bands * rows)
+def signature(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """One hash for each band of each set."""
+    coords = darts([(e, np.ones(len(e))) for e in sets], bands * rows)
     out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(sets), bands))
     for row in np.moveaxis(coords.reshape(-1, bands, rows), 2, 0):
         out = mix(out * STEP + row)
@@ -168,19 +169,19 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
         shingler = Shingler()
         for batch in batches:
             held: list[tuple[int, bytes]] = []
-            sets: list[tuple[np.ndarray, np.ndarray]] = []
+            sets: list[np.ndarray] = []
             seen: dict[bytes, int] = {}
             size = 0
             for i, (doc, words) in enumerate(
                 zip(batch.column(0).to_pylist(), batch.column(1), strict=True), 1
             ):
-                elements, counts = shingler.shingles(words.as_py())
+                elements = shingler.shingles(words.as_py())
                 if len(elements):
                     same = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
                     held.append((doc, same))
                     if same not in seen:
                         seen[same] = len(sets)
-                        sets.append((elements, counts))
+                        sets.append(elements)
                         size += len(elements)
                 if held and (size >= AT_ONCE or i == batch.num_rows):
                     bands = signature(sets)
@@ -220,8 +221,8 @@ def verify(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
             keep = []
             for i, a in enumerate(a_):
                 if a not in last:
-                    last = {a: shingler.shingles(batch.column(2)[i].as_py())[0]}
-                x, y = last[a], shingler.shingles(batch.column(3)[i].as_py())[0]
+                    last = {a: shingler.shingles(batch.column(2)[i].as_py())}
+                x, y = last[a], shingler.shingles(batch.column(3)[i].as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9:
                     keep.append(i)
@@ -337,7 +338,7 @@ def _links_of_strays(large: DataFrame, docs: DataFrame, text: str, key: str) ->
                 out = []
                 for r in batch.to_pylist():
                     place = int(mix(np.array([r["rep"]], np.int64).view(np.uint64))[0])
-                    own = shingler.shingles(r["text"])[0].tobytes()
+                    own = shingler.shingles(r["text"]).tobytes()
                     n, m = r["stray_blocks"], r["blocks"]
                     cells = [(place % n, b) for b in range(m)] if strays else [(b, place % m) for b in range(n)]
                     out += [(r["main"], s, b, r["rep"], r["root"], own) for s, b in cells]

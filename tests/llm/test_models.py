@@ -146,6 +146,19 @@ def test_classes_match_brute_force(spark, monkeypatch, large, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute(texts)))
 
 
+@pytest.mark.parametrize("times", [2, 4, 10])
+def test_classes_of_repeated_passages(spark, times):
+    rng = random.Random(times)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for _ in range(20):
+        body, line = (" ".join(rng.choices(words, k=k)) for k in (100, 60))
+        texts += [body, f"{body} " * times, f"{body} extra {line}", f"{body} extra {f'{line} ' * times}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(dartminhash.classes(df).collect())
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
 def test_dedup_edges(spark):
     df = spark.createDataFrame([(None, "a b c"), (None, None), (4, "a b c"), (4, "a b c"), (5, "A b C")], "doc_id long, text string")
     got = sorted((r.doc_id is None, r.doc_id or 0) for r in dartminhash.dedup(df).collect())
