@@ -118,8 +118,12 @@ def bloom_filter(ids: DataFrame, key: str, items: int, rate: float = 0.01) -> Da
     )
 
 
-def maybe_missing(local: DataFrame, remote: DataFrame, key: str, items: int, rate: float = 0.01) -> DataFrame:
-    """Remote ids that the filter of local ids rules out: certainly missing ones."""
+def maybe_missing(local: DataFrame, remote: DataFrame, key: str, items: int | None = None, rate: float = 0.01) -> DataFrame:
+    """Remote ids that the filter of local ids rules out: certainly missing ones.
+
+    Without ``items`` the filter is made for as many ids as there are."""
+    if items is None:
+        items = local.select(key).distinct().count()
     bits, hashes = bloom_size(items, rate)
     bloom = bloom_filter(local, key, items, rate)
     asked = remote.select(key).distinct()

@@ -870,7 +870,7 @@ def u_merkle_diff(spark, sf_dir):
 @registered()
 def u_bloom_missing(spark, sf_dir):
     docs, labels = (table(spark, sf_dir, t).select("doc_id") for t in ("documents", "labels"))
-    return reconcile.maybe_missing(labels, docs, "doc_id", 100_000)
+    return reconcile.maybe_missing(labels, docs, "doc_id")
 
 
 @registered(

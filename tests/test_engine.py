@@ -85,6 +85,11 @@ def test_merkle(spark):
     assert bloom <= set(range(500, 510)) and len(bloom) >= 8
 
 
+def test_bloom_grows_with_its_ids(spark):
+    local, remote = spark.range(400_000).toDF("id"), spark.range(400_000, 402_000).toDF("id")
+    assert reconcile.maybe_missing(local, remote, "id").count() >= 1_950
+
+
 def test_tiers_match_one_by_one(spark):
     import random
 
