@@ -21,7 +21,7 @@ from chronoframe.operators import temporal
 def search(
     df: DataFrame,
     query: list[float],
-    k: int = 10,
+    k: int | None = 10,
     threshold: float = 0.0,
     vector: str = "embedding",
     key: str = "key",
@@ -29,11 +29,13 @@ def search(
     score: str = "score",
 ) -> DataFrame:
     """The k rows most like ``query`` by cosine, at least ``threshold``; ties by key.
+    With ``k`` None all of them, in no order.
 
     Vectors of another length take no part.  Conditions hold before the k are taken."""
     rows = df if where is None else df.where(where)
     scored = rows.withColumn(score, V.cosine(F.col(vector), V.literal(query)))
-    return scored.where(F.col(score) >= threshold).orderBy(F.desc(score), key).limit(k)
+    found = scored.where(F.col(score) >= threshold)
+    return found if k is None else found.orderBy(F.desc(score), key).limit(k)
 
 
 def search_as_of(
@@ -91,10 +93,12 @@ def pairs(
     return scored.where(F.col("score") >= threshold).groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
-def unconnected(found: DataFrame, connected: DataFrame, k: int) -> DataFrame:
-    """The k best of ``pairs`` that ``connected`` (a, b in either order) does not hold."""
+def unconnected(found: DataFrame, connected: DataFrame, k: int | None) -> DataFrame:
+    """The k best of ``pairs`` that ``connected`` (a, b in either order) does not hold; with
+    ``k`` None all of them, in no order."""
     both = connected.select("a", "b").union(connected.select("b", "a"))
-    return found.join(both, ["a", "b"], "left_anti").orderBy(F.desc("score"), "a", "b").limit(k)
+    rest = found.join(both, ["a", "b"], "left_anti")
+    return rest if k is None else rest.orderBy(F.desc("score"), "a", "b").limit(k)
 
 
 def typed_edges(found: DataFrame) -> DataFrame:

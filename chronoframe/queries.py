@@ -430,7 +430,7 @@ def x_cosine_topk(spark, sf_dir):
 
 @registered(f"SELECT vec_id, round(list_cosine_similarity({_E}, {_P}), 6) AS score FROM embeddings WHERE list_cosine_similarity({_E}, {_P}) >= 0.15")
 def x_threshold(spark, sf_dir):
-    return _scored(vector_search.search(_vectors(spark, sf_dir), PROBE, 1_000_000, 0.15))
+    return _scored(vector_search.search(_vectors(spark, sf_dir), PROBE, None, 0.15))
 
 
 @registered(f"SELECT vec_id, round(list_distance({_E}, {_P}), 6) AS score FROM embeddings")
@@ -495,7 +495,7 @@ def x_pairs_unconnected(spark, sf_dir):
     found = vector_search.pairs(_vectors(spark, sf_dir), 0.95)
     labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     near = found.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").where("la = lb")
-    return vector_search.unconnected(found, near, 1_000_000).select("a", "b")
+    return vector_search.unconnected(found, near, None).select("a", "b")
 
 
 _HITS = f"(SELECT vec_id, list_cosine_similarity({_E}, {_P}) AS score, label FROM embeddings ORDER BY score DESC, vec_id LIMIT 30)"

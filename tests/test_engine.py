@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoframe.functions import text
-from chronoframe.operators import conflict, graph, lifecycle, reconcile, temporal
+from chronoframe.operators import conflict, graph, lifecycle, reconcile, temporal, vector_search
 from chronoframe.operators.views import View, Views
 from chronoframe.plans.filters import Eq, Gt
 from chronoframe.plans.query import Query
@@ -85,6 +85,13 @@ def test_merkle(spark):
     assert bloom <= set(range(500, 510)) and len(bloom) >= 8
 
 
+def test_searches_without_limit(spark):
+    vectors = spark.range(1_000_010).selectExpr("id AS key", "array(1.0D) AS embedding")
+    assert vector_search.search(vectors, [1.0], None, 0.5).count() == 1_000_010
+    pairs = spark.range(1_000_010).selectExpr("id AS a", "id + 1 AS b", "1.0D AS score")
+    assert vector_search.unconnected(pairs, pairs.where("a < 5"), None).count() == 1_000_005
+
+
 def test_bloom_grows_with_its_ids(spark):
     local, remote = spark.range(400_000).toDF("id"), spark.range(400_000, 402_000).toDF("id")
     assert reconcile.maybe_missing(local, remote, "id").count() >= 1_950
