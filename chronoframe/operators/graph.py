@@ -7,21 +7,11 @@ cut each round in the checkpoint folder.  Pairs seen before are dropped, so cycl
 from __future__ import annotations
 
 import random
-import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the checkpoint folder of the session; where none is
-    set, as in tests on one machine, in a folder of its own."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="chronoframe-"))
-    return df.checkpoint()
+from chronoframe.lineage import cut
 
 
 def closure(edges: DataFrame, start: DataFrame | None = None, down: bool = True) -> DataFrame:
