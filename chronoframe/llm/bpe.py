@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.llm import vocab as V
+from chronoframe.llm.shared import bounded_batches, lean
 
 #: What marks a letter at a word's end in the automaton: its code is moved up by so much.
 AT_END = 0x1000
-#: Pairs that the compatibility table keeps; beyond that the older half goes.
-PAIRS = 400_000
+#: Bytes of each generation of pairs that the compatibility table keeps.
+PAIRS = 32 << 20
 
 
 class OffsetTable:
@@ -71,17 +72,18 @@ class BacktrackingBpe:
         if base.style != "word":
             raise ValueError(f"{path}: not a vocabulary with word ends")
         self.base = base
-        model = base.spec["model"]
+        spec = V.read_spec(path)
+        model = spec["model"]
         self.suffix = model["end_of_word_suffix"]
         self.ranks: dict[tuple[str, str], int] = {}
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self.ranks[self.marked(a), self.marked(b)] = rank
-        size = max([*model["vocab"].values(), *(t["id"] for t in base.spec["added_tokens"])]) + 1
+        size = max([*model["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1
         names = [""] * size
         for name, i in model["vocab"].items():
             names[i] = name
-        self.special = {t["content"]: t["id"] for t in base.spec["added_tokens"]}
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for name, i in self.special.items():
             names[i] = name
         self.letters = [self.marked(n) for n in names]
@@ -92,10 +94,11 @@ class BacktrackingBpe:
             if letters := self.marked(name):
                 self.automaton.add_word(letters[::-1], (i, len(letters)))
         self.automaton.make_automaton()
-        self.whole = V.Memory(self._whole, size)
-        self.pairs = V.Memory(self._compatible, PAIRS)
-        self.pieces = V.Memory(self.word)
-        self.chunks = V.Memory(self._chunk)
+        # one entry for each token: never full
+        self.whole = V.Memory(self._whole, 2 * size * V.Memory.FIXED, 0, plain=True)
+        self.pairs = V.Memory(self._compatible, PAIRS, 0, plain=True)
+        self.pieces = V.Memory(self.word, V.REMEMBERED // 2)
+        self.chunks = V.Memory(self._chunk, V.REMEMBERED)
         self.between = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
 
     def marked(self, token: str) -> str:
@@ -229,7 +232,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
             )
 
     rows = docs.select(F.col(key).cast("long").alias("key"), text)
-    return rows.mapInArrow(run, "key long, ids binary").withColumnRenamed("key", key)
+    return rows.mapInArrow(lean(run), "key long, ids binary").withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -245,7 +248,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
             )
 
     rows = encoded.select(F.col(key).cast("long").alias("key"), "ids")
-    return rows.mapInArrow(run, "key long, text string").withColumnRenamed("key", key)
+    return rows.mapInArrow(lean(run), "key long, text string").withColumnRenamed("key", key)
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -273,12 +276,13 @@ def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text)
     return rows.mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return digests(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -24,14 +24,18 @@ Groups of any size:
    task, which gives only the links that hold.
 
 So the members of a large group of near copies meet their least one and the strays, not
-each other, no pair of them becomes a row, and no link that the bands propose is lost.  Classes are the connected
-components, found by joins with the lineage cut between rounds.
+each other, no pair of them becomes a row, and no link that the bands propose is lost.  The
+facts of buckets with a large share of all rows are broadcast, so that their members stay in
+the tasks that have them; the text of a document that many are compared with goes to several
+tasks.  Classes are the connected components, found by joins with the lineage cut between
+rounds.
 
 Defined results: a null or empty text, or one without a word, is its own class; so is
 every row with a null ``doc_id`` in ``classes``, and ``dedup`` keeps it; a text of fewer
 than five words is one shingle; rows that repeat an id count once in ``classes``, and
-``dedup`` keeps one of them; an empty table gives no rows.  Other columns of the input are
-ignored by ``classes`` and passed through by ``dedup``.
+``dedup`` keeps the one with the least text that isn't null, then the one
+whose other columns hash lowest; an empty table gives no rows; a very long text is read whole.  Other columns of the
+input are ignored by ``classes`` and passed through by ``dedup``.
 """
 
 from __future__ import annotations
@@ -45,15 +49,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.shared import cut
+from chronoframe.llm.shared import bounded_batches, cut, join_facts, lean
 from chronoframe.llm.vocab import Memory
 
 WORDS = 5
 SIMILARITY = 0.8
 #: A pair at the similarity misses every band with probability (1 - 0.8^5)^24 < 0.0001.
 BANDS, ROWS = 24, 5
-#: Words that a worker remembers the hashes of, in each generation.
-REMEMBERED = 100_000
+#: Bytes of words that a worker remembers the hashes of, in each generation.
+REMEMBERED = 16 << 20
 #: Shingles that are signed together.
 AT_ONCE = 100_000
 #: Buckets with more representatives are compared in blocks of so many documents.
@@ -79,7 +83,7 @@ class Shingler:
 
     def __init__(self, words: int = WORDS):
         self.size = words
-        self.hashes = Memory(_word, REMEMBERED)
+        self.hashes = Memory(_word, REMEMBERED, 0)
 
     def shingles(self, text: str | None) -> np.ndarray:
         """Distinct shingle hashes in order."""
@@ -196,42 +200,51 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
                     held, sets, seen, size = [], [], {}, 0
 
     rows = docs.select(F.col(key).cast("long").alias("doc"), text).where(F.col("doc").isNotNull())
-    return rows.mapInArrow(run, "doc long, same binary, bands array<long>")
+    return rows.mapInArrow(lean(run), "doc long, same binary, bands array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
     """(doc, text) of the ids ``doc`` of ``wanted``; an id that repeats stands for one text,
     the least of them."""
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    texts = texts.join(wanted, "doc", "left_semi")
+    # ids are hashed, so that texts need no sorting
+    texts = texts.join(wanted.hint("shuffle_hash"), "doc", "left_semi")
     return cut(texts.groupBy("doc").agg(F.min("text").alias("text")))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """The (a, b) of ``pairs`` whose shingle sets are similar enough."""
+    """The (a, b) of ``pairs`` whose shingle sets are similar enough.
+
+    The texts of all b of an a follow a's own in one sorted stream; where there are many, a's
+    text heads several streams."""
+    pairs = cut(pairs.select("a", "b"))
     texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), text, key)
-    left = pairs.join(texts.withColumnsRenamed({"doc": "b", "text": "right"}), "b")
-    both = left.join(texts.withColumnsRenamed({"doc": "a", "text": "left"}), "a")
+    heads = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"), F.count(F.lit(1)).alias("n"))
+    heads = cut(heads)
+    members = join_facts(pairs, heads, ["a"], "n")
+    members = members.select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
+    members = members.join(texts.withColumnRenamed("doc", "b"), "b").select("a", "part", "b", "text")
+    own = heads.join(texts.withColumnRenamed("doc", "a"), "a")
+    own = own.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        last: dict[int, np.ndarray] = {}
+        x = np.zeros(0, np.uint64)
         for batch in batches:
-            a_, b_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for i, a in enumerate(a_):
-                if a not in last:
-                    last = {a: shingler.shingles(batch.column(2)[i].as_py())}
-                x, y = last[a], shingler.shingles(batch.column(3)[i].as_py())
+            found: list[tuple[int, int]] = []
+            for a, b, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                y = shingler.shingles(words.as_py())
+                if b is None:  # the head of a stream
+                    x = y
+                    continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9:
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([a_[i] for i in keep], pa.int64()), pa.array([b_[i] for i in keep], pa.int64())],
-                names=["a", "b"],
-            )
+                    found.append((a, b))
+            columns = zip(*found, strict=True) if found else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    streams = members.unionByName(own).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return streams.select("a", "b", "text").mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -272,20 +285,14 @@ def _with_roots(df: DataFrame, roots: DataFrame, doc: str, root: str) -> DataFra
     return df.join(named, doc, "left").withColumn(root, F.coalesce("__root", doc)).drop("__root")
 
 
-def _stars(buckets: DataFrame, *by: str) -> DataFrame:
-    """Pairs of each bucket's least member and every other."""
-    least = buckets.groupBy(*by).agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n"))
-    pairs = buckets.join(least.where("n > 1").drop("n"), list(by)).where("a < rep")
-    return pairs.select("a", F.col("rep").alias("b")).distinct()
-
-
 def _mixed(buckets: DataFrame, roots: DataFrame, *by: str) -> DataFrame:
-    """Members, with roots, of the buckets that hold more than one class."""
-    rooted = _with_roots(buckets, roots, "rep", "root")
+    """Members, with roots, of the buckets that hold more than one class, and ``n`` of each."""
+    rooted = cut(_with_roots(buckets, roots, "rep", "root"))
     several = rooted.groupBy(*by).agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")
     )
-    return rooted.join(several.where("lo < hi").select(*by, "n"), list(by))
+    several = cut(several.where("lo < hi").select(*by, "n", F.col("n").alias("weight")))
+    return join_facts(rooted, several, list(by), "weight")
 
 
 def _across(members: DataFrame, *by: str) -> DataFrame:
@@ -320,8 +327,8 @@ def _links_of_strays(large: DataFrame, docs: DataFrame, text: str, key: str) ->
     """The links (a, b) between documents of different classes that share one of ``large``
     buckets (band, hash, rep, root)."""
     sizes = large.groupBy("band", "hash", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("band", "hash").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    rows = large.join(main, ["band", "hash"]).select("main", "rep", "root").distinct()
+    main = cut(sizes.groupBy("band", "hash").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n")))
+    rows = join_facts(large, main, ["band", "hash"], "n").select("main", "rep", "root").distinct()
     rows = cut(rows.withColumn("stray", F.col("main") != F.col("root")))
     counts = rows.groupBy("main").agg(
         F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"),
@@ -353,8 +360,8 @@ def _links_of_strays(large: DataFrame, docs: DataFrame, text: str, key: str) ->
 
     cell = ["main", "stray_block", "block"]
     columns = ["main", "rep", "root", "blocks", "stray_blocks", "text"]
-    strays = rows.where("stray").select(*columns).mapInArrow(deal(True), shape)
-    every = rows.select(*columns).mapInArrow(deal(False), shape)
+    strays = rows.where("stray").select(*columns).mapInArrow(lean(deal(True)), shape)
+    every = rows.select(*columns).mapInArrow(lean(deal(False)), shape)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = (t.column("rep").to_numpy() for t in (left, right))
@@ -379,10 +386,13 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
         sigs.groupBy("same").agg(F.min("doc").alias("rep"), F.min_by("bands", "doc").alias("bands"))
     )
     buckets = reps.select("rep", F.posexplode("bands").alias("band", "hash"))
-    shared = buckets.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = cut(buckets.join(shared.drop("n"), ["band", "hash"]))
+    shared = buckets.groupBy("band", "hash").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n"))
+    shared = cut(shared.where("n > 1"))
+    buckets = cut(join_facts(buckets, shared, ["band", "hash"], "n"))
 
-    tried = cut(_stars(buckets, "band", "hash"))
+    # every member of a bucket with the least one
+    tried = cut(buckets.where("a < rep").select("a", F.col("rep").alias("b")).distinct())
+    buckets = buckets.drop("a")
     links = cut(verify(tried, docs, text, key))
     roots = cut(components(links))
 
@@ -407,13 +417,22 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each class: the least id's; of its rows, any one."""
+    """``docs`` with one row of each class: the least id's; of its rows, the one with the least
+    text, and of those the one whose other columns hash lowest."""
     kept = classes(docs, text, key).where("doc = class").select(F.col("doc").alias(key))
-    first = docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key])
-    return first.select(*docs.columns).union(docs.where(F.col(key).isNull()))
+    found = docs.where(F.col(key).isNotNull()).join(kept.hint("shuffle_hash"), key, "left_semi").select(*docs.columns)
+    repeated = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = cut(repeated.select(key))
+    if not repeated.isEmpty():
+        rest = [c for c in docs.columns if c not in (key, text)]
+        order = F.struct(F.col(text).isNull(), F.col(text), F.xxhash64(*rest) if rest else F.lit(0))
+        least = found.join(repeated, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+        found = found.join(repeated, key, "left_anti").select(*docs.columns).union(least.select("row.*"))
+    return found.union(docs.where(F.col(key).isNull()))
 
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = classes(docs)
     return out.select(

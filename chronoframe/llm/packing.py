@@ -27,18 +27,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.llm.shared import cut
+from chronoframe.llm.shared import bounded_batches, cut, lean
 from chronoframe.llm.vocab import vocabulary
 
 CAPACITY = 2048
 END_ID = 0
 #: Share of a bin that may stay empty when its partition is done with it.
-SLACK = 0.01
-#: Pieces that a task packs at once; more begin a new set of bins.
-BLOCK = 500_000
-#: Words that a worker remembers the ids of, in each generation: fewer than elsewhere, as
-#: packing follows other stages in the same workers.
-REMEMBERED = 200_000
+SLACK = 0.002
+#: Pieces of a leaf of the tree: a partition's pieces are packed in runs of so many, which
+#: bounds what a task holds.  Underfull bins of all leaves meet above, so that the place of a
+#: run's end costs nothing but the order in which nearly full bins are found.
+LEAF = 500_000
+#: Bytes of words that a worker remembers the ids of, in each generation.
+REMEMBERED = 32 << 20
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,13 +138,13 @@ def pieces(
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, PIECES)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(lean(run), PIECES)
 
 
 def _local(items: DataFrame, capacity: int) -> DataFrame:
     """``items`` packed within each partition, with ``bin``, ``offset``, ``node``, ``open``
     and ``place``, an open piece's place among those of its partition and length."""
-    names, most = items.columns, BLOCK
+    names, most = items.columns, LEAF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -179,7 +180,7 @@ def _local(items: DataFrame, capacity: int) -> DataFrame:
         if block:
             yield from packed(pa.Table.from_batches(block))
 
-    return items.mapInArrow(run, f"{_fields(items)}, bin long, offset long, node long, open boolean, place long")
+    return items.mapInArrow(lean(run), f"{_fields(items)}, bin long, offset long, node long, open boolean, place long")
 
 
 def _fields(df: DataFrame) -> str:
@@ -204,7 +205,7 @@ def _planned(rows: DataFrame, plan: np.ndarray, names: list[str]) -> DataFrame:
                 names=[*names, "bin", "offset"],
             )
 
-    return rows.mapInArrow(run, f"{_fields(rows.select(*names))}, bin long, offset long")
+    return rows.mapInArrow(lean(run), f"{_fields(rows.select(*names))}, bin long, offset long")
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -226,5 +227,6 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def op9_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return pack(pieces(docs, public_tokenizers.path("word_bpe_49k.json")))

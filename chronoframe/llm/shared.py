@@ -1,37 +1,72 @@
-"""The folder that driver and executors share, and lineage cut there."""
+"""What several operators need: lineage cut in the shared folder, joins that stand hot keys,
+and Python workers that hold little."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chronoframe.lineage import cut, make_dir, new_dir, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where that is unset, as in tests, a folder
-    of this machine, which serves a session that runs on one machine alone."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if set_dir:
-        return set_dir.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-    own = f"file://{tempfile.mkdtemp(prefix='chronoframe-')}"
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+__all__ = ["bounded_batches", "cut", "join_facts", "lean", "make_dir", "new_dir", "release", "shared_dir"]
 
+#: Rows and bytes of the Arrow batches that go to Python, at most.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+#: Keys that are joined by broadcast, at most, and rows below which a key never is.
+HOT, LEAST = 1_000, 32
 
-def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session, where it has no setting of its own: texts
+    are long, and a batch is held several times over by both sides."""
+    own = spark.conf.getAll
+    for name, value in BATCH.items():
+        if name not in own:
+            spark.conf.set(name, value)
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder: computed once, and read again after a loss."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
 
+def release() -> None:
+    """Gives memory that this worker no longer uses back to the machine: workers serve many
+    tasks, and what a task leaves behind counts against the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
-def make_dir(spark: SparkSession, folder: str) -> None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, then ``release``."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``rows`` inner-joined with their one row of ``facts`` by ``keys``; ``weight`` counts the
+    rows of each key and goes.  ``facts`` is read several times: it should be cut before.
+
+    Fewer than HOT keys can have more than one in HOT of all rows.  Their facts are broadcast,
+    so that their rows stay in the tasks that have them; all others are joined by a shuffle
+    that no key can unbalance.
+    """
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    bar = max(LEAST, total // HOT)
+    hot = F.broadcast(facts.where(F.col(weight) > bar).drop(weight))
+    cold = facts.where(F.col(weight) <= bar).drop(weight)
+    if not total:
+        return rows.join(cold, keys)
+    rest = rows.join(F.broadcast(facts.where(F.col(weight) > bar).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(cold, keys))

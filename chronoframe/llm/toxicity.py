@@ -1,26 +1,36 @@
 """Toxicity of texts that may hide their words.
 
-A noisy-channel decoder restores disguised words first: each character of a suspicious
-token opens to the letters it can stand for (leetspeak), separators and repeated letters
-may drop out, and Viterbi picks the path that is likeliest under a trigram model of
-letters times the channel.  The letter model is counted over all documents.  A linear
-model over restored words and word beginnings then scores the text.
+A noisy-channel decoder restores disguised words first.  Each character opens to the letters
+it can stand for (leetspeak), separators, repeated letters and spaces may drop out, and
+Viterbi picks the path that is likeliest under a trigram model of letters times the channel.
+The letter model is counted over all documents.  A linear model over restored words and word
+beginnings then scores the text.
+
+The lattice is that of the whole text, decoded where it can differ from the text:
+
+* tokens with marks, digits or doubled letters by themselves, as a letter model of order
+  three doesn't see past the two spaces around them;
+* runs of tokens of one character, spaces included, so that a run falls into words;
+* a space between tokens of two letters or more by a table: whether it stays depends on the
+  two letters on each side alone, not on what becomes of other spaces.
 
 The score's words are learned from labelled rows outside the held-out fold: at most
-TOXIC_ROWS and CLEAN_ROWS of them, those whose ids hash lowest.  Candidates are the words
-and beginnings that occur in enough toxic texts; those tied closest to the label are kept
-and weighted by logistic regression with balanced classes.
+TOXIC_ROWS and CLEAN_ROWS of them, those whose ids hash lowest.  Of the words and beginnings
+in them all that are tied closely enough to the label are kept and weighted by logistic
+regression with balanced classes.
 
 Defined results: null and empty texts get the score of a text without any known word;
 without a labelled toxic row every score is 0; a null ``doc_id`` is not held out; repeated
-rows give repeated results; an empty table gives no rows.  To learn from, an id counts once,
-with the greatest of its labels and the least of its texts; null labels don't count.  Input
-columns beyond those named are ignored or, in ``filter_toxic``, passed through.
+rows give repeated results; an empty table gives no rows; a very long text is read whole, in
+time that grows with it alone.  To learn from, an id counts once, with the greatest of its
+labels and the least of its texts; null labels don't count.  Input columns beyond those named
+are ignored or, in ``filter_toxic``, passed through.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -30,19 +40,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoframe.llm.shared import bounded_batches, cut, lean, release
 from chronoframe.llm.vocab import Memory
 
 #: Labelled rows to learn from, at most.
 TOXIC_ROWS, CLEAN_ROWS = 3_000, 5_000
-#: Words and beginnings to choose from, and to weigh.
-CANDIDATES, FEATURES = 20_000, 512
+#: Least number of toxic texts with a feature.
+SEEN = 3
 #: Least log-likelihood ratio between a feature and the label.
 TIE = 20.0
 #: Least share of toxic texts among those with a feature.
 SHARE = 0.8
 PREFIXES = range(3, 9)
-#: Tokens that a worker remembers the features of, in each generation.
-REMEMBERED = 100_000
+#: Bytes of tokens that a worker remembers the features of, in each generation.
+REMEMBERED = 12 << 20
+#: Counts that a worker holds before it sends them on.
+HELD = 100_000
 THRESHOLD = 0.7
 
 #: Letters that a character can stand for.
@@ -54,6 +67,10 @@ LEET = {
 SEPARATORS = "._-*~'`^"
 #: Logarithms of what the channel makes of a letter.
 KEPT, SWAPPED, SEPARATED, REPEATED, STRAY = 0.0, -1.0, -0.5, -0.7, -12.0
+#: The same for a space that drops out, in a run of single characters and between words.
+SPELLED, SPACED = -0.5, -2.0
+#: Single characters in a row that count as spelled.
+RUN = 3
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#%&$|~`^_-+=/\\@…»«“”„’‘"
 
 LETTERS = 28  # none, a to z, any other letter
@@ -78,11 +95,22 @@ def code(letter: str) -> int:
 def trigrams(texts: Iterable[str]) -> np.ndarray:
     """Counts of three letters in a row; what is no letter ends a word."""
     counts = np.zeros(LETTERS**3, np.int64)
-    for text in texts:
+
+    def add(text: str) -> None:
         cps = np.frombuffer(f"  {text}  ".encode("utf-32-le", "surrogatepass"), "<u4")
         c = CODES[np.minimum(cps, 0xFFFF)].astype(np.int32)
         tri = (c[:-2] * LETTERS + c[1:-1]) * LETTERS + c[2:]
-        counts += np.bincount(tri, minlength=LETTERS**3)
+        np.add(counts, np.bincount(tri, minlength=LETTERS**3), out=counts)
+
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= 1 << 17:  # what holds for two spaces holds for texts: neither sees the other
+            add("  ".join(held))
+            held, size = [], 0
+    if held:
+        add("  ".join(held))
     return counts
 
 
@@ -96,28 +124,40 @@ class LetterModel:
         p1 = (n1 + 1) / (n1.sum() + LETTERS)
         p2 = (n2 + strength * p1) / (n2.sum(1, keepdims=True) + strength)
         p3 = (n3 + strength * p2) / (n3.sum(2, keepdims=True) + strength)
-        self.log = np.log(p3).tolist()
-
-
-def restore(token: str, model: LetterModel) -> str:
-    """The likeliest letters behind ``token``, by Viterbi over its lattice."""
+        log = np.log(p3)
+        self.log = log.tolist()
+        # [a, b, c, d]: whether "ab cd" is likelier as one word
+        one = log[:, :, :, None] + log[None, :, :, :] + SPACED
+        two = log[:, :, 0, None, None] + log[None, :, 0, :, None] + log[0][None, None, :, :]
+        self.joins = (one > two).ravel()
+
+
+def options(ch: str, before: str) -> list[tuple[str, float]]:
+    """What a character can stand for, with the channel's price."""
+    if ch == " ":
+        return [(" ", KEPT), ("", SPELLED)]
+    out: list[tuple[str, float]] = []
+    if ch.isalpha():
+        out.append((ch, KEPT))
+        if ch == before:
+            out.append(("", REPEATED))
+    out += [(to, SWAPPED) for to in LEET.get(ch, "")]
+    if not ch.isalpha():
+        out.append(("", SEPARATED if ch in SEPARATORS else STRAY))
+    return out
+
+
+def restore(observed: str, model: LetterModel) -> str:
+    """The likeliest letters and spaces behind ``observed``, by Viterbi over its lattice."""
     paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     before = ""
-    for ch in token:
-        options: list[tuple[str, float]] = []
-        if ch.isalpha():
-            options.append((ch, KEPT))
-            if ch == before:
-                options.append(("", REPEATED))
-        for to in LEET.get(ch, ""):
-            options.append((to, SWAPPED))
-        if not ch.isalpha():
-            options.append(("", SEPARATED if ch in SEPARATORS else STRAY))
+    for ch in observed:
         step: dict[tuple[int, int], tuple[float, tuple]] = {}
+        open_to = options(ch, before)
         for (a, b), (score, path) in paths.items():
-            for to, channel in options:
+            for to, channel in open_to:
                 if to:
-                    c = code(to)
+                    c = 0 if to == " " else code(to)
                     key, new = (b, c), (score + channel + model.log[a][b][c], (path, to))
                 else:
                     key, new = (a, b), (score + channel, path)
@@ -138,18 +178,24 @@ def restore(token: str, model: LetterModel) -> str:
 
 def _suspicious(core: str) -> bool:
     if core.isalpha():
-        return any(a == b == c for a, b, c in zip(core, core[1:], core[2:], strict=False))
+        return any(a == b for a, b in zip(core, core[1:], strict=False))
     has = sum(c.isalpha() for c in core)
     odd = sum(c in LEET or c in SEPARATORS for c in core)
     return has > 0 and odd > 0 and has + odd == len(core)
 
 
+_WORD_BEFORE = re.compile(r"[^\W\d_]{1,24}\Z")
+_WORD_AFTER = re.compile(r"[^\W\d_]{1,24}")
+
+
 class Reader:
     """Features of a text: its restored words, and how they begin."""
 
     def __init__(self, model: LetterModel, known: dict[str, int] | None = None):
         self.model, self.known = model, known
-        self.words = Memory(self._word, REMEMBERED)
+        # features are numbers once they are known, strings before
+        self.words = Memory(self._word, REMEMBERED, 500 if known is None else 8)
+        self.longest = max((len(f) for f in known or ()), default=0)
 
     def _features(self, word: str) -> tuple:
         found = [word, *(word[:n] + "*" for n in PREFIXES if n < len(word))]
@@ -171,23 +217,61 @@ class Reader:
                 found.update(self._features(restore(hidden, self.model)))
         return tuple(found)
 
-    def read(self, text: str | None) -> set:
-        tokens = (text or "").lower().split()
-        found: set = set()
-        found.update(*filter(None, map(self.words.__getitem__, set(tokens))))
-        ones = [i for i, t in enumerate(tokens) if len(t) == 1]
+    def _spelled(self, tokens: list[str]) -> Iterator[str]:
+        """Features of the runs of single characters."""
+        ones = [i for i, t in enumerate(tokens) if len(t) <= 3 and len(t.strip(".,;:?!\"'()")) == 1]
         low = 0
-        for k in range(1, len(ones) + 1):  # words spelled with spaces
+        for k in range(1, len(ones) + 1):
             if k == len(ones) or ones[k] != ones[k - 1] + 1:
-                if k - low >= 3:
-                    spelled = "".join(tokens[ones[low] : ones[k - 1] + 1])
-                    word = restore(spelled, self.model)
-                    # a word of one letter may stand before or after the spelled one
-                    for a in range(3):
-                        for b in range(3):
-                            if len(word) - a - b >= 3:
-                                found.update(self._features(word[a : len(word) - b]))
+                if k - low >= RUN:
+                    run = [tokens[i].strip(".,;:?\"'()") or tokens[i] for i in ones[low:k]]
+                    word = restore(" ".join(run), self.model)
+                    for part in word.split():
+                        yield from self._features(part)
+                    if self.known is not None:  # a word's end may be taken for another's beginning
+                        word = word.replace(" ", "")
+                        for at in range(len(word) - PREFIXES[0]):
+                            for n in range(PREFIXES[0], self.longest + 1):
+                                for f in (word[at : at + n], word[at : at + n] + "*"):
+                                    if f in self.known:
+                                        yield self.known[f]
                 low = k
+
+    def _joined(self, text: str) -> Iterator[tuple[str, int]]:
+        """Words that a space parts although one word is likelier, and how long the part
+        before the space is."""
+        cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        at = np.flatnonzero(cps[2:-2] == 32) + 2
+        c = CODES[np.minimum(cps, 0xFFFF)].astype(np.int32)
+        a, b, d, e = c[at - 2], c[at - 1], c[at + 1], c[at + 2]
+        go = (b > 0) & (d > 0)
+        go &= self.model.joins[((a * LETTERS + b) * LETTERS + d) * LETTERS + e]
+        chain, first, end = "", 0, -1
+        for p in at[go].tolist():
+            left = _WORD_BEFORE.search(text, max(0, p - 24), p)
+            right = _WORD_AFTER.match(text, p + 1)
+            if left and right:
+                yield left[0] + right[0], len(left[0])
+                if p == end:
+                    chain += right[0]
+                    yield chain, first
+                else:
+                    chain, first = left[0] + right[0], len(left[0])
+                end = right.end()
+
+    def read(self, text: str | None) -> set:
+        low = (text or "").lower()
+        tokens = low.split()
+        found: set = set()
+        found.update(*filter(None, map(self.words.__getitem__, set(tokens))))
+        found.update(self._spelled(tokens))
+        # what is learned from are words as they stand
+        if self.known and len(low) > 4:
+            for word, left in self._joined(low):
+                # only what the parts don't have: features that reach over the space
+                for f in (word, *(word[:n] + "*" for n in PREFIXES if left < n < len(word))):
+                    if f in self.known:
+                        found.add(self.known[f])
         return found
 
 
@@ -217,6 +301,7 @@ def count_letters(docs: DataFrame, text: str = "text") -> np.ndarray:
         total = np.zeros(LETTERS**3, np.int64)
         for batch in batches:
             total += trigrams(t.as_py() for t in batch.column(0) if t.is_valid)
+        release()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
@@ -249,38 +334,48 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, key: str) ->
     return found.groupBy("__id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).drop("__id")
 
 
-def _toxic_features(sample: DataFrame, counts: np.ndarray) -> list[str]:
+def _tied(sample: DataFrame, counts: np.ndarray, toxic: int, rows: int) -> list[tuple[str, int, int]]:
+    """(feature, texts, toxic texts) of all features closely tied to the label, closest first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, seen = Reader(LetterModel(counts)), Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(reader.read(text.as_py()))
-        if seen:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())],
-                names=["feature", "n"],
-            )
 
-    toxic = sample.where("toxic = 1").select("text").mapInArrow(run, "feature string, n long")
-    total = toxic.groupBy("feature").agg(F.sum("n").alias("n")).where("n >= 3")
-    return [r[0] for r in total.orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()]
+        def told() -> pa.RecordBatch:
+            features, labels = zip(*seen, strict=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(features), pa.array(labels, pa.int32()), pa.array(list(seen.values()), pa.int64())],
+                names=["feature", "toxic", "n"],
+            )
 
+        for batch in batches:
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                seen.update((f, label) for f in reader.read(text.as_py()))
+                if len(seen) >= HELD:
+                    yield told()
+                    seen.clear()
+        if seen:
+            yield told()
 
-def _tie(a: np.ndarray, n: np.ndarray, toxic: int, rows: int) -> np.ndarray:
-    """Log-likelihood ratio of having a feature and being toxic; 0 if it speaks against."""
+    parts = sample.select("text", "toxic").mapInArrow(lean(run), "feature string, toxic int, n long")
+    by = parts.groupBy("feature").agg(
+        F.sum("n").cast("double").alias("n"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).cast("double").alias("a")
+    )
+    a, n, share = F.col("a"), F.col("n"), toxic / rows
 
-    def part(x: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(expected, 1e-9)), 0)
+    def part(x: Column, expected: Column) -> Column:
+        return F.when(x > 0, x * F.log(x / F.greatest(expected, F.lit(1e-9)))).otherwise(0.0)
 
-    b, c, d = n - a, toxic - a, rows - toxic - (n - a)
-    share = toxic / rows
-    g = 2 * (
+    tie = 2 * (
         part(a, n * share)
-        + part(b, n * (1 - share))
-        + part(c, (rows - n) * share)
-        + part(d, (rows - n) * (1 - share))
+        + part(n - a, n * (1 - share))
+        + part(toxic - a, (rows - n) * share)
+        + part(rows - toxic - (n - a), (rows - n) * (1 - share))
     )
-    return np.where(a > n * share, g, 0)
+    close = by.where((a >= SEEN) & (a > n * share) & (a >= SHARE * n)).withColumn("tie", F.round(tie, 6)).where(F.col("tie") >= TIE)
+    # what a bounded sample has
+    # of beginnings that say the same the longest is taken, and any before the whole word
+    order = [F.desc("tie"), F.desc(F.endswith("feature", F.lit("*"))), F.desc(F.length("feature")), F.col("feature")]
+    return [(f, int(k), int(t)) for f, k, t in close.orderBy(*order).select("feature", "n", "a").collect()]
 
 
 def fit(
@@ -288,8 +383,9 @@ def fit(
 ) -> Model:
     """The model for ``docs``, learned from ``labels`` (``key``, ``toxic``) outside the fold."""
     counts = count_letters(docs, text)
-    sample = labelled_sample(docs, labels, text, key)
-    names = _toxic_features(sample, counts)
+    sample = cut(labelled_sample(docs, labels, text, key))
+    rows, toxic = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    names = _distinct(_tied(sample, counts, toxic, rows)) if toxic else []
     if not names:
         return Model(counts, [], np.zeros(0), -math.inf)
     known = {f: i for i, f in enumerate(names)}
@@ -303,56 +399,42 @@ def fit(
                 names=["toxic", "found"],
             )
 
-    rows = sample.select("text", "toxic").mapInArrow(run, "toxic int, found array<int>").collect()
-    y = np.array([r[0] for r in rows], float)
-    if not 0 < y.sum():
-        return Model(counts, [], np.zeros(0), -math.inf)
-    n, a = np.zeros(len(names)), np.zeros(len(names))
-    for label, found in rows:
-        n[found] += 1
-        if label:
-            a[found] += 1
-    tie = _tie(a, n, int(y.sum()), len(y))
-    tie[a < SHARE * n] = 0
-    best = _distinct([i for i in np.argsort(-tie, kind="stable") if tie[i] >= TIE], names, n, a)
-    place = {int(f): k for k, f in enumerate(best)}
-    x = np.zeros((len(rows), len(best)), np.float32)
-    for r, (_, found) in enumerate(rows):
-        for f in found:
-            if f in place:
-                x[r, place[f]] = 1
-    weights, bias = _regress(x, y)
-    return Model(counts, [names[i] for i in best], weights, bias)
-
-
-def _distinct(order: list[int], names: list[str], n: np.ndarray, a: np.ndarray) -> list[int]:
-    """The first FEATURES of ``order``, leaving out a beginning or word that says the same
-    as one already taken: one begins the other, and as many texts have both."""
-    kept: list[int] = []
-    taken: set[tuple[str, float, float]] = set()
-    for i in order:
-        stem = names[i].rstrip("*")
-        says = {(stem[:k], n[i], a[i]) for k in range(PREFIXES[0], len(stem) + 1)}
+    # texts with the same features are one row with their number
+    each = sample.select("text", "toxic").mapInArrow(lean(run), "toxic int, found array<int>")
+    each = each.groupBy("toxic", "found").agg(F.count(F.lit(1)).alias("n")).orderBy("toxic", "found").collect()
+    weights, bias = _regress([r[1] for r in each], np.array([r[0] for r in each], float), np.array([r[2] for r in each], float), len(names))
+    return Model(counts, names, weights, bias)
+
+
+def _distinct(tied: list[tuple[str, int, int]]) -> list[str]:
+    """Features in order, leaving out a beginning or word that says the same as one already
+    taken: one begins the other, and as many texts have both."""
+    kept: list[str] = []
+    taken: set[tuple[str, int, int]] = set()
+    for name, n, a in tied:
+        stem = name.rstrip("*")
+        says = {(stem[:k], n, a) for k in range(PREFIXES[0], len(stem) + 1)}
         if not says & taken:
-            kept.append(i)
-            if len(kept) == FEATURES:
-                break
+            kept.append(name)
         taken |= says
     return kept
 
 
-def _regress(x: np.ndarray, y: np.ndarray, steps: int = 1000) -> tuple[np.ndarray, float]:
-    """Logistic regression, classes balanced, by accelerated gradient descent."""
-    share = y.mean()
-    w8 = np.where(y == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / len(y)
-    w, b, l2 = np.zeros(x.shape[1]), 0.0, 1e-4
-    reach = float((x.sum(1) + 1).max()) if x.size else 1.0
-    rate = 1.0 / (0.25 * reach + l2)
+def _regress(found: list[list[int]], y: np.ndarray, n: np.ndarray, size: int, steps: int = 1000) -> tuple[np.ndarray, float]:
+    """Logistic regression of ``y``, rows counting ``n`` times, classes balanced, by accelerated
+    gradient descent.  Rows hold the numbers of their features, which are few."""
+    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    column = np.array([f for r in found for f in r], np.int64)
+    share = float((n * y).sum() / n.sum())
+    w8 = n * np.where(y == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / n.sum()
+    w, b, l2 = np.zeros(size), 0.0, 1e-4
+    rate = 1.0 / (0.25 * (max((len(f) for f in found), default=0) + 1) + l2)
     vw, vb = w.copy(), b
     for t in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ vw + vb, -40, 40)))
-        e = w8 * (p - y)
-        nw, nb = vw - rate * (x.T @ e + l2 * vw), vb - rate * e.sum()
+        z = np.bincount(row, weights=vw[column], minlength=len(y)) + vb
+        e = w8 * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
+        nw = vw - rate * (np.bincount(column, weights=e[row], minlength=size) + l2 * vw)
+        nb = vb - rate * e.sum()
         m = t / (t + 3)
         vw, vb = nw + m * (nw - w), nb + m * (nb - b)
         w, b = nw, nb
@@ -360,21 +442,18 @@ def _regress(x: np.ndarray, y: np.ndarray, steps: int = 1000) -> tuple[np.ndarra
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``score``; an input column of that name is replaced."""
-    names = [c for c in docs.columns if c != "score"]
-    at = names.index(text)
+    """``docs`` with ``score``; an input column of that name is replaced.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only texts go to Python and only scores come back."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = model.reader()
-        for batch in batches:
-            scores = [model.score(reader.read(t.as_py())) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores, pa.float64())], names=[*names, "score"]
-            )
+        for texts in batches:
+            yield pa.array([model.score(reader.read(t.as_py())) for t in texts], pa.float64())
+        del reader
+        release()
 
-    rows = docs.select(*names)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{fields}, score double")
+    return docs.withColumn("score", F.arrow_udf(run, "double")(F.col(text)))
 
 
 def filter_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -384,29 +463,13 @@ def filter_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = fit(docs, labels)
-    out = _ids_scored(docs, model)
+    out = scored(docs, fit(docs, labels))
     return out.select(
-        "doc_id",
+        F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(fold() == 1, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
-
-
-def _ids_scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id`` and ``score`` only: texts don't come back from the workers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = model.reader()
-        for batch in batches:
-            scores = [model.score(reader.read(t.as_py())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"]
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, score double"
-    )

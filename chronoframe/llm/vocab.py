@@ -26,8 +26,10 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Entries in each generation of a memory; bounds a worker's memory, not its results.
-REMEMBERED = 400_000
+#: Bytes of each generation of a memory; bounds a worker's memory, not its results.
+REMEMBERED = 48 << 20
+#: Marks that often end a word; none is a letter, number or white space.
+MARKS = ".,;:!?)\"%&#$*]"
 
 #: The split patterns that the two vocabulary files name.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -60,10 +62,21 @@ def byte_letters() -> dict[int, str]:
 LETTERS = byte_letters()
 
 
+class _Lettered(dict):
+    """The letters of each character's bytes, by code point."""
+
+    def __missing__(self, point: int) -> str:
+        self[point] = letters = "".join(LETTERS[b] for b in chr(point).encode("utf-8", "surrogatepass"))
+        return letters
+
+
+_LETTERED = _Lettered()
+
+
 def lettered(piece: str) -> str:
     if piece.isascii() and piece.isprintable():
         return piece.replace(" ", LETTERS[32])
-    return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(LETTERS)
+    return piece.translate(_LETTERED)
 
 
 def known(text: str) -> bool:
@@ -74,19 +87,32 @@ def known(text: str) -> bool:
 
 
 class Memory(dict):
-    """The last entries used: two generations, the older dropped when the newer is full."""
+    """The last entries used, in two generations: the older goes when the newer is full.
 
-    def __init__(self, make, size: int = REMEMBERED):
+    ``room`` bounds the bytes of a generation: about FIXED for each entry, two for each
+    character of its key and ``each`` for each item of its value.  Keys of over LONG
+    characters hardly come again and are not kept.  Keys that aren't strings (``plain``)
+    are of one size.
+    """
+
+    FIXED, LONG = 160, 48
+
+    def __init__(self, make, room: int, each: int = 1, plain: bool = False):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.room, self.each, self.plain = make, room, each, plain
+        self.left, self.old = room, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.size:
+            if not self.plain and len(key) > self.LONG:
+                return value
+        self.left -= self.FIXED + (0 if self.plain else 2 * len(key)) + (self.each * len(value) if self.each else 0)
+        if self.left < 0:
             self.old = dict(self)
             self.clear()
+            self.left = self.room
         self[key] = value
         return value
 
@@ -122,6 +148,11 @@ def byte_pieces(chunk: str) -> list[str]:
     return (_ASCII_BYTE if chunk.isascii() else _BYTE).findall(chunk)
 
 
+def read_spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
 class Vocabulary:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does."""
 
@@ -130,32 +161,40 @@ class Vocabulary:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        with open(path, encoding="utf-8") as f:
-            self.spec = json.load(f)
-        self.specials = [t["content"] for t in self.spec["added_tokens"]]
-        text = json.dumps([self.spec["normalizer"], self.spec["pre_tokenizer"]])
+        spec = read_spec(path)
+        self.specials = [t["content"] for t in spec["added_tokens"]]
+        text = json.dumps([spec["normalizer"], spec["pre_tokenizer"]])
         if json.dumps(WORD)[1:-1] in text and '"Lowercase"' in text:
             self.style = "word"
-        elif self.spec["normalizer"] is None and '"use_regex": true' in text:
+        elif spec["normalizer"] is None and '"use_regex": true' in text:
             self.style = "byte"
         else:
             self.style = "other"
-        self.pieces = Memory(self.piece, remembered)
+        self.tokenize = self.library.model.tokenize
+        # pieces are few: marks, numbers, parts of odd chunks
+        self.pieces = Memory(self.piece, remembered // 8)
         self.chunks = Memory(
             self.word_chunk if self.style == "word" else self.byte_chunk, remembered
         )
 
     def piece(self, piece: str) -> bytes:
         """Ids of one piece that the pre-tokenizer leaves whole."""
-        tokens = self.library.model.tokenize(lettered(piece))
-        return array("I", [t.id for t in tokens]).tobytes()
+        return array("I", [t.id for t in self.tokenize(lettered(piece))]).tobytes()
 
     def word_chunk(self, chunk: str) -> bytes:
+        core = chunk.rstrip(MARKS)
+        if core.isalpha() and core.isascii():
+            if len(core) == len(chunk):
+                return self.piece(chunk.lower())
+            return self.chunks[core] + self.pieces[chunk[len(core) :]]
         return b"".join([self.pieces[p] for p in word_pieces(chunk)])
 
     def byte_chunk(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha():
-            return self.pieces[" " + chunk]
+        core = chunk.rstrip(MARKS)
+        if core.isalpha():
+            if len(core) == len(chunk):
+                return self.piece(" " + chunk)
+            return self.chunks[core] + self.pieces[chunk[len(core) :]]
         return b"".join([self.pieces[p] for p in byte_pieces(" " + chunk)])
 
     def whole(self, text: str) -> bytes:

@@ -1,8 +1,12 @@
 """A corpus made ready for training: toxic documents go, near copies go, personal data is
 masked, and what is left is packed into sequences.
 
-Each stage reads what the stage before it wrote.  Null texts pass the first two stages
-(they have no words to judge), stay null in the third and are packed as an end id alone.
+Each stage reads what the stage before it wrote.  Null and empty texts pass the first two
+stages (they have no words to judge), stay as they are in the third and are packed as an end
+id alone.  Very long texts are judged, masked and packed whole.  Rows that repeat an id are
+judged each by the first stage; of those it leaves the second keeps one, the one with the
+least text.  Rows with a null id are all kept.  An empty table gives no rows.  Columns beyond
+those of ``documents`` pass the first three stages.
 """
 
 from __future__ import annotations
@@ -13,13 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoframe.llm import dartminhash, packing, pii, toxicity
-from chronoframe.llm.shared import new_dir
+from chronoframe.llm.shared import bounded_batches, new_dir
 
 #: No SQL: a learned score, sampled signatures and a tokenizer decide.
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return toxicity.filter_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

@@ -133,7 +133,7 @@ def test_best_fit_of_counts(seed):
 # bins of short pieces that are full already stay as they are: the second case's 10 %
 @pytest.mark.parametrize("long,short,more", [("1200", "800", 1), ("1030 + pmod(xxhash64(id), 471)", "550 + pmod(xxhash64(id), 401)", 1.1)])
 def test_packing_of_unlike_partitions(spark, monkeypatch, long, short, more):
-    monkeypatch.setattr(packing, "BLOCK", 10_000)
+    monkeypatch.setattr(packing, "LEAF", 10_000)
     items = spark.range(40_000, numPartitions=2).selectExpr("id AS doc_id", f"if(id < 20000, {long}, {short}) AS length")
     got = packing.pack(items).collect()
     assert sorted(r.doc_id for r in got) == list(range(40_000))
