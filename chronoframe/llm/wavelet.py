@@ -56,6 +56,7 @@ class Plane:
         np.cumsum(ones, out=self.before[1:])
         self.fetch = fetch
         self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.all: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def of(cls, words: np.ndarray) -> Plane:
@@ -69,7 +70,13 @@ class Plane:
         return len(self.before) - 1
 
     def words(self) -> np.ndarray:
-        return np.concatenate([self.fetch(i) for i in range(self.chunks)] or [np.zeros(0, np.uint64)])
+        """All words, which later ranks are taken from."""
+        if self.all is None:
+            words = np.concatenate([self.fetch(i) for i in range(self.chunks)] or [np.zeros(0, np.uint64)])
+            ranks = np.zeros(len(words) + 1, np.int64)
+            np.cumsum(np.bitwise_count(words), out=ranks[1:])
+            self.all = words, ranks
+        return self.all[0]
 
     def chunk(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Words of a chunk, and the ones in it before each word."""
@@ -84,17 +91,23 @@ class Plane:
         """Ones before each place."""
         at = np.asarray(at, np.int64)
         flat = at.ravel()
+        if self.all is not None:
+            return self._ranks(*self.all, flat).reshape(at.shape)
         which = flat // CHUNK
         out = self.before[np.minimum(which, self.chunks)].copy()
         for i in np.unique(which[which < self.chunks]).tolist():
             own = np.flatnonzero(which == i)
-            words, ranks = self.chunk(i)
-            word, bit = np.divmod(flat[own] - i * CHUNK, WORD)
-            mask = (np.uint64(1) << bit.astype(np.uint64)) - np.uint64(1)
-            here = words[np.minimum(word, len(words) - 1)] & mask
-            out[own] += ranks[word] + np.bitwise_count(here)
+            out[own] += self._ranks(*self.chunk(i), flat[own] - i * CHUNK)
         return out.reshape(at.shape)
 
+    @staticmethod
+    def _ranks(words: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if not len(words):
+            return np.zeros(len(at), np.int64)
+        word, bit = at >> 6, at & 63
+        mask = (np.uint64(1) << bit.astype(np.uint64)) - np.uint64(1)
+        return ranks[word] + np.bitwise_count(words[np.minimum(word, len(words) - 1)] & mask)
+
     def select(self, one: int, n: int) -> int:
         """Place of the ``n``-th (from 0) bit that equals ``one``."""
         counts = self.before if one else np.arange(len(self.before)) * CHUNK - self.before

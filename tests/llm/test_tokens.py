@@ -149,13 +149,30 @@ def test_packing_nothing(spark):
 @pytest.mark.parametrize("values", [[], [0], [7] * 100, [0, 65_535, 3, 3], list(range(300)) * 3])
 def test_wavelet_matrix(values):
     v = np.array(values, np.uint32)
-    keys, lengths, m = wavelet.load(wavelet.dump(v, np.array([len(v)]), [None], 0))
-    assert keys == [None] and lengths.tolist() == [len(v)]
-    assert m.values().tolist() == values and (not values or m.access(np.arange(len(v))).tolist() == values)
-    for x in {*values, 1, 70_000}:
-        at = [i for i, y in enumerate(values) if y == x]
-        assert m.count(x) == len(at) and m.count(x, len(values) // 2) == sum(i < len(values) // 2 for i in at)
-        assert [m.find(x, n) for n in range(len(at) + 1)] == [*at, -1]
+    data = wavelet.dump(v, np.array([len(v)]), [None])
+    for whole in (False, True):  # chunks as they are needed, then all of them
+        shard = wavelet.load(data)
+        m = shard.matrix
+        keys, lengths = shard.documents()
+        assert keys == [None] and lengths.tolist() == [len(v)]
+        assert not whole or m.values().tolist() == values
+        assert not values or m.access(np.arange(len(v))).tolist() == values
+        for x in {*values, 1, 70_000}:
+            at = [i for i, y in enumerate(values) if y == x]
+            assert m.count(x) == len(at) and m.count(x, len(values) // 2) == sum(i < len(values) // 2 for i in at)
+            assert [m.find(x, n) for n in range(len(at) + 1)] == [*at, -1]
+
+
+def test_wavelet_chunks(monkeypatch):
+    monkeypatch.setattr(wavelet, "CHUNK", 128)
+    v = np.random.default_rng(5).integers(0, 90, 1000).astype(np.uint32)
+    data, read = wavelet.dump(v, np.array([len(v)]), [7]), []
+    shard = wavelet.Shard(lambda at, n: read.append(n) or data[at : at + n])
+    m = shard.matrix
+    assert int(m.access(517)) == v[517] and sum(read) < len(data) // 2
+    assert m.access(np.arange(1000)).tolist() == v.tolist() and m.values().tolist() == v.tolist()
+    assert m.count(np.arange(90), 600).tolist() == [int((v[:600] == x).sum()) for x in range(90)]
+    assert [m.find(3, n) for n in range(int((v == 3).sum()))] == np.flatnonzero(v == 3).tolist()
 
 
 @pytest.mark.parametrize("shard", [1, 500, 10**6])
@@ -164,7 +181,7 @@ def test_token_files(spark, shard):
     folder = shared.new_dir(spark, "wavelet")
     shared.make_dir(spark, folder)
     made = shared.cut(wavelet.write(docs(spark, TEXTS, ids).repartition(3), BYTE, folder, shard_ids=shard))
-    got = wavelet.read(spark, folder, wavelet.bases(made)).orderBy("start").collect()
+    got = wavelet.read(wavelet.bases(made), folder).orderBy("start").collect()
     lib, at = Tokenizer.from_file(BYTE), 0
     want = {}
     for i, t in zip(ids, TEXTS, strict=True):
@@ -174,10 +191,18 @@ def test_token_files(spark, shard):
     for r in got:
         assert r.start == at and (r.n_tokens, r.ids_crc32) in want[r.doc_id]
         at += r.n_tokens
+    texts = dict(zip(ids, TEXTS, strict=True))
+    asked = spark.createDataFrame([(1, 0), (9, 0), (9, 1), (1, 10**6), (77, 0)], "doc_id long, at long")
+    told = {(r.doc_id, r.at): r.id for r in wavelet.tokens(made, folder, asked).collect()}
+    tokens = {i: [*lib.encode(texts[i] or "", add_special_tokens=False).ids, 0] for i in (1, 9)}
+    assert told == {(i, a): tokens[i][a] for i, a in ((1, 0), (9, 0), (9, 1)) if a < len(tokens[i])}
+    every = [x for t in TEXTS for x in [*lib.encode(t or "", add_special_tokens=False).ids, 0]]
+    some = [0, every[0], 50_000]
+    assert {r.id: r.n for r in wavelet.occurrences(made, folder, some).collect()} == {x: every.count(x) for x in some}
 
 
 def test_token_files_of_nothing(spark):
     folder = shared.new_dir(spark, "wavelet")
     shared.make_dir(spark, folder)
     made = shared.cut(wavelet.write(docs(spark, []), BYTE, folder))
-    assert wavelet.read(spark, folder, wavelet.bases(made)).count() == 0
+    assert wavelet.read(wavelet.bases(made), folder).count() == 0
