@@ -6,8 +6,10 @@ Two further kinds need more than a pattern: ``iban`` must pass mod-97 and ``nati
 must have a context word near it.
 
 Defined results: a null text counts as empty and has no spans; a null ``doc_id`` is kept;
-repeated rows give repeated results; other columns of the input pass through ``scan``
-unless they carry the name of one of its results, which then replaces them.
+repeated rows give repeated results; an empty table gives no rows; other columns of the
+input pass through ``scan`` unless they carry the name of one of its results, which then
+replaces them.  A very long text is scanned whole: what stands around a match is looked up in
+blocks of BLOCK code points, so that time grows with the text alone.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 
 from chronoframe.llm import spans as S
 
-#: Code points of the gap before and after a match in which context words count.
+#: Code points before and after a match in which context words count.
 BEFORE, AFTER = 40, 20
+#: Code points of the blocks that a text with matches is cut into.
+BLOCK = 1024
 #: A span of a kind that the base does not keep needs this score.
 KEEP = 60
 
@@ -43,7 +47,13 @@ class Kind:
 
     @property
     def context(self) -> str:
-        return "|".join(map(S.any_case, self.words))
+        """The words by themselves, or with an s for more than one."""
+        return f"(?:^|[^A-Za-z])(?:{'|'.join(map(S.any_case, self.words))})[Ss]?(?:[^A-Za-z]|$)"
+
+    def may_hold(self, text: Column) -> Column:
+        """A cheap test that every text with a match passes."""
+        sign = {"email": "@", "phone": "+"}.get(self.name)
+        return F.contains(text, F.lit(sign)) if sign else text.rlike("[0-9]")
 
 
 KINDS = (
@@ -51,7 +61,7 @@ KINDS = (
         "email",
         r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
         r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-        90, 5, ("mail", "contact", "write to"),
+        90, 5, ("mail", "email", "mailto", "contact", "write to"),
     ),
     Kind(
         "ip",
@@ -69,7 +79,7 @@ KINDS = (
         "phone",
         r"\+[0-9][\x20().0-9-]+[0-9]",
         r"\+[0-9][\x20().0-9-]+[0-9]",
-        60, 30, ("phone", "call", "tel", "fax", "mobile"),
+        60, 30, ("phone", "telephone", "call", "tel", "fax", "mobile"),
     ),
     Kind(
         "iban",
@@ -121,40 +131,57 @@ def _valid(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
-def _found(kind: Kind, hit: Column, gap: Column, start: Column) -> Column:
-    """Array of (kind, start, end, score, value) of the matches that hold."""
+def _around(blocks: Column, low: Column, high: Column) -> Column:
+    """The text from ``low`` to ``high``, which are less than BLOCK apart."""
+    block = F.floor(low / BLOCK).cast("int")
+    both = F.concat(F.get(blocks, block), F.coalesce(F.get(blocks, block + 1), F.lit("")))
+    return F.substring(both, (low - block * BLOCK + 1).cast("int"), (high - low).cast("int"))
+
+
+def _matches(kind: Kind, hit: Column, start: Column) -> Column:
+    """Array of (start, value) of the matches that hold."""
+    found = F.transform(hit, lambda h, i: F.struct(F.get(start, i).alias("start"), h.alias("value")))
+    return F.filter(found, lambda s: _valid(kind.name, s["value"]))
+
+
+def _found(kind: Kind, matches: Column, blocks: Column) -> Column:
+    """Array of (kind, start, end, score, value) of the matches that count."""
 
-    def one(h: Column, i: Column) -> Column:
-        near = F.right(F.get(gap, i), F.lit(BEFORE)).rlike(kind.context) | F.left(
-            F.get(gap, i + 1), F.lit(AFTER)
-        ).rlike(kind.context)
-        at = F.get(start, i)
+    def one(s: Column) -> Column:
+        low, high = s["start"], s["start"] + F.length(s["value"])
+        before = _around(blocks, F.greatest(low - BEFORE, F.lit(0)), low)
+        near = before.rlike(kind.context) | _around(blocks, high, high + AFTER).rlike(kind.context)
         return F.struct(
             F.lit(kind.name).alias("kind"),
-            at.alias("start"),
-            (at + F.length(h)).alias("end"),
+            low.alias("start"),
+            high.alias("end"),
             (F.lit(kind.score) + F.when(near, kind.boost).otherwise(0)).alias("score"),
-            h.alias("value"),
+            s["value"].alias("value"),
         )
 
-    found = F.filter(F.transform(hit, one), lambda s: _valid(kind.name, s["value"]))
+    found = F.transform(matches, one)
     return found if kind.base else F.filter(found, lambda s: s["score"] >= KEEP)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``pii``, the spans of every kind in order of kind, then start."""
     whole = F.coalesce(F.col(text), F.lit(""))
+    none = F.array().cast("array<string>")
     hit = {k: f"__hit_{k.name}" for k in KINDS}
     gap = {k: f"__gap_{k.name}" for k in KINDS}
     at = {k: f"__at_{k.name}" for k in KINDS}
-    out = docs.withColumns({hit[k]: S.hits(whole, k.java) for k in KINDS})
+    out = docs.withColumns({hit[k]: F.when(k.may_hold(whole), S.hits(whole, k.java)).otherwise(none) for k in KINDS})
     out = out.withColumns(
         {gap[k]: F.when(F.size(hit[k]) > 0, S.gaps(whole, k.java)) for k in KINDS}
     )
     out = out.withColumns({at[k]: S.starts(F.col(hit[k]), F.col(gap[k])) for k in KINDS})
-    found = [_found(k, F.col(hit[k]), F.col(gap[k]), F.col(at[k])) for k in KINDS]
+    out = out.withColumns({hit[k]: _matches(k, F.col(hit[k]), F.col(at[k])) for k in KINDS})
+    some = F.greatest(*(F.size(hit[k]) for k in KINDS)) > 0
+    blocks = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    out = out.withColumn("__blocks", F.when(some, blocks))
+    found = [_found(k, F.col(hit[k]), F.col("__blocks")) for k in KINDS]
     return out.withColumn("pii", F.concat(*found)).drop(
-        *hit.values(), *gap.values(), *at.values()
+        "__blocks", *hit.values(), *gap.values(), *at.values()
     )
 
 
@@ -242,14 +269,14 @@ def _sql_spans(kind: Kind) -> str:
     return f"""
       SELECT r, {KINDS.index(kind)} AS k, '{kind.name}' AS kind, s, e, score FROM (
         SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS d, s + length(v) AS e,
-          {kind.score} + CASE WHEN regexp_matches(right(before, {BEFORE}), '{kind.context}')
-            OR regexp_matches(left(after, {AFTER}), '{kind.context}') THEN {kind.boost} ELSE 0 END AS score
+          {kind.score} + CASE WHEN regexp_matches(t[greatest(s - {BEFORE}, 0) + 1:s], '{kind.context}')
+            OR regexp_matches(t[s + length(v) + 1:s + length(v) + {AFTER}], '{kind.context}') THEN {kind.boost} ELSE 0 END AS score
         FROM (
-          SELECT r, unnest(h) AS v, unnest(g[:len(h)]) AS before, unnest(g[2:]) AS after,
+          SELECT r, t, unnest(h) AS v,
             unnest(list_transform(range(1, len(h) + 1), lambda i:
               CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
               + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS BIGINT))) AS s
-          FROM (SELECT r, regexp_extract_all(t, '{kind.pattern}') AS h,
+          FROM (SELECT r, t, regexp_extract_all(t, '{kind.pattern}') AS h,
                   string_split_regex(t, '{kind.pattern}') AS g FROM docs)))
       WHERE {checks.get(kind.name, "true")}{least}"""
 

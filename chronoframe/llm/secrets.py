@@ -1,21 +1,22 @@
 """Secrets, told apart by who owns them.
 
 Patterns propose candidates in every text.  The corpus then says what each candidate
-value is: one that many owners hold is a copied example, one that a single owner holds
-looks live.  A value is known by its hash; only hashes, documents and owners are
-shuffled, never texts.
+value is: one that COPIED_OWNERS owners or COPIED_REPOS repositories hold is a copied
+example, one that few repositories of few owners hold looks live.  A value is known by its
+hash; only hashes, documents and owners are shuffled, never texts.
 
 Frequencies are built in two steps that combine before the shuffle: first the distinct
 (hash, owner, repository), then counts by hash.  A value that a third of all rows hold
-is thus few rows for each map task.  Verdicts go back by a join on the hash, whose large
-side AQE can split, and from there by document.
+is thus few rows for each map task.  Verdicts go back by a join on the hash; those of
+values with a large share of all rows are broadcast.  Rows without a candidate take no part.
 
 The base kinds stay whatever their verdict.  ``generic`` candidates (long mixed tokens
-with no telling name) become spans only if one owner alone holds them.
+with no telling name) become spans only if they look live and one owner alone holds them.
 
-Defined results: a null text counts as empty; null owners are one owner; a null
-``doc_id`` is kept; repeated rows give repeated results and count once as a repository;
-an empty table gives no rows.  Input columns beyond those named are ignored.
+Defined results: a null text counts as empty; null owners are one owner, and null
+repositories of an owner one repository; a null ``doc_id`` is kept; repeated rows give
+repeated results and count once as a repository; a very long text is scanned whole; an empty
+table gives no rows.  Input columns beyond those named are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.llm import spans as S
-from chronoframe.llm.shared import cut
+from chronoframe.llm.shared import cut, join_facts
 
 NAMES = "|".join(
     [*map(S.any_case, ("password", "passwd", "secret", "token")), "[Aa][Pp][Ii]_?[Kk][Ee][Yy]"]
@@ -41,8 +42,8 @@ KINDS = (
 )
 RANK = {k[0]: i for i, k in enumerate(KINDS)}
 BASE = ("assign", "access", "hex")
-#: A value with at least so many owners is an example; with fewer it looks live.
-COPIED_OWNERS = 3
+#: A value with at least so many owners, or repositories, is an example.
+COPIED_OWNERS, COPIED_REPOS = 3, 8
 
 
 def _mixed(value: Column) -> Column:
@@ -97,11 +98,11 @@ def candidates(docs: DataFrame, text: str, *keys: Column) -> DataFrame:
 
 
 def ownership(held: DataFrame) -> DataFrame:
-    """``hash``, ``n_owners`` and ``n_repos`` of ``held`` (hash, owner, repo)."""
-    once = held.select("hash", "owner", "repo").distinct()
-    by_owner = once.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
+    """``hash``, ``n_owners``, ``n_repos`` and ``n`` (rows) of ``held`` (hash, owner, repo)."""
+    once = held.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
+    by_owner = once.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
     return by_owner.groupBy("hash").agg(
-        F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos")
+        F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n")
     )
 
 
@@ -113,35 +114,21 @@ def scan(
     ``secrets`` holds (start, rank, end, hash, n_owners, n_repos, live), by start and kind.
     """
     rows = candidates(docs, text, F.col(repo).alias("repo"), F.col(owner).alias("owner"))
-    rows = cut(rows.groupBy("repo", "owner", "found").agg(F.count(F.lit(1)).alias("copies")))
-    each = rows.select(
-        "repo",
-        "owner",
-        "copies",
-        F.xxhash64("found").alias("row"),
-        F.explode_outer("found").alias("c"),
-    ).select(
-        "*",
-        # rows without a candidate match nothing, each under a key of its own
-        F.coalesce("c.hash", F.concat(F.lit("none"), F.coalesce(F.col("repo").cast("string"), F.lit("")))).alias("hash"),
+    # numbers of rows are fixed by what is written
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    each = rows.select("row", "repo", "owner", F.explode("found").alias("c"))
+    each = each.select("row", "repo", "owner", "c", F.col("c.hash").alias("hash"))
+    live = (F.col("n_owners") < COPIED_OWNERS) & (F.col("n_repos") < COPIED_REPOS)
+    known = cut(ownership(each.select("hash", "owner", "repo")).withColumn("live", live))
+    judged = join_facts(each, known, ["hash"], "n")
+    span = F.struct("c.start", "c.rank", "c.end", "c.hash", "n_owners", "n_repos", "live")
+    kept = (F.col("c.rank") != RANK["generic"]) | (F.col("live") & (F.col("n_owners") == 1))
+    whole = judged.groupBy("row").agg(
+        F.first("repo").alias("repo"), F.array_sort(F.collect_list(F.when(kept, span))).alias("secrets")
     )
-    known = ownership(each.where(F.col("c").isNotNull()))
-    judged = each.join(known, "hash", "left")
-    live = F.col("n_owners") < COPIED_OWNERS
-    span = F.struct(
-        "c.start", "c.rank", "c.end", "c.hash", "n_owners", "n_repos", live.alias("live")
-    )
-    kept = F.col("c").isNotNull() & (
-        (F.col("c.rank") != RANK["generic"]) | (F.col("n_owners") == 1)
-    )
-    whole = judged.groupBy("repo", "owner", "row", "copies").agg(
-        F.array_sort(F.collect_list(F.when(kept, span))).alias("secrets")
-    )
-    return whole.select(
-        F.col("repo").alias(repo),
-        "secrets",
-        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
-    ).drop("copy")
+    none = F.array().cast(whole.schema["secrets"].dataType)
+    without = rows.where(F.size("found") == 0).select(F.col("repo").alias(repo), none.alias("secrets"))
+    return whole.select(F.col("repo").alias(repo), "secrets").union(without)
 
 
 def join_spans(spans: Column) -> Column:
@@ -172,6 +159,9 @@ def op2_secrets(spark, sf_dir: str) -> DataFrame:
         join_spans(F.col("secrets")).alias("spans"),
         size(lambda s: s["live"]).alias("n_live"),
         size(lambda s: ~s["live"]).alias("n_example"),
+        F.array_join(
+            F.transform("secrets", lambda s: F.concat_ws("/", s["n_owners"], s["n_repos"])), ","
+        ).alias("held_by"),
     )
 
 
@@ -205,11 +195,18 @@ def oracle() -> str:
     WITH docs AS (
       SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
     found AS ({found}),
-    known AS (SELECT hash, count(DISTINCT coalesce(source, '<null>')) AS n_owners FROM found GROUP BY hash),
-    kept AS (SELECT found.*, n_owners FROM found JOIN known USING (hash) WHERE kind <> 'generic' OR n_owners = 1)
+    known AS (
+      SELECT hash, count(DISTINCT coalesce(source, '<null>')) AS n_owners,
+        count(DISTINCT coalesce(source, '<null>') || ':' || coalesce(CAST(doc_id AS VARCHAR), '<null>')) AS n_repos
+      FROM found GROUP BY hash),
+    judged AS (SELECT *, n_owners < {COPIED_OWNERS} AND n_repos < {COPIED_REPOS} AS live FROM known),
+    kept AS (
+      SELECT found.*, n_owners, n_repos, live FROM found JOIN judged USING (hash)
+      WHERE kind <> 'generic' OR (live AND n_owners = 1))
     SELECT docs.doc_id, {counts},
       sha256(coalesce({joined} FILTER (kind IN ({base})), '')) AS base_sha256,
       coalesce({joined}, '') AS spans,
-      count(*) FILTER (n_owners < {COPIED_OWNERS}) AS n_live,
-      count(*) FILTER (n_owners >= {COPIED_OWNERS}) AS n_example
+      count(*) FILTER (live) AS n_live,
+      count(*) FILTER (NOT live) AS n_example,
+      coalesce(string_agg(n_owners || '/' || n_repos, ',' ORDER BY s, k), '') AS held_by
     FROM docs LEFT JOIN kept USING (r) GROUP BY r, docs.doc_id"""
