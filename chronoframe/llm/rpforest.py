@@ -4,23 +4,31 @@ The trees are grown on a bounded sample: a node parts its rows at the median of
 projections on the difference of two of them.  Every row is then routed to one leaf of
 each tree.  A query walks all trees through one priority queue, keyed by how far the
 query lies on the wrong side of the splits above a branch, and takes leaves until they
-hold its share of the rows.  What the leaves hold is ranked by exact distance.
+hold enough places.  What the leaves hold is ranked by exact distance.
 
-Rows are dealt to tasks by groups of leaves; a group with many rows is parted by vector,
-and every part gets the queries that visit one of its leaves.  A task keeps each query's nearest only, so no pair
-of query and candidate ever leaves it.  Equal vectors become one entry first, with the
-K + 1 smallest ids: no more of them can be in an answer.
+How many places are enough is measured: ASKED vectors are compared with all others, and the
+least number is taken at which RECALL of their true neighbours lie in visited leaves.  It
+follows the vectors: few places where neighbours are near, many where they are hardly nearer
+than the rest.
+
+Rows are dealt to tasks by groups of leaves; a group with many rows is parted by vector, and
+every part gets the queries that visit one of its leaves.  A part's rows come first in its
+sorted stream and are held, its queries follow and are answered batch by batch.  A task keeps
+each query's nearest only, so no pair of query and candidate ever leaves it.  Equal vectors
+become one entry first, with the K + 1 smallest ids: no more of them can be in an answer.
 
 Defined results: rows whose vector is null, empty, all zero, of another length than most
 rows have, or with a null or non-finite component take no part, neither as query nor as
 candidate, and neither do rows with a null id; rows that repeat an id count once, with
 the vector that sorts first; ties go to the smaller id; an empty table gives no rows.
-Input columns beyond those named are ignored.
+Input
+columns beyond those named are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,19 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.llm.shared import cut
+from chronoframe.llm.shared import bounded_batches, cut, lean
 
 K = 10
 TREES = 8
 #: Rows that the trees are grown on, at most, and rows of them in a leaf, at most.
 SAMPLE, LEAF = 20_000, 64
-#: Share of all (row, tree) places that a query visits.  Vectors without structure need a
-#: large one: their nearest neighbours are hardly nearer than the rest.
-VISIT = 0.15
-#: Rows, at least, that a query visits in each tree.
-LEAST = 1_000
-#: Leaves that a task takes together, and entries and queries of them that it ranks at once.
-LEAVES_TOGETHER, PART, QUERIES = 16, 4_096, 20_000
+#: Vectors that the number of visited places is measured with, and the share of their true
+#: neighbours that must be found.
+ASKED, RECALL = 100, 0.97
+#: Leaves that a task takes together, and entries of them that it holds at once.
+LEAVES_TOGETHER, PART = 16, 16_384
 
 
 @dataclass
@@ -70,12 +76,12 @@ class Forest:
             out[:, t] = node
         return out
 
-    def visit(self, query: np.ndarray, sizes: dict[int, int], enough: int) -> list[int]:
+    def visit(self, query: np.ndarray, sizes: dict[int, int], enough: float) -> Iterator[int]:
         """Leaves for a query, best first, until they hold ``enough`` places."""
         margins = (self.normals @ query - self.offsets).tolist()
         queue = [(0.0, root) for root in self.roots]
         heapq.heapify(queue)
-        leaves, held = [], 0
+        held = 0
         while queue and held < enough:
             far, node = heapq.heappop(queue)
             while self.left[node] >= 0:
@@ -83,9 +89,8 @@ class Forest:
                 near, other = (self.right, self.left) if m >= 0 else (self.left, self.right)
                 heapq.heappush(queue, (max(far, abs(m)), int(other[node])))
                 node = int(near[node])
-            leaves.append(int(node))
+            yield int(node)
             held += sizes.get(int(node), 0)
-        return leaves
 
 
 def grow(sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 7) -> Forest:
@@ -151,9 +156,50 @@ def _fit(entries: DataFrame, trees: int) -> Forest:
     return grow(_matrix(rows.column(0).combine_chunks()), trees)
 
 
-def nearest(
-    df: DataFrame, key: str, vector: str, chosen, trees: int = TREES, visit: float = VISIT
-) -> DataFrame:
+def _enough(forest: Forest, placed: DataFrame, sizes: dict[int, int]) -> int:
+    """Places to visit, so that RECALL of the true neighbours of ASKED vectors are found."""
+    asked = placed.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(ASKED).select("rep", "vec").toArrow()
+    reps, q = asked.column(0).to_numpy(), _matrix(asked.column(1).combine_chunks())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple[float, int, list[int]]]] = [[] for _ in reps]
+        for batch in batches:
+            x, own = _matrix(batch.column(1)), batch.column(0).to_numpy()
+            far = (x**2).sum(1)[None, :] - 2 * q @ x.T  # less the asked vector's own square
+            far[reps[:, None] == own[None, :]] = np.inf
+            for j in range(len(reps)):
+                for i in np.argpartition(far[j], min(K, len(own) - 1))[:K].tolist():
+                    if far[j, i] < np.inf:
+                        best[j].append((float(far[j, i]), int(own[i]), batch.column(2)[i].as_py()))
+                best[j] = sorted(best[j])[:K]
+        rows = [(j, *b) for j, some in enumerate(best) for b in some]
+        columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+        kinds = (pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["asked", "far", "rep", "leaves"]
+        )
+
+    near = placed.select("rep", "vec", "leaves").mapInArrow(run, "asked long, far double, rep long, leaves array<long>")
+    first = F.row_number().over(Window.partitionBy("asked").orderBy("far", "rep"))
+    # no more than ASKED * K rows
+    true: dict[int, list[set[int]]] = defaultdict(list)
+    for r in near.withColumn("n", first).where(F.col("n") <= K).collect():
+        true[r.asked].append(set(r.leaves))
+    needed: list[int] = []
+    for j, wanted in true.items():
+        held = 0
+        for leaf in forest.visit(q[j], sizes, math.inf):
+            held += sizes.get(leaf, 0)
+            met = [w for w in wanted if leaf in w]
+            needed += [held] * len(met)
+            wanted = [w for w in wanted if leaf not in w]
+            if not wanted:
+                break
+    needed.sort()
+    return needed[math.ceil(RECALL * len(needed)) - 1] if needed else 1
+
+
+def nearest(df: DataFrame, key: str, vector: str, chosen, trees: int = TREES) -> DataFrame:
     """(query, rank, id, score): the K nearest found for every row that ``chosen`` holds for.
 
     ``chosen`` is a condition on ``id``.
@@ -171,7 +217,6 @@ def nearest(
     asked = cut(asked.join(entries.select("vec", "rep"), "vec").select("id", "rep"))
     queries = asked.select("rep").distinct().join(entries.select("rep", "vec"), "rep")
     queries = cut(queries)
-    asks = queries.count()
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,72 +239,85 @@ def nearest(
     for leaf, n in sizes.items():
         held[group[leaf]] += n
     parts = {g: -(-n // PART) for g, n in held.items()}
-    blocks = -(-asks // QUERIES)
-    enough = trees * max(LEAST, int(total * visit))
+    enough = _enough(forest, placed, sizes)
+
+    def cell(rep: int, g: int) -> int:
+        return (rep * 2654435761 >> 7) % parts[g]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each entry to its leaves' groups, in one part of each, for all blocks of queries."""
+        """Each entry to its leaves' groups, in one part of each."""
         for batch in batches:
-            rep, leaves = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            rows, groups, part, at = [], [], [], []
+            rep, leaves = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            rows: list[tuple[int, int, int, list[int]]] = []
             for i, own in enumerate(leaves):
                 by_group: dict[int, list[int]] = defaultdict(list)
                 for leaf in own:
                     by_group[group[leaf]].append(leaf)
-                for g, some in by_group.items():
-                    for b in range(blocks):
-                        rows.append(i)
-                        groups.append(g)
-                        part.append((int(rep[i]) * 2654435761 >> 7) % parts[g] * blocks + b)
-                        at.append(some)
-            yield _dealt(batch, rows, groups, part, at)
+                rows += [(i, g, cell(rep[i], g), some) for g, some in by_group.items()]
+            if rows:
+                yield _dealt(batch, rows, 0)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1))
-            rep = batch.column(0).to_numpy()
-            for i in range(len(x)):
-                by_group: dict[int, list[int]] = defaultdict(list)
-                for leaf in forest.visit(x[i], sizes, enough):
-                    if leaf in group:
-                        by_group[group[leaf]].append(leaf)
-                block = (int(rep[i]) * 2654435761 >> 7) % blocks
-                cells = [(g, p * blocks + block, some) for g, some in by_group.items() for p in range(parts[g])]
-                if cells:
-                    groups, part, at = zip(*cells, strict=True)
-                    yield _dealt(batch, [i] * len(cells), groups, part, at)
-
-    shape_dealt = f"rep long, vec {kind}, grp long, part long, leaves array<long>"
-    items = placed.mapInArrow(deal, shape_dealt)
-    asking = queries.select("rep", "vec").mapInArrow(ask, shape_dealt)
-
-    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if left.num_rows and right.num_rows:
-            x = _matrix(left.column("vec").combine_chunks())
-            reps = left.column("rep").to_numpy()
-            rows_of: dict[int, list[int]] = defaultdict(list)
-            for i, own in enumerate(left.column("leaves").to_pylist()):
-                for leaf in own:
-                    rows_of[leaf].append(i)
-            q = _matrix(right.column("vec").combine_chunks())
-            for j, own in enumerate(right.column("leaves").to_pylist()):
-                rows = np.unique(np.concatenate([np.zeros(0, np.int64), *(rows_of[f] for f in own if f in rows_of)]).astype(np.int64))
-                if not len(rows):
+            for low in range(0, len(x), 200):
+                rows = []
+                for i in range(low, min(low + 200, len(x))):
+                    by_group: dict[int, list[int]] = defaultdict(list)
+                    for leaf in forest.visit(x[i], sizes, enough):
+                        if leaf in group:
+                            by_group[group[leaf]].append(leaf)
+                    rows += [(i, g, p, some) for g, some in by_group.items() for p in range(parts[g])]
+                if rows:
+                    yield _dealt(batch, rows, 1)
+
+    shape_dealt = f"rep long, vec {kind}, grp long, part long, asks int, leaves array<long>"
+    items = placed.mapInArrow(lean(deal), shape_dealt)
+    asking = queries.select("rep", "vec").mapInArrow(lean(ask), shape_dealt)
+    streams = items.unionByName(asking).repartition("grp", "part").sortWithinPartitions("grp", "part", "asks")
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        x, reps, rows_of = np.zeros((0, 0)), np.zeros(0, np.int64), {}
+        for batch in batches:
+            place = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (2, 3, 4)], 1)
+            turns = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]).any(1)])[: len(place)])
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for low, high in zip(turns.tolist(), [*turns[1:].tolist(), len(place)], strict=True):
+                grp, part, asks = place[low].tolist()
+                some = batch.slice(low, high - low)
+                if now != (grp, part):
+                    now, held, rows_of = (grp, part), [], None
+                if not asks:
+                    held.append(some)
                     continue
-                d = np.sqrt(((x[rows] - q[j]) ** 2).sum(1))
-                best = np.lexsort((reps[rows], d))[: K + 1]
-                asker = right.column("rep")[j].as_py()
-                out.append((np.full(len(best), asker), reps[rows][best], d[best]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-        kinds = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("asker", "rep", "score"), cols, kinds, strict=True)})
-
-    found = (
-        items.groupBy("grp", "part")
-        .cogroup(asking.groupBy("grp", "part"))
-        .applyInArrow(rank, "asker long, rep long, score double")
-    )
+                if rows_of is None:  # the part's entries are all there
+                    rows_of = defaultdict(list)
+                    x = np.concatenate([_matrix(b.column(1)) for b in held]) if held else np.zeros((0, 0))
+                    reps = np.concatenate([b.column(0).to_numpy() for b in held] or [np.zeros(0, np.int64)])
+                    owns = (own for b in held for own in b.column(5).to_pylist())
+                    for i, own in enumerate(owns):
+                        for leaf in own:
+                            rows_of[leaf].append(i)
+                    rows_of = {leaf: np.array(r) for leaf, r in rows_of.items()}
+                    held = []
+                q, askers = _matrix(some.column(1)), some.column(0).to_pylist()
+                for j, own in enumerate(some.column(5).to_pylist()):
+                    rows = [rows_of[f] for f in own if f in rows_of]
+                    if not rows:
+                        continue
+                    rows = np.unique(np.concatenate(rows))
+                    d = np.sqrt(((x[rows] - q[j]) ** 2).sum(1))
+                    best = np.lexsort((reps[rows], d))[: K + 1]
+                    out.append((np.full(len(best), askers[j]), reps[rows][best], d[best]))
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
+            kinds = (pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["asker", "rep", "score"]
+            )
+
+    dealt = streams.select("rep", "vec", "grp", "part", "asks", "leaves")
+    found = dealt.mapInArrow(lean(rank), "asker long, rep long, score double")
     # the same entry comes from several trees, with the same score
     found = found.groupBy("asker", "rep").agg(F.min("score").alias("score"))
     order = F.row_number().over(Window.partitionBy("asker").orderBy("score", "rep"))
@@ -277,21 +335,24 @@ def nearest(
     return each.select("query", (F.col("at") + 1).alias("rank"), "hit.id", "hit.score")
 
 
-def _dealt(batch: pa.RecordBatch, rows, groups, part, at) -> pa.RecordBatch:
-    taken = batch.take(pa.array(rows, pa.int64()))
+def _dealt(batch: pa.RecordBatch, rows: list[tuple[int, int, int, list[int]]], asks: int) -> pa.RecordBatch:
+    at, groups, part, leaves = zip(*rows, strict=True)
+    taken = batch.take(pa.array(at, pa.int64()))
     return pa.RecordBatch.from_arrays(
         [
             taken.column(0),
             taken.column(1),
             pa.array(groups, pa.int64()),
             pa.array(part, pa.int64()),
-            pa.array(list(at), pa.list_(pa.int64())),
+            pa.array([asks] * len(at), pa.int32()),
+            pa.array(leaves, pa.list_(pa.int64())),
         ],
-        names=["rep", "vec", "grp", "part", "leaves"],
+        names=["rep", "vec", "grp", "part", "asks", "leaves"],
     )
 
 
 def op6_neighbours(spark, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     out = nearest(rows, "vec_id", "embedding", F.col("id") % 100 == 0)
     return out.select(

@@ -87,10 +87,43 @@ def test_url_model_learns(spark):
     rng = random.Random(1)
     word = lambda letters: "".join(rng.choices(letters, k=8))
     rows = [(f"http://{word('aeimno')}.org/{i}", True) for i in range(300)] + [(f"http://{word('qxzkvj')}.com/de/{i}", False) for i in range(300)]
-    model = urls.fit(spark.createDataFrame(rows, "url string, accepted boolean"))
-    good = sum(model.difference(f"http://{word('aeimno')}.net/") >= model.threshold for _ in range(50))
-    bad = sum(model.difference(f"http://{word('qxzkvj')}.net/") < model.threshold for _ in range(50))
-    assert good > 45 and bad > 45 and model.difference(None) == 0
+    add, threshold = urls.fit(spark.createDataFrame(rows, "url string, accepted boolean"))
+    asked = [(f"http://{word(letters)}.net/", letters) for letters in ("aeimno", "qxzkvj") for _ in range(50)]
+    out = add(spark.createDataFrame([*asked, (None, None), ("", "")], "url string, kind string")).collect()
+    assert sum(r.difference >= threshold for r in out if r.kind == "aeimno") > 45
+    assert sum(r.difference < threshold for r in out if r.kind == "qxzkvj") > 45
+    assert [r.difference for r in out if not r.url] == [0, 0]
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_url_differences(spark, monkeypatch, most):
+    """Both ways, against counts in plain dictionaries."""
+    monkeypatch.setattr(urls, "GRAMS", most)
+    given = [("http://a.org/é", True), ("http://b.com/de/1", False), ("http://b.com/de/1", False), ("http://aa.org/", True), (None, True)] * 2
+    counted: list[dict] = [{}, {}]
+    for u, ok in given:
+        data = b"\0" * urls.ORDER + (u or "").encode()
+        for i in range(urls.ORDER, len(data)):
+            for k in range(urls.ORDER + 1):
+                for key in (data[i - k : i + 1], (data[i - k : i],)):
+                    counted[not ok][k, key] = counted[not ok].get((k, key), 0) + 1
+
+    def brute(u):
+        data, total = b"\0" * urls.ORDER + (u or "").encode(), 0.0
+        for i in range(urls.ORDER, len(data)):
+            p = [1 / 256] * 2
+            for k in range(urls.ORDER + 1):
+                p = [
+                    (c.get((k, data[i - k : i + 1]), 0) + urls.STRENGTH * q) / (c.get((k, (data[i - k : i],)), 0) + urls.STRENGTH)
+                    for c, q in zip(counted, p, strict=True)
+                ]
+            total += np.log(p[0]) - np.log(p[1])
+        return total / max(1, len(data) - urls.ORDER)
+
+    add, _ = urls.fit(spark.createDataFrame(given, "url string, accepted boolean"))
+    asked = ["http://a.org/x", "ftp://zz", "é", "", None, "http://b.com/de/" * 900]
+    got = {r.url: r.difference for r in add(spark.createDataFrame([(u, 1) for u in asked], "url string, n int")).collect()}
+    assert all(got[u] == pytest.approx(brute(u), abs=1e-9) for u in asked)
 
 
 # ---- near duplicates ----------------------------------------------------------------
