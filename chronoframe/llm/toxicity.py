@@ -184,6 +184,7 @@ def _suspicious(core: str) -> bool:
     return has > 0 and odd > 0 and has + odd == len(core)
 
 
+_REPEATED = re.compile(r"(.)\1+")
 _WORD_BEFORE = re.compile(r"[^\W\d_]{1,24}\Z")
 _WORD_AFTER = re.compile(r"[^\W\d_]{1,24}")
 
@@ -195,7 +196,15 @@ class Reader:
         self.model, self.known = model, known
         # features are numbers once they are known, strings before
         self.words = Memory(self._word, REMEMBERED, 500 if known is None else 8)
-        self.longest = max((len(f) for f in known or ()), default=0)
+        stems = [f.rstrip("*") for f in known or ()]
+        self.longest = max(map(len, stems), default=0)
+        # what a word that a feature fits can begin with: without repeats, and as codes
+        self.single = {_REPEATED.sub(r"\1", f) for f in stems}
+        self.begins = np.zeros(LETTERS**3, bool)
+        for f in stems:
+            if len(f) >= PREFIXES[0]:
+                a, b, c = map(code, f[:3])
+                self.begins[(a * LETTERS + b) * LETTERS + c] = True
 
     def _features(self, word: str) -> tuple:
         found = [word, *(word[:n] + "*" for n in PREFIXES if n < len(word))]
@@ -213,13 +222,25 @@ class Reader:
             for word in part:
                 found.update(self._features(word))
         for hidden in {core, token.strip(".,;:?\"'")}:
-            if hidden and _suspicious(hidden):
+            if hidden and _suspicious(hidden) and self._can_fit(hidden):
                 found.update(self._features(restore(hidden, self.model)))
         return tuple(found)
 
+    def _can_fit(self, hidden: str) -> bool:
+        """False if decoding ``hidden`` can't give a known feature: dropping repeats from a
+        word of letters leaves the word without repeats as it is."""
+        if self.known is None or not hidden.isalpha():
+            return True
+        single = _REPEATED.sub(r"\1", hidden)
+        return any(single[:n] in self.single for n in range(1, min(self.longest, len(single)) + 1))
+
     def _spelled(self, tokens: list[str]) -> Iterator[str]:
         """Features of the runs of single characters."""
-        ones = [i for i, t in enumerate(tokens) if len(t) <= 3 and len(t.strip(".,;:?!\"'()")) == 1]
+        ones = [
+            i
+            for i, t in enumerate(tokens)
+            if len(t) == 1 or len(t) <= 3 and not t.isalpha() and len(t.strip(".,;:?!\"'()")) == 1
+        ]
         low = 0
         for k in range(1, len(ones) + 1):
             if k == len(ones) or ones[k] != ones[k - 1] + 1:
@@ -239,25 +260,31 @@ class Reader:
 
     def _joined(self, text: str) -> Iterator[tuple[str, int]]:
         """Words that a space parts although one word is likelier, and how long the part
-        before the space is."""
+        before the space is; only those that begin as a known feature of three letters or
+        more does."""
         cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         at = np.flatnonzero(cps[2:-2] == 32) + 2
         c = CODES[np.minimum(cps, 0xFFFF)].astype(np.int32)
         a, b, d, e = c[at - 2], c[at - 1], c[at + 1], c[at + 2]
         go = (b > 0) & (d > 0)
         go &= self.model.joins[((a * LETTERS + b) * LETTERS + d) * LETTERS + e]
-        chain, first, end = "", 0, -1
-        for p in at[go].tolist():
-            left = _WORD_BEFORE.search(text, max(0, p - 24), p)
-            right = _WORD_AFTER.match(text, p + 1)
-            if left and right:
-                yield left[0] + right[0], len(left[0])
-                if p == end:
-                    chain += right[0]
-                    yield chain, first
-                else:
-                    chain, first = left[0] + right[0], len(left[0])
-                end = right.end()
+        at = at[go]
+        if not len(at):
+            return
+        # the first three letters of what a join gives
+        start = np.maximum.accumulate(np.where(c == 0, np.arange(1, len(c) + 1), 0))[at - 1]
+        three = [c[p + (p >= at)] for p in (start, start + 1, start + 2)]
+        fits = self.begins[(three[0] * LETTERS + three[1]) * LETTERS + three[2]]
+        at = at.tolist()
+        for i in np.flatnonzero(fits).tolist():
+            left = _WORD_BEFORE.search(text, max(0, at[i] - 24), at[i])
+            if not left:
+                continue
+            word, end = left[0], at[i]
+            while i < len(at) and at[i] == end and (right := _WORD_AFTER.match(text, end + 1)):
+                word += right[0]
+                yield word, len(left[0])
+                i, end = i + 1, right.end()
 
     def read(self, text: str | None) -> set:
         low = (text or "").lower()
