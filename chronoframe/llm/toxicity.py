@@ -53,7 +53,7 @@ TIE = 20.0
 SHARE = 0.8
 PREFIXES = range(3, 9)
 #: Bytes of tokens that a worker remembers the features of, in each generation.
-REMEMBERED = 12 << 20
+REMEMBERED = 20 << 20
 #: Counts that a worker holds before it sends them on.
 HELD = 100_000
 THRESHOLD = 0.7
@@ -176,12 +176,16 @@ def restore(observed: str, model: LetterModel) -> str:
     return "".join(reversed(letters))
 
 
+_ODD = str.maketrans("", "", "".join(LEET) + SEPARATORS)
+_DOUBLED = re.compile(r"(.)\1")
+
+
 def _suspicious(core: str) -> bool:
+    """Letters with one doubled, or with marks that stand for or part letters."""
     if core.isalpha():
-        return any(a == b for a, b in zip(core, core[1:], strict=False))
-    has = sum(c.isalpha() for c in core)
-    odd = sum(c in LEET or c in SEPARATORS for c in core)
-    return has > 0 and odd > 0 and has + odd == len(core)
+        return _DOUBLED.search(core) is not None
+    rest = core.translate(_ODD)
+    return rest.isalpha() and len(rest) < len(core)
 
 
 _REPEATED = re.compile(r"(.)\1+")
@@ -199,6 +203,7 @@ class Reader:
         stems = [f.rstrip("*") for f in known or ()]
         self.longest = max(map(len, stems), default=0)
         # what a word that a feature fits can begin with: without repeats, and as codes
+        self.heads = {f[:3] for f in stems}
         self.single = {_REPEATED.sub(r"\1", f) for f in stems}
         self.begins = np.zeros(LETTERS**3, bool)
         for f in stems:
@@ -207,6 +212,8 @@ class Reader:
                 self.begins[(a * LETTERS + b) * LETTERS + c] = True
 
     def _features(self, word: str) -> tuple:
+        if self.known is not None and word[:3] not in self.heads:
+            return ()
         found = [word, *(word[:n] + "*" for n in PREFIXES if n < len(word))]
         if self.known is None:
             return tuple(found)
@@ -214,10 +221,12 @@ class Reader:
 
     def _word(self, token: str) -> tuple:
         core = token.strip(PUNCTUATION)
-        found = set()
         if core.isalpha():
-            found.update(self._features(core))
+            if self.known is not None and core[:3] not in self.heads and not _DOUBLED.search(core):
+                return ()
+            found = set(self._features(core))
         else:
+            found = set()
             part = "".join(c if c.isalpha() else " " for c in core).split()
             for word in part:
                 found.update(self._features(word))
