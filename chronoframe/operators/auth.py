@@ -30,6 +30,14 @@ def covers(ns: Column, key: Column) -> Column:
     )
 
 
+def of_grantee(grants: DataFrame, identity: str) -> DataFrame:
+    return grants.where(F.col("grantee") == identity)
+
+
+def of_granter(grants: DataFrame, identity: str) -> DataFrame:
+    return grants.where(F.col("granter") == identity)
+
+
 def for_resource(grants: DataFrame, ns: str, key: str) -> DataFrame:
     return grants.where(covers(F.lit(ns), F.lit(key)))
 

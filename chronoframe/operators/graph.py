@@ -105,6 +105,15 @@ def connected(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where("ca = cb").select("a", "b")
 
 
+def related(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of which one is the other's ancestor, or that share an ancestor."""
+    up = closure(edges, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), down=False)
+    own = pairs.select(F.explode(F.array("a", "b")).alias("src")).distinct().select("src", F.col("src").alias("dst"))
+    up = cut(up.union(own))
+    x, y = up.toDF("a", "c"), up.toDF("b", "c")
+    return pairs.join(x, "a").join(y, ["b", "c"]).select("a", "b").distinct()
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 12) -> DataFrame:
     """(a, b, path) along undirected edges, for pairs at most ``hops`` apart; of equally
     short paths the one that sorts first."""

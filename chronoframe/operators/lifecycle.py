@@ -130,11 +130,13 @@ ORDER = {"hot": 0, "warm": 1, "cold": 2, "deep": 3}
 
 
 def transition(old: Column, new: Column) -> Column:
-    """What a move between tiers is called; null if there is none."""
+    """What a move between tiers is called: moves to the next tier have names, those that
+    skip one are 'other'; null if there is none."""
     rank = F.create_map(*(F.lit(x) for pair in ORDER.items() for x in pair))
     a, b = F.element_at(rank, old), F.element_at(rank, new)
     return (
         F.when(a == b, None)
+        .when(F.abs(a - b) > 1, "other")
         .when(new == "deep", "archive")
         .when(old == "deep", "restore")
         .when(b < a, "promote")
@@ -142,10 +144,10 @@ def transition(old: Column, new: Column) -> Column:
     )
 
 
-def fitness(items: DataFrame, references: DataFrame, now: Any, bonus: float = 0.5, key: str = "id") -> DataFrame:
-    """References plus weighted descendants less days beyond a week; fit from 2 on."""
+def fitness(items: DataFrame, references: DataFrame, now: Any, bonus: int = 1, key: str = "id") -> DataFrame:
+    """References plus weighted descendants less whole days beyond a week; fit from 2 on."""
     refs = references.groupBy(F.col("dst").alias(key)).agg(F.count(F.lit(1)).alias("refs"))
-    age = F.greatest(F.lit(0.0), _days(F.lit(now), F.col("ts")) - 7)
+    age = F.greatest(F.lit(0), F.floor(_days(F.lit(now), F.col("ts")) - 7))
     value = F.coalesce("refs", F.lit(0)) + F.coalesce("descendants", F.lit(0)) * bonus - age
     return items.join(refs, key, "left").withColumn("fitness", value).withColumn("fit", F.col("fitness") >= 2)
 
@@ -156,11 +158,21 @@ def demotions(stats: DataFrame, now: Any, idle_days: float, n: int, key: str = "
     return stats.withColumn("idle", idle).where(F.col("idle") > idle_days).orderBy(F.desc("idle"), key).limit(n)
 
 
+def lru_order(stats: DataFrame, key: str = "id") -> DataFrame:
+    """Items from the one not used for longest on, with their place."""
+    order = Window.orderBy("last", key)
+    # places are ranked over (last, key) alone
+    place = stats.select(key, "last").withColumn("place", F.row_number().over(order))
+    return stats.join(place.select(key, "place"), key)
+
+
 def predicates(score: Column, sure: Column) -> dict[str, Column]:
+    """Tests of an importance and how sure it is; staying and leaving hot memory ask for the
+    importance alone."""
     return {
         "weighted": score * sure,
         "stay_hot": score >= 0.6,
         "promote": (score >= 0.6) & (sure > 0.5),
-        "demote": (score < 0.3) & (sure > 0.5),
+        "demote": score < 0.3,
         "to_cold": (score < 0.3) & (sure > 0.3),
     }

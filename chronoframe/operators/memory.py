@@ -33,8 +33,9 @@ def relevance(cosine: Column, importance: Column, age_days: Column, accesses: Co
     )
 
 
-def should_consolidate(age_days: Column, importance: Column, accesses: Column) -> Column:
-    return (age_days > 30) & (importance < 0.3) & (accesses < 3)
+def should_consolidate(age_days: Column, importance: Column, accesses: Column, days: int = 30) -> Column:
+    """Old items, but for important and often used ones."""
+    return (F.floor(age_days) >= days) & (importance <= 0.8) & (accesses <= 5)
 
 
 def stats(df: DataFrame, kind: str = "type") -> DataFrame:

@@ -7,10 +7,13 @@ projections (LSH) and checks candidates exactly.
 
 from __future__ import annotations
 
-import random
+import math
+from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,10 @@ from chronoframe.functions import vectors as V
 from chronoframe.operators import temporal
 
 
+#: Probability that a pair at the threshold meets in no table, and tables, at most.
+MISSED, MOST_TABLES = 1e-6, 256
+
+
 def search(
     df: DataFrame,
     query: list[float],
@@ -62,34 +69,45 @@ def navigate(
     return search(df, at, k, **options)
 
 
+def _tables(rows: int, threshold: float) -> tuple[int, int]:
+    """Tables and bits of each, so that a pair at ``threshold`` is missed with a probability of
+    MISSED at most: bits grow with the rows, so that buckets don't, as far as MOST_TABLES
+    tables make up for it."""
+    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    bits = max(1, math.ceil(math.log2(max(2, rows) / 16)))
+    while bits > 1 and math.log(MISSED) / math.log1p(-(agree**bits) + 1e-15) > MOST_TABLES:
+        bits -= 1
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-(agree**bits) + 1e-15))), bits
+
+
 def pairs(
-    df: DataFrame,
-    threshold: float,
-    key: str = "key",
-    vector: str = "embedding",
-    tables: int = 24,
-    bits: int = 8,
-    seed: int = 11,
+    df: DataFrame, threshold: float, key: str = "key", vector: str = "embedding", seed: int = 11
 ) -> DataFrame:
     """(a, b, score) of rows whose cosine is ``threshold`` or more, a < b.
 
-    Rows meet if the signs of ``bits`` random projections agree in one of ``tables``; a pair
-    at cosine 0.95 is missed with a probability of about 0.000002.
-    """
-    rng = random.Random(seed)
-    size = df.select(F.max(F.size(vector))).first()[0] or 1
-    v = V.doubles(F.col(vector))
-
-    def sign(_: int) -> Column:
-        plane = V.literal([rng.gauss(0, 1) for _ in range(size)])
-        return F.when(V.dot(v, plane) >= 0, "1").otherwise("0")
-
-    hashes = F.array(*(F.concat_ws("", *map(sign, range(bits))) for _ in range(tables)))
-    placed = df.select(key, vector, F.posexplode(hashes).alias("t", "h"))
-    left = placed.select("t", "h", F.col(key).alias("a"), F.col(vector).alias("va"))
-    right = placed.select("t", "h", F.col(key).alias("b"), F.col(vector).alias("vb"))
-    met = left.join(right, ["t", "h"]).where("a < b")
-    scored = met.withColumn("score", V.cosine(F.col("va"), F.col("vb")))
+    Rows meet if the signs of random projections agree in a table.  Only keys are joined on
+    them; vectors come to the pairs that meet, once each."""
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vec"))
+    tables, bits = _tables(rows.count(), threshold)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            out: list[list[int]] = []
+            for v in batch.column(1).to_pylist():
+                v = np.nan_to_num(np.array(v, float))
+                if len(v) not in planes:
+                    planes[len(v)] = np.random.default_rng(seed).standard_normal((tables * bits, len(v)))
+                on = (planes[len(v)] @ v >= 0).reshape(tables, bits)
+                out.append((on @ (1 << np.arange(bits, dtype=np.int64))).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["key", "h"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    placed = rows.mapInArrow(sign, f"key {kind}, h array<long>").select("key", F.posexplode("h").alias("t", "h"))
+    met = placed.withColumnRenamed("key", "a").join(placed.withColumnRenamed("key", "b"), ["t", "h"])
+    met = met.where("a < b").select("a", "b").distinct()
+    met = met.join(rows.toDF("a", "va"), "a").join(rows.toDF("b", "vb"), "b")
+    scored = met.select("a", "b", V.cosine(F.col("va"), F.col("vb")).alias("score"))
     return scored.where(F.col("score") >= threshold).groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
@@ -133,9 +151,35 @@ def proximity(geometric: Column, semantic: Column, causal: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed))
 
 
-def causal_score(versions: Column, age_days: Column) -> Column:
-    """More for what changed often and lately: the mean of both parts."""
-    return (F.least(versions / 10, F.lit(1.0)) + F.exp(-0.693 * age_days / 30)) / 2
+def causal_score(
+    versions: Column, earliest: Column, latest: Column, after: Any = None, before: Any = None,
+    least_versions: int | None = None, custom: Column | None = None,
+) -> Column:
+    """How well a history fits what is asked for: the mean of one part for each condition, 0 if
+    one fails, 0.5 if there is none.  Conditions: written after and before given times, at
+    least so many versions (a tenth for each, up to 1), any column of truth values."""
+    tests: list[tuple[Column, Column]] = []
+    if after is not None:
+        tests.append((latest >= F.lit(after), F.lit(1.0)))
+    if before is not None:
+        tests.append((earliest <= F.lit(before), F.lit(1.0)))
+    if least_versions is not None:
+        tests.append((versions >= least_versions, F.least(versions / 10, F.lit(1.0))))
+    if custom is not None:
+        tests.append((F.coalesce(custom, F.lit(False)), F.lit(1.0)))
+    if not tests:
+        return F.lit(0.5)
+    holds, parts = tests[0][0], tests[0][1]
+    for test, part in tests[1:]:
+        holds, parts = holds & test, parts + part
+    return F.when(F.coalesce(holds, F.lit(False)), parts / len(tests)).otherwise(0.0)
+
+
+def history_scores(log: DataFrame, key: str = "key", **criteria: Any) -> DataFrame:
+    """(key, causal): ``causal_score`` of each key's history (ts)."""
+    by = log.groupBy(key).agg(F.count(F.lit(1)).alias("versions"), F.min("ts").alias("earliest"), F.max("ts").alias("latest"))
+    score = causal_score(F.col("versions"), F.col("earliest"), F.col("latest"), **criteria)
+    return by.select(key, score.alias("causal"))
 
 
 def hybrid(

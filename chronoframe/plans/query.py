@@ -90,10 +90,11 @@ class Query:
         return replace(self, aggregate=aggregate)
 
     def _field(self, df: DataFrame, name: str) -> Typed | Variant:
-        if self.value is None:
+        if self.value is None or self.value not in df.columns:
             # a projected dotted path is a column of that literal name
             if name in df.columns:
-                return Typed(F.col(f"`{name}`"), df.schema[name].dataType)
+                kind = df.schema[name].dataType
+                return Variant(F.col(f"`{name}`"), "$") if isinstance(kind, T.VariantType) else Typed(F.col(f"`{name}`"), kind)
             return typed_field(df.schema, name)
         kind = df.schema[self.value].dataType
         if isinstance(kind, T.VariantType):
@@ -110,8 +111,10 @@ class Query:
     def page(self, df: DataFrame) -> DataFrame:
         """Everything but aggregation."""
         out = self.matching(df)
-        if self.fields and self.value is None:
+        if self.fields:
+            # what a document lacks is null, and so are all fields that none has
             chosen = {n: self._field(out, n) for n in self.fields}
+            chosen = {n: Typed(f._value(), T.VariantType()) if isinstance(f, Variant) else f for n, f in chosen.items()}
             keep = [self.key] if self.key in out.columns and self.key not in self.fields else []
             out = out.select(
                 *keep, *(f.column.alias(n) for n, f in chosen.items() if f.kind is not None)
@@ -156,6 +159,10 @@ class Query:
             return F.coalesce(F.sum(v), F.lit(0.0))
         if a.kind == "distinct":
             return F.sort_array(F.collect_set(v))
+        f = self._field(df, a.field)
+        if isinstance(f, Variant) and a.kind in ("min", "max"):
+            # as sorting orders them, not as texts
+            return (F.min_by if a.kind == "min" else F.max_by)(v, f.sort_key())
         return {"avg": F.avg, "min": F.min, "max": F.max}[a.kind](v)
 
     def _aggregated(self, df: DataFrame, a: Aggregate, name: str = "value") -> DataFrame:
@@ -164,15 +171,27 @@ class Query:
             return df.select(self._value(df, a).alias(name)).where(F.col(name).isNotNull()).distinct()
         if a.kind != "group":
             return df.agg(self._column(df, a).alias(name))
-        # groups within groups are more grouping columns, aggregated once
-        keys, parts = [], a
-        while True:
-            keys.append(self._value(df, replace(parts, kind="group")).alias(parts.field))
-            inner = [p for _, p in parts.parts if p.kind == "group"]
-            if not inner:
-                break
-            parts = inner[0]
-        return df.groupBy(*keys).agg(*(self._column(df, p).alias(n) for n, p in parts.parts))
+        return self._grouped(df, a, [])
+
+    def _grouped(self, df: DataFrame, a: Aggregate, outer: list[str]) -> DataFrame:
+        """Groups within groups are more grouping columns; aggregates beside an inner group
+        stand in each of its rows."""
+        by = [*outer, a.field]
+        if not outer or a.field not in df.columns or self.value in df.columns:
+            df = df.withColumn(a.field, self._value(df, replace(a, kind="group")))
+        own = [(n, p) for n, p in a.parts if p.kind != "group"]
+        inner = [p for _, p in a.parts if p.kind == "group"]
+        if len(inner) > 1:
+            raise ValueError("a group holds one inner group at most")
+        names = [f"`{c}`" for c in by]
+        told = df.groupBy(*names).agg(*(self._column(df, p).alias(n) for n, p in own)) if own or not inner else None
+        if not inner:
+            return told
+        below = self._grouped(df, inner[0], by)
+        if told is None:
+            return below
+        same = [below[c].eqNullSafe(told[c]) for c in names]
+        return below.join(told, same).select(*(below[c] for c in names), *(told[n] for n, _ in own), *(below[f"`{c}`"] for c in below.columns if c not in by))
 
 
 @dataclass(frozen=True)

@@ -107,9 +107,9 @@ def f_range(spark, sf_dir):
     return q.project("p_size", "p_retailprice").run(table(spark, sf_dir, "part"))
 
 
-@registered("SELECT p_partkey, p_type FROM part WHERE contains(p_type, 'STEEL')")
+@registered("SELECT p_partkey, p_type FROM part WHERE contains(p_type, 'ANDAR')")
 def f_contains(spark, sf_dir):
-    q = Q.Query(key="p_partkey").where(Contains("p_type", "STEEL")).project("p_type")
+    q = Q.Query(key="p_partkey").where(Contains("p_type", "ANDAR")).project("p_type")
     return q.run(table(spark, sf_dir, "part"))
 
 
@@ -147,11 +147,11 @@ def f_text(spark, sf_dir):
     return q.run(table(spark, sf_dir, "part"))
 
 
-@registered("SELECT p_partkey, p_size FROM part WHERE p_size < 5 AND contains(p_type, 'BRASS')")
+@registered("SELECT p_partkey, p_size FROM part WHERE p_size < 5 AND contains(p_type, 'ECO')")
 def f_dict(spark, sf_dir):
     q = Q.Query(key="p_partkey").where(
         {"field": "p_size", "op": "lt", "value": 5},
-        {"field": "p_type", "op": "contains", "value": "BRASS"},
+        {"field": "p_type", "op": "contains", "value": "ECO"},
     )
     return q.project("p_size").run(table(spark, sf_dir, "part"))
 
@@ -259,6 +259,42 @@ def a_group_by_nested(spark, sf_dir):
     return _aggregate(spark, sf_dir, Q.group_by("l_returnflag", by_status=inner))
 
 
+_DOCS = "(SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)"
+
+
+def _json_aggregate(spark, sf_dir, a: Q.Aggregate) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("doc"))
+    return Q.Query(key="event_id", value="doc").agg(a).run(events)
+
+
+@registered(f"SELECT CAST(min(k) AS VARCHAR) AS value FROM {_DOCS}")
+def a_min_json(spark, sf_dir):
+    return _json_aggregate(spark, sf_dir, Q.min_of("k"))
+
+
+@registered(f"SELECT CAST(max(k) AS VARCHAR) AS value FROM {_DOCS}")
+def a_max_json(spark, sf_dir):
+    return _json_aggregate(spark, sf_dir, Q.max_of("k"))
+
+
+@registered(f"SELECT event_id, CAST(k AS VARCHAR) AS k FROM {_DOCS} WHERE k >= 50")
+def q_project_json(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("doc"))
+    page = Q.Query(key="event_id", value="doc").where(Gte("k", 50)).project("k").run(events)
+    return page.select("event_id", F.to_json("k").alias("k"))
+
+
+@registered(
+    """SELECT l_returnflag, l_linestatus, quantity, n FROM
+    (SELECT l_returnflag, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1) JOIN
+    (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2) USING (l_returnflag)"""
+)
+def a_group_siblings(spark, sf_dir):
+    inner = Q.group_by("l_linestatus", n=Q.count())
+    out = _aggregate(spark, sf_dir, Q.group_by("l_returnflag", by_status=inner, quantity=Q.sum_of("l_quantity")))
+    return out.withColumn("quantity", F.round("quantity", 2))
+
+
 # ---- versions and time ------------------------------------------------------------------
 
 
@@ -480,24 +516,32 @@ def x_navigate(spark, sf_dir):
 @registered(
     """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
     FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
-    WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.95"""
+    WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.5"""
 )
 def x_pairs(spark, sf_dir):
-    found = vector_search.pairs(_vectors(spark, sf_dir), 0.95)
+    found = vector_search.pairs(_vectors(spark, sf_dir), 0.5)
     return found.select("a", "b", F.round("score", 6).alias("score"))
 
 
 @registered(
     """SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
-    WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.95 AND a.label <> b.label"""
+    WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.5 AND a.label <> b.label"""
 )
 def x_pairs_unconnected(spark, sf_dir):
-    found = vector_search.pairs(_vectors(spark, sf_dir), 0.95)
+    found = vector_search.pairs(_vectors(spark, sf_dir), 0.5)
     labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     near = found.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").where("la = lb")
     return vector_search.unconnected(found, near, None).select("a", "b")
 
 
+@registered(
+    f"""SELECT key, CASE WHEN max(ts) >= {CUT} AND count(*) >= 3 THEN (1 + least(count(*) / 10.0, 1)) / 2 ELSE 0 END AS causal
+    FROM {LOG} GROUP BY key"""
+)
+def x_history_scores(spark, sf_dir):
+    return vector_search.history_scores(event_log(spark, sf_dir), after=cut_time(), least_versions=3)
+
+
 _HITS = f"(SELECT vec_id, list_cosine_similarity({_E}, {_P}) AS score, label FROM embeddings ORDER BY score DESC, vec_id LIMIT 30)"
 
 
@@ -531,19 +575,19 @@ def x_mmr(spark, sf_dir):
 
 @registered()
 def x_explain(spark, sf_dir):
-    found = vector_search.typed_edges(vector_search.pairs(_vectors(spark, sf_dir), 0.95))
+    found = vector_search.typed_edges(vector_search.pairs(_vectors(spark, sf_dir), 0.5))
     return vector_search.explain(_hits(spark, sf_dir).select("key", "score"), found).select("key", "explanation")
 
 
 @registered(
     """WITH e AS (SELECT CASE WHEN s > 0.95 THEN 'abstraction' WHEN s > 0.85 THEN 'composition' ELSE 'proximity' END AS kind, s FROM (
       SELECT list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s
-      FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE s >= 0.95)
+      FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE s >= 0.5)
     SELECT kind, count(*) AS edges, round(avg(0.4 * s + 0.6 * CASE kind WHEN 'abstraction' THEN 0.9 WHEN 'composition' THEN 0.7 ELSE 0 END), 6) AS mean_strength
     FROM e GROUP BY kind"""
 )
 def x_edge_stats(spark, sf_dir):
-    edges = vector_search.typed_edges(vector_search.pairs(_vectors(spark, sf_dir), 0.95))
+    edges = vector_search.typed_edges(vector_search.pairs(_vectors(spark, sf_dir), 0.5))
     return vector_search.edge_stats(edges).withColumn("mean_strength", F.round("mean_strength", 6))
 
 
@@ -681,6 +725,18 @@ def g_random_walks(spark, sf_dir):
     return graph.random_walks(hierarchy(spark, sf_dir), 20, 4).select("walk", F.size("path").alias("steps"), "novelty")
 
 
+@registered(
+    f"""{_UP}, self AS (SELECT src, dst FROM up UNION SELECT src, src FROM up UNION SELECT dst, dst FROM up),
+    p AS (SELECT 'n' || a.n_nationkey AS a, 'n' || b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey)
+    SELECT DISTINCT p.a, p.b FROM p JOIN self x ON x.src = p.a JOIN self y ON y.src = p.b AND y.dst = x.dst"""
+)
+def g_related(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_nationkey")
+    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    two = n.toDF("x").join(n.toDF("y"), F.col("x") < F.col("y")).select(name(F.col("x")).alias("a"), name(F.col("y")).alias("b"))
+    return graph.related(hierarchy(spark, sf_dir), two)
+
+
 # ---- access logs and tiers --------------------------------------------------------------
 
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -704,6 +760,12 @@ def l_access_stats(spark, sf_dir):
     return lifecycle.access_stats(access_log(spark, sf_dir)).withColumn("mean_interval", F.round("mean_interval", 4))
 
 
+@registered("SELECT user_id AS id, row_number() OVER (ORDER BY max(ts), user_id) AS place FROM events GROUP BY 1")
+def l_lru_order(spark, sf_dir):
+    out = lifecycle.lru_order(lifecycle.access_stats(access_log(spark, sf_dir)))
+    return out.select("id", F.col("place").cast("bigint").alias("place"))
+
+
 @registered("SELECT user_id AS id, count(*) AS accesses FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
 def l_most_frequent(spark, sf_dir):
     return lifecycle.most_frequent(access_log(spark, sf_dir), 15)
@@ -769,7 +831,8 @@ def l_tier_plan(spark, sf_dir):
 
 
 @registered(
-    f"""SELECT CASE WHEN a = b THEN 'stay' WHEN b = 3 THEN 'archive' WHEN a = 3 THEN 'restore' WHEN b < a THEN 'promote' ELSE 'demote' END AS move,
+    f"""SELECT CASE a * 4 + b WHEN 0 THEN 'stay' WHEN 5 THEN 'stay' WHEN 10 THEN 'stay' WHEN 15 THEN 'stay' WHEN 1 THEN 'demote' WHEN 6 THEN 'demote'
+      WHEN 11 THEN 'archive' WHEN 4 THEN 'promote' WHEN 9 THEN 'promote' WHEN 14 THEN 'restore' ELSE 'other' END AS move,
     count(*) AS items FROM (SELECT id % 4 AS a, CASE WHEN importance >= 0.6 THEN 0 WHEN importance >= 0.3 THEN 1 WHEN importance >= 0.1 THEN 2 ELSE 3 END AS b FROM {_IMPORTANCE}) GROUP BY 1"""
 )
 def l_transitions(spark, sf_dir):

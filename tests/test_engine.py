@@ -126,12 +126,18 @@ def test_views(spark, tmp_path):
     assert views.rows("on").count() == 10 and views.rows("on", Gt("key", 15)).count() == 2
     with pytest.raises(ValueError):
         views.create(View("on", "items", Query()))
+    again = Views(spark, str(tmp_path), views.read)  # as after a restart
+    assert again.names() == ["on"] and again.rows("on").count() == 10 and again.info("on")["version"] == 2
+    with pytest.raises(ValueError):
+        again.create(View("on", "items", Query()))
+    again.delete("on")
+    assert Views(spark, str(tmp_path), views.read).names() == []
 
 
 def test_wal_and_log(spark, log, tmp_path):
     source.write_wal(log, f"{tmp_path}/wal")
     bad = {"ns": "n", "key": "z", "seq": 9, "ts": "2024-01-01T00:00:00.000Z", "op": "P", "value": "q", "checksum": 1}
-    good = dict(bad, key="g", checksum=zlib.crc32(b"n|g|9|P|q"))
+    good = dict(bad, key="g", checksum=zlib.crc32(b"n|g|9|1704067200000000|P|q"))
     (tmp_path / "wal" / "more.json").write_text("\n".join(["{broken", json.dumps(bad), json.dumps(good)]))
     back = source.replay_wal(spark, f"{tmp_path}/wal")
     assert {r.seq for r in back.where("key <> 'g'").collect()} == {1, 2, 3, 4, 5, 6}
@@ -144,6 +150,56 @@ def test_wal_and_log(spark, log, tmp_path):
     assert read.where("op = 'P'").select("content_id").distinct().count() == 1
 
 
+def test_log_keeps_order_and_conflicts(spark, tmp_path):
+    shape = "ns string, key string, ts timestamp, value string, parents array<string>"
+    items = spark.createDataFrame([("n", "a", T[0], str(i), ["n:z"] * (i == 4)) for i in range(5)], shape).coalesce(1)
+    source.put_with_parents(spark, f"{tmp_path}/l", f"{tmp_path}/e", items, 7)
+    log = source.read(spark, f"{tmp_path}/l")
+    assert source.get(log, "n", "a").first().value == "4" and source.next_seq(log) == 12
+    assert [r.previous for r in source.linked(log).orderBy("seq").collect()][1:] == [r.write_id for r in source.linked(log).orderBy("seq").collect()][:-1]
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/e").collect()] == [("n:z", "n:a")]
+    other = log.withColumn("value", F.lit("x")).withColumn("content_id", F.lit("y"))
+    both = source.merge(log, other, log)
+    assert both.count() == 10 and source.conflicts(both).count() == 5 and source.conflicts(log).count() == 0
+    source.snapshot(log, f"{tmp_path}/s")
+    assert source.restore(spark, f"{tmp_path}/s").count() == 5
+    versions, values = source.split_values(log)
+    assert source.with_values(versions, values).exceptAll(log.select("ns", "key", "seq", "ts", "op", "value", "content_id")).count() == 0 and "value" not in versions.columns
+    keys = spark.createDataFrame([("n", "a", {"x": 2})], "ns string, key string, clock map<string,bigint>")
+    source.delete_causal(spark, f"{tmp_path}/l", f"{tmp_path}/g", keys, T[1], 20, "x")
+    assert source.get(source.read(spark, f"{tmp_path}/l"), "n", "a").count() == 0
+    assert spark.read.parquet(f"{tmp_path}/g").first().clock == {"x": 3}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.95])
+def test_pairs_find_all(spark, threshold):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 16))
+    x[150:] = x[:150] + rng.standard_normal((150, 16)) * rng.uniform(0, 1.2, (150, 1))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= threshold, 1)), strict=True)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key int, embedding array<double>")
+    assert {(r.a, r.b) for r in vector_search.pairs(df, threshold).collect()} == want
+
+
+def test_consolidation_and_moves(spark):
+    from chronoframe.operators import memory
+
+    rows = [(30.0, 0.8, 5), (29.9, 0.1, 0), (99.0, 0.81, 0), (99.0, 0.1, 6), (31.0, 0.0, 0)]
+    df = spark.createDataFrame(rows, "age double, importance double, n int")
+    got = [r[0] for r in df.select(memory.should_consolidate(F.col("age"), F.col("importance"), F.col("n"))).collect()]
+    assert got == [True, False, False, False, True]
+    moves = spark.createDataFrame([("hot", "cold"), ("hot", "warm"), ("deep", "cold"), ("deep", "hot"), ("cold", "deep"), ("warm", "hot")], "a string, b string")
+    got = [r[0] for r in moves.select(lifecycle.transition(F.col("a"), F.col("b"))).collect()]
+    assert got == ["other", "demote", "restore", "other", "archive", "promote"]
+    items = spark.createDataFrame([(1, T[0], 3), (2, T[9], 1)], "id int, ts timestamp, descendants int")
+    refs = spark.createDataFrame([(1,), (2,)], "dst int")
+    got = {r.id: (r.fitness, r.fit) for r in lifecycle.fitness(items, refs, dt.datetime(2024, 1, 10, 12)).collect()}
+    assert got == {1: (2, True), 2: (2, True)}
+
+
 def test_stream(spark, log, tmp_path):
     log.write.parquet(f"{tmp_path}/log")
     seen = []

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from chronoframe.plans.filters import (
     And, Contains, Eq, Exists, Gt, Gte, Lt, Matches, Ne, Not, Or, from_dict, from_text,
 )
-from chronoframe.plans.query import Query, count, distinct, group_by, sum_of
+from chronoframe.plans.query import Query, count, distinct, group_by, max_of, min_of, sum_of
 
 
 @pytest.fixture
@@ -25,18 +25,18 @@ def keys(spark):
 
 
 def test_null_is_not_missing(keys):
-    docs = {"with": {"status": "active", "count": 10}, "null": {"status": None, "count": 5}, "missing": {"count": 15}}
-    assert keys(docs, Eq("status", None)) == {"null"}
-    assert keys(docs, Exists("status")) == {"with"}
-    assert keys(docs, Ne("status", "active")) == {"null", "missing"}
-    assert keys(docs, Not(Eq("status", "active"))) == {"null", "missing"}
+    parcels = {"p1": {"carrier": "rail"}, "p2": {"carrier": None, "kg": 3}, "p3": {"kg": 8}, "p4": {"carrier": "road"}}
+    assert keys(parcels, Eq("carrier", None)) == {"p2"}
+    assert keys(parcels, Exists("carrier")) == {"p1", "p4"}
+    assert keys(parcels, Ne("carrier", "rail")) == keys(parcels, Not(Eq("carrier", "rail"))) == {"p2", "p3", "p4"}
 
 
 def test_numbers(keys):
-    docs = {"zero": {"v": 0}, "small": {"v": 0.0001}, "neg": {"v": -0.0001}, "large": {"v": 1e100}, "text": {"v": "5"}}
-    assert keys(docs, Gt("v", 0)) == {"small", "large"}
-    assert keys(docs, Gte("v", 0.0)) == {"zero", "small", "large"}
-    assert keys(docs, Lt("v", 0)) == {"neg"}
+    depths = {"trench": {"m": -10935.5}, "shore": {"m": 0}, "hill": {"m": 12}, "moon": {"m": 3.8e8}, "sign": {"m": "12"}}
+    assert keys(depths, Lt("m", 0)) == {"trench"}
+    assert keys(depths, Gt("m", 0)) == {"hill", "moon"}
+    assert keys(depths, Gte("m", 12.0)) == {"hill", "moon"}
+    assert keys(depths, Eq("m", 12)) == {"hill"}
 
 
 def test_null_is_less(keys):
@@ -51,14 +51,14 @@ def test_strings(keys):
 
 
 def test_paths(keys):
-    docs = {
-        "deep": {"a": {"b": {"c": {"d": {"e": {"value": 42}}}}}},
-        "partial": {"a": {"b": {"c": None}}},
-        "array": {"items": [{"x": 1}, {"x": 2}, {"x": 3}]},
+    orders = {
+        "o1": {"buyer": {"address": {"town": "Ulm"}}, "lines": [{"qty": 4}, {"qty": 1}]},
+        "o2": {"buyer": {"address": None}, "lines": []},
+        "o3": {"buyer": "Ulm"},
     }
-    assert keys(docs, Eq("a.b.c.d.e.value", 42)) == {"deep"}
-    assert keys(docs, Exists("a.b.c.d")) == {"deep"}
-    assert keys(docs, Eq("items.1.x", 2)) == {"array"}
+    assert keys(orders, Eq("buyer.address.town", "Ulm")) == {"o1"}
+    assert keys(orders, Exists("buyer.address")) == {"o1"}
+    assert keys(orders, Gt("lines.0.qty", 3)) == {"o1"} and keys(orders, Exists("lines.2.qty")) == set()
 
 
 def test_de_morgan(keys):
@@ -70,10 +70,10 @@ def test_de_morgan(keys):
 
 
 def test_regex(keys):
-    docs = {"special": {"t": "hello.world"}, "plain": {"t": "hello world"}, "umlaut": {"t": "héllo wörld"}, "number": {"t": 5}}
-    assert keys(docs, Matches("t", r"hello\.world")) == {"special"}
-    assert keys(docs, Matches("t", "h.llo")) == {"special", "plain", "umlaut"}
-    assert keys(docs, Matches("t", "[invalid")) == set()
+    files = {"log": {"f": "run-07.log"}, "tmp": {"f": "run-07_log"}, "ü": {"f": "rün-12.log"}, "none": {"f": None}, "n": {"f": 7}}
+    assert keys(files, Matches("f", r"\d+\.log$")) == {"log", "ü"}
+    assert keys(files, Matches("f", "^r.n-")) == {"log", "tmp", "ü"}
+    assert keys(files, Matches("f", "(unclosed")) == set()
 
 
 def test_contains_members_and_keys(keys):
@@ -99,14 +99,14 @@ def test_typed_unlike_kinds_are_false(keys):
 
 
 def test_sorting(spark):
-    rows = [("a", 1, 3), ("b", 1, 1), ("c", 2, 2), ("d", 1, 2), ("e", None, 0)]
-    df = spark.createDataFrame(rows, "key string, x int, y int")
-    order = [r.key for r in Query().sort("x").sort("y").run(df).collect()]
-    assert order == ["b", "d", "a", "c", "e"]
-    assert [r.key for r in Query().sort("x", False).sort("y").run(df).collect()] == ["e", "c", "b", "d", "a"]
-    docs = spark.createDataFrame([("five", '{"s":5}'), ("missing", "{}"), ("null", '{"s":null}'), ("zero", '{"s":0}')], "key string, j string")
+    rows = [("mia", "gold", 40), ("noa", "iron", 7), ("ola", "gold", 12), ("pia", None, 1), ("rui", "iron", 90)]
+    df = spark.createDataFrame(rows, "key string, rank string, points int")
+    by = lambda up: [r.key for r in Query().sort("rank", up).sort("points").run(df).collect()]
+    assert by(True) == ["ola", "mia", "noa", "rui", "pia"]
+    assert by(False) == ["pia", "noa", "rui", "ola", "mia"]
+    docs = spark.createDataFrame([("w", '{"t":"x"}'), ("x", "{}"), ("y", '{"t":null}'), ("z", '{"t":-2}')], "key string, j string")
     docs = docs.select("key", F.parse_json("j").alias("v"))
-    assert [r.key for r in Query(value="v").sort("s").run(docs).collect()] == ["null", "zero", "five", "missing"]
+    assert [r.key for r in Query(value="v").sort("t").run(docs).collect()] == ["y", "z", "w", "x"]
 
 
 def test_projection_comes_first(spark):
@@ -123,3 +123,16 @@ def test_grouping(spark):
     got = {r.g: r.total for r in Query().agg(group_by("g", total=sum_of("n"))).run(df).collect()}
     assert got == {"u": 3.0, None: 4.0}
     assert {r.value for r in Query().agg(distinct("g")).run(df).collect()} == {"u"}
+
+
+def test_documents_aggregate_as_they_sort(spark):
+    docs = spark.createDataFrame([(str(i), json.dumps({"n": n, "g": i % 2})) for i, n in enumerate((9, 10, 100.5))], "key string, j string")
+    docs = docs.select("key", F.parse_json("j").alias("v"))
+    q = Query(value="v")
+    assert [q.agg(a("n")).run(docs).first()[0] for a in (min_of, max_of)] == ["9", "100.5"]
+    assert q.project("n").run(docs).columns == ["key", "n"]
+    assert [r.key for r in q.project("n").sort("n", False).limit(1).run(docs).collect()] == ["2"]
+    both = q.agg(group_by("g", by=group_by("n", c=count()), total=sum_of("n"))).run(docs)
+    assert {(r.g, r.n, r.total, r.c) for r in both.collect()} == {("0", "9", 109.5, 1), ("0", "100.5", 109.5, 1), ("1", "10", 10.0, 1)}
+    with pytest.raises(ValueError):
+        q.agg(group_by("g", a=group_by("n", c=count()), b=group_by("n", c=count()))).run(docs)
