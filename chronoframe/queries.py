@@ -649,7 +649,7 @@ def g_degree(spark, sf_dir):
 
 @registered(
     f"""{_UP}, p AS (SELECT 'c' || a.c_custkey AS a, 'c' || b.c_custkey AS b FROM customer a JOIN customer b
-      ON b.c_custkey = a.c_custkey + 1 WHERE a.c_custkey <= 40)
+      ON b.c_custkey = a.c_custkey + 1)
     SELECT a, b, min(dst) AS lca FROM (
       SELECT p.a, p.b, x.dst, row_number() OVER (PARTITION BY p.a, p.b ORDER BY CASE WHEN x.dst LIKE 'n%' THEN 1 ELSE 0 END) AS k
       FROM p JOIN up x ON x.src = p.a JOIN up y ON y.src = p.b AND y.dst = x.dst
@@ -657,7 +657,7 @@ def g_degree(spark, sf_dir):
     GROUP BY a, b"""
 )
 def g_lca(spark, sf_dir):
-    ids = table(spark, sf_dir, "customer").where("c_custkey <= 40").select("c_custkey")
+    ids = table(spark, sf_dir, "customer").select("c_custkey")
     known = table(spark, sf_dir, "customer").select((F.col("c_custkey") - 1).alias("c_custkey"))
     name = lambda c: F.concat(F.lit("c"), c.cast("string"))
     pairs = ids.join(known, "c_custkey").select(name(F.col("c_custkey")).alias("a"), name(F.col("c_custkey") + 1).alias("b"))
