@@ -714,10 +714,17 @@ def g_shape(spark, sf_dir):
     return graph.shape(hierarchy(spark, sf_dir))
 
 
-@registered()
+@registered(
+    f"""WITH RECURSIVE e AS (SELECT * FROM {EDGES}), n(x, y) AS (SELECT parent, child FROM e UNION ALL SELECT child, parent FROM e),
+    w(a, b, steps, here) AS (
+      SELECT a, b, [a], a FROM (VALUES ('c1', 'c2'), ('c3', 'c4'), ('r0', 'c1')) AS p(a, b)
+      UNION ALL SELECT a, b, list_append(steps, y), y FROM w JOIN n ON x = here
+        WHERE here <> b AND len(steps) <= 6 AND NOT list_contains(steps, y))
+    SELECT a, b, array_to_string(min(steps), '>') AS path FROM w WHERE here = b GROUP BY a, b"""
+)
 def g_path(spark, sf_dir):
     pairs = spark.createDataFrame([("c1", "c2"), ("c3", "c4"), ("r0", "c1")], "a string, b string")
-    return graph.shortest_paths(hierarchy(spark, sf_dir), pairs, 6)
+    return graph.shortest_paths(hierarchy(spark, sf_dir), pairs, 6).withColumn("path", F.concat_ws(">", "path"))
 
 
 @registered()
