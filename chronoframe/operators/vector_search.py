@@ -1,28 +1,31 @@
 """Similarity search over vectors kept as ARRAY columns.
 
 Searches for one vector score every row once and keep the best k by a top-k operator, so
-nothing but k rows for each task is moved.  ``pairs`` joins on hashes of signs of random
-projections (LSH) and checks candidates exactly.
+nothing but k rows for each task is moved.  ``pairs`` compares all vectors, block by block,
+as products of matrices, and scores exactly what comes near the threshold.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.functions import vectors as V
+from chronoframe.lineage import cut, make_dir, new_dir
 from chronoframe.operators import temporal
 
-
-#: Probability that a pair at the threshold meets in no table, and tables, at most.
-MISSED, MOST_TABLES = 1e-6, 256
+#: Rows of a block, at least; its numbers, at most; blocks below which it isn't larger.
+LEAST_ROWS, MOST_NUMBERS, BLOCKS = 1024, 1 << 20, 32
+#: Tasks that compare blocks, at most; cosines at once; pairs in a batch of results.
+TASKS, COSINES, BATCH = 1000, 1 << 20, 1 << 16
 
 
 def search(
@@ -69,46 +72,126 @@ def navigate(
     return search(df, at, k, **options)
 
 
-def _tables(rows: int, threshold: float) -> tuple[int, int]:
-    """Tables and bits of each, so that a pair at ``threshold`` is missed with a probability of
-    MISSED at most: bits grow with the rows, so that buckets don't, as far as MOST_TABLES
-    tables make up for it."""
-    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    bits = max(1, math.ceil(math.log2(max(2, rows) / 16)))
-    while bits > 1 and math.log(MISSED) / math.log1p(-(agree**bits) + 1e-15) > MOST_TABLES:
-        bits -= 1
-    return max(1, math.ceil(math.log(MISSED) / math.log1p(-(agree**bits) + 1e-15))), bits
+class Block:
+    """Keys, what they are ``apart`` by, and vectors of one length (``columns``: one array for
+    each dimension), from rows (key, vec, apart)."""
+
+    def __init__(self, rows: pa.Table, length: int):
+        self.keys, self.apart = rows.column(0).combine_chunks(), rows.column(2).to_pandas(integer_object_nulls=True).to_numpy()
+        flat = rows.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+        self.columns = np.ascontiguousarray(flat.reshape(rows.num_rows, length).T)
+        with np.errstate(all="ignore"):
+            self.norm = np.sqrt(self._sum(self.columns, self.columns, slice(None), slice(None)))
+            unit = self.columns / np.where(self.norm > 0, self.norm, 1)
+        # not a number, so that no comparison rules them out
+        unit[:, ~np.isfinite(self.norm)] = np.nan
+        self.unit = np.ascontiguousarray(unit.T, np.float32)
+
+    @classmethod
+    def all(cls, rows: pa.Table) -> dict[int, Block]:
+        lengths = rows.column(1).combine_chunks().value_lengths().to_numpy()
+        return {n: cls(rows.take(np.flatnonzero(lengths == n)), n) for n in np.unique(lengths).tolist()}
+
+    @staticmethod
+    def _sum(a: np.ndarray, b: np.ndarray, i, j) -> np.ndarray:
+        """Sums of products, added in the order in which ``V.cosine`` adds them."""
+        total = np.zeros(a.shape[1])[i]
+        for x, y in zip(a, b, strict=True):
+            total += x[i] * y[j]
+        return total
+
+    def scores(self, other: Block, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """``V.cosine`` of rows ``i`` with rows ``j`` of ``other``, to the last bit."""
+        with np.errstate(all="ignore"):
+            size = self.norm[i] * other.norm[j]
+            return np.where(size == 0, 0.0, self._sum(self.columns, other.columns, i, j) / size)
+
+    def near(self, other: Block, threshold: float, differ: bool) -> Iterator[tuple]:
+        """(rows, rows of ``other``, scores) that reach the threshold, in batches; of a block
+        with itself each pair once.  ``differ``: those alone that ``apart`` parts."""
+        # cosines of rounded vectors are off by less than this
+        least = np.float32(threshold - (len(self.columns) + 8) * 2.0**-23)
+        step = max(1, COSINES // max(1, len(other.norm)))
+        for at in range(0, len(self.norm), step):
+            with np.errstate(all="ignore"):
+                cosine = self.unit[at : at + step] @ other.unit.T
+            # a maximum is found faster than places; most rows have none
+            some = np.flatnonzero(~(cosine.max(axis=1, initial=-2) < least))
+            i, j = np.nonzero(~(cosine[some] < least))
+            i = some[i] + at
+            if other is self:
+                i, j = i[i < j], j[i < j]
+            if differ:
+                mine, its = self.apart[i], other.apart[j]
+                parted = (mine != its) & ~pd.isna(mine) & ~pd.isna(its)
+                i, j = i[parted], j[parted]
+            for k in range(0, len(i), BATCH):
+                x, y = i[k : k + BATCH], j[k : k + BATCH]
+                score = self.scores(other, x, y)
+                kept = ~(score < threshold)
+                yield x[kept], y[kept], score[kept]
+
+
+def _ordered(found: DataFrame) -> DataFrame:
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").where("a < b")
+
+
+def _comparable(df: DataFrame, key: str, vector: str, apart: str | None = None) -> DataFrame:
+    vec = F.col(vector) if df.schema[vector].dataType.simpleString() == "array<float>" else V.doubles(F.col(vector))
+    rows = df.select(F.col(key).alias("key"), vec.alias("vec"), (F.col(apart) if apart else F.lit(0)).alias("apart"))
+    return rows.where("key IS NOT NULL AND vec IS NOT NULL AND NOT exists(vec, x -> x IS NULL)")
 
 
 def pairs(
-    df: DataFrame, threshold: float, key: str = "key", vector: str = "embedding", seed: int = 11
+    df: DataFrame, threshold: float, key: str = "key", vector: str = "embedding", apart: str | None = None
 ) -> DataFrame:
-    """(a, b, score) of rows whose cosine is ``threshold`` or more, a < b.
-
-    Rows meet if the signs of random projections agree in a table.  Only keys are joined on
-    them; vectors come to the pairs that meet, once each."""
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vec"))
-    tables, bits = _tables(rows.count(), threshold)
+    """(a, b, score) of all pairs of rows whose cosine is ``threshold`` or more, a < b; with
+    ``apart`` those alone that differ in that column, where neither lacks it.
+
+    Rows are dealt to blocks, which are written to the shared folder once; each task reads
+    the blocks that it compares.  So only the pairs found are moved, and a common vector
+    makes no task larger.  Vectors that are null or hold a null, and null keys, take no
+    part; as in SQL, a cosine that isn't a number (of an infinite vector) reaches any
+    threshold."""
+    rows = _comparable(df, key, vector, apart)
+    count, longest = rows.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    most = max(1, MOST_NUMBERS // max(1, longest or 1))
+    blocks = max(1, -(-count // min(most, max(LEAST_ROWS, -(-count // BLOCKS)))))
+    folder = new_dir(df.sparkSession, "vectors")
+    make_dir(df.sparkSession, folder)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            where, path = fs.FileSystem.from_uri(folder)
+            name = uuid.uuid4().hex
+            with where.open_output_stream(f"{path}/{name}") as out, pa.ipc.new_file(out, held[0].schema) as file:
+                for b in held:
+                    file.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, path = fs.FileSystem.from_uri(folder)
+
+        def read(name: str) -> dict[int, Block]:
+            with where.open_input_file(f"{path}/{name}") as file:
+                return Block.all(pa.ipc.open_file(file).read_all())
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            out: list[list[int]] = []
-            for v in batch.column(1).to_pylist():
-                v = np.nan_to_num(np.array(v, float))
-                if len(v) not in planes:
-                    planes[len(v)] = np.random.default_rng(seed).standard_normal((tables * bits, len(v)))
-                on = (planes[len(v)] @ v >= 0).reshape(tables, bits)
-                out.append((on @ (1 << np.arange(bits, dtype=np.int64))).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["key", "h"])
-
+            for one, two in zip(*batch.to_pydict().values(), strict=True):
+                first = read(one)
+                second = first if one == two else read(two)
+                for n in first.keys() & second.keys():
+                    x, y = first[n], second[n]
+                    for i, j, score in x.near(y, threshold, apart is not None):
+                        yield pa.RecordBatch.from_arrays([x.keys.take(i), y.keys.take(j), pa.array(score)], names=["a", "b", "score"])
+
+    # the files are there once this has run
+    names = cut(rows.repartition(blocks).mapInArrow(write, "name string"))
+    items = names.toDF("one").crossJoin(F.broadcast(names.toDF("two"))).where("one <= two")
     kind = rows.schema["key"].dataType.simpleString()
-    placed = rows.mapInArrow(sign, f"key {kind}, h array<long>").select("key", F.posexplode("h").alias("t", "h"))
-    met = placed.withColumnRenamed("key", "a").join(placed.withColumnRenamed("key", "b"), ["t", "h"])
-    met = met.where("a < b").select("a", "b").distinct()
-    met = met.join(rows.toDF("a", "va"), "a").join(rows.toDF("b", "vb"), "b")
-    scored = met.select("a", "b", V.cosine(F.col("va"), F.col("vb")).alias("score"))
-    return scored.where(F.col("score") >= threshold).groupBy("a", "b").agg(F.max("score").alias("score"))
+    dealt = items.repartition(min(TASKS, blocks * (blocks + 1) // 2))
+    return _ordered(dealt.mapInArrow(compare, f"a {kind}, b {kind}, score double"))
 
 
 def unconnected(found: DataFrame, connected: DataFrame, k: int | None) -> DataFrame:

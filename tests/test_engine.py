@@ -224,3 +224,39 @@ def test_chunk_sizes_are_checked():
     for size, overlap in ((0, 0), (10, 10), (10, -1)):
         with pytest.raises(ValueError):
             text.chunks("x", size, overlap)
+
+
+def _odd_vectors(spark):
+    """Copies, unlike lengths, zeros, nulls and what isn't finite, dealt over many partitions."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((60, 3)).tolist() + [[1.0, 2.0, 3.0]] * 40 + rng.standard_normal((20, 2)).tolist()
+    x += [[0.0, 0.0, 0.0], None, [1.0, None, 2.0], [float("inf"), 0.0, 0.0], []]
+    labels = [None if i % 7 == 0 else i % 3 for i in range(len(x))]
+    rows = list(zip(range(len(x)), x, labels, strict=True)) + [(5, [1.0, 2.0, 3.0], 1), (None, [1.0, 2.0, 3.0], 1)]
+    return spark.createDataFrame(rows, "key int, embedding array<double>, label int").repartition(7).cache()
+
+
+def _joined(df):
+    """Each pair by a plain join."""
+    from chronoframe.functions import vectors as V
+
+    usable = df.where("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)")
+    both = usable.toDF("a", "va", "la").join(usable.toDF("b", "vb", "lb"), F.expr("a < b"))
+    return both.withColumn("score", V.cosine(F.col("va"), F.col("vb"))).where("score >= 0.5")
+
+
+def _same(got, want):
+    return sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+
+
+def test_pairs_are_those_of_a_join_to_the_last_bit(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "LEAST_ROWS", 16)  # so that there are many blocks
+    df = _odd_vectors(spark)
+    assert _same(vector_search.pairs(df, 0.5), _joined(df).select("a", "b", "score"))
+    assert vector_search.pairs(df.where("key < 0"), 0.5).count() == 0
+    named = df.where("key < 100").withColumn("key", F.concat(F.lit("k"), "key"))
+    assert _same(vector_search.pairs(named, 0.5), _joined(named).select("a", "b", "score"))
+    single = df.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    assert _same(vector_search.pairs(single, 0.5), _joined(single).select("a", "b", "score"))
