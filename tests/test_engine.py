@@ -260,3 +260,12 @@ def test_pairs_are_those_of_a_join_to_the_last_bit(spark, monkeypatch):
     assert _same(vector_search.pairs(named, 0.5), _joined(named).select("a", "b", "score"))
     single = df.withColumn("embedding", F.col("embedding").cast("array<float>"))
     assert _same(vector_search.pairs(single, 0.5), _joined(single).select("a", "b", "score"))
+
+
+def test_edge_stats_move_no_candidates(spark):
+    edges = vector_search.typed_edges(vector_search.pairs(_odd_vectors(spark), 0.5))
+    stats = vector_search.edge_stats(edges)
+    want = vector_search.edge_stats(vector_search.typed_edges(_joined(_odd_vectors(spark))))
+    assert {r.kind: r.edges for r in stats.collect()} == {r.kind: r.edges for r in want.collect()}
+    plan = stats._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan.lower() and plan.count("Join") == 1 and plan.count("Aggregate") == 1
