@@ -194,6 +194,26 @@ def pairs(
     return _ordered(dealt.mapInArrow(compare, f"a {kind}, b {kind}, score double"))
 
 
+def pairs_of(
+    df: DataFrame, few: DataFrame, threshold: float, key: str = "key", vector: str = "embedding"
+) -> DataFrame:
+    """Those of ``pairs`` that have an end in ``few`` (key, vector), each once.  They are as
+    few as the hits of a search: all tasks get them, and the rows are read once."""
+    rows, ends = _comparable(df, key, vector), _comparable(few, key, vector).toArrow()
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = Block.all(ends)
+        for batch in batches:
+            own = Block.all(pa.Table.from_batches([batch]))
+            for n in own.keys() & asked.keys():
+                x, y = own[n], asked[n]
+                for i, j, score in x.near(y, threshold, False):
+                    yield pa.RecordBatch.from_arrays([x.keys.take(i), y.keys.take(j), pa.array(score)], names=["a", "b", "score"])
+
+    return _ordered(rows.mapInArrow(compare, f"a {kind}, b {kind}, score double")).distinct()
+
+
 def unconnected(found: DataFrame, connected: DataFrame, k: int | None) -> DataFrame:
     """The k best of ``pairs`` that ``connected`` (a, b in either order) does not hold; with
     ``k`` None all of them, in no order."""

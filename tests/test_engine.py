@@ -286,3 +286,28 @@ def test_unconnected_query_leaves_out_missing_labels(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     found = QUERIES["x_pairs_unconnected"](spark, str(tmp_path))
     assert sorted(map(tuple, found.collect())) == [(1, 2), (1, 4)]
+
+
+def test_pairs_of_few(spark):
+    df = _odd_vectors(spark)
+    few = df.where("key IN (3, 5, 70, 71, 118)")
+    got = vector_search.pairs_of(df, few, 0.5).distinct()
+    want = _joined(df).where("a IN (3, 5, 70, 71, 118) OR b IN (3, 5, 70, 71, 118)").select("a", "b", "score").distinct()
+    assert _same(got, want)
+    assert vector_search.pairs_of(df, df.where("key < 0"), 0.5).count() == 0
+
+
+def test_explain_query_reads_the_hits_edges_alone(spark, tmp_path):
+    from chronoframe import queries
+
+    near = [[p + (0.001 * i if n == i else 0.0) for n, p in enumerate(queries.PROBE)] for i in range(40)]
+    rows = [(i, v, i % 3) for i, v in enumerate(near)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = queries.QUERIES["x_explain"](spark, str(tmp_path))
+    # all are alike, so each hit shares the first rows with the others
+    assert {r.explanation for r in found.collect()} == {"shares 5 neighbours by abstraction"} and found.count() == 30
+    assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
+    vectors = queries._vectors(spark, str(tmp_path))
+    edges = vector_search.typed_edges(vector_search.pairs(vectors, 0.5))
+    want = vector_search.explain(queries._hits(spark, str(tmp_path)).select("key", "score"), edges)
+    assert _same(found, want.select("key", "explanation"))
