@@ -44,6 +44,9 @@ SHARD_IDS = 2_000_000
 WORD = 64
 #: Bits of a plane that are compressed together.
 CHUNK = 1 << 17
+#: Writing tasks for each that takes up their rows; files that a reading task takes where
+#: there are more than LEAST_TASKS.
+PARTS, FILES, LEAST_TASKS = 16, 4, 24
 #: Bytes of words that a worker remembers the ids of, in each generation.
 REMEMBERED = 80 << 20
 
@@ -327,15 +330,20 @@ def write(
     by = ["key", "h", "n"]
     rows = rows.withColumns({"h": F.xxhash64("text"), "n": F.monotonically_increasing_id()})
     ordered = rows.repartitionByRange(parts, *by).sortWithinPartitions("key", "h", "text").select("key", "text")
-    return ordered.mapInArrow(lean(run), "part long, shard long, name string, docs long, ids long")
+    found = ordered.mapInArrow(lean(run), "part long, shard long, name string, docs long, ids long")
+    # a few rows of each of many tasks: what is done with them takes fewer, after these are over.
+    # By part, so that a task that runs again puts other names in no other place
+    return found.repartition(max(1, parts // PARTS), "part")
 
 
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, first_id long, n_first long"
 
 
 def _dealt(shards: DataFrame) -> DataFrame:
-    """``shards`` dealt to as many tasks as there are shards: one file is enough for a task."""
-    return shards.repartition(max(1, min(shards.count(), 100_000)))
+    """``shards`` dealt to tasks, FILES to each where there are many: a file takes a tenth of a
+    second, and so does what a task costs besides."""
+    count = shards.count()
+    return shards.repartition(max(1, min(count, max(count // FILES, LEAST_TASKS))))
 
 
 def read(shards: DataFrame, folder: str) -> DataFrame:

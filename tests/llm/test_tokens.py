@@ -206,3 +206,17 @@ def test_token_files_of_nothing(spark):
     shared.make_dir(spark, folder)
     made = shared.cut(wavelet.write(docs(spark, []), BYTE, folder))
     assert wavelet.read(wavelet.bases(made), folder).count() == 0
+
+
+def test_many_files_take_few_tasks(spark):
+    folder = shared.new_dir(spark, "wavelet")
+    shared.make_dir(spark, folder)
+    texts = [f"text {i}" for i in range(128)]
+    made = shared.cut(wavelet.write(docs(spark, texts, range(128)).repartition(32), BYTE, folder, shard_ids=1))
+    assert made.count() == 128 and made.rdd.getNumPartitions() <= 2
+    assert wavelet._dealt(made).rdd.getNumPartitions() == 32
+    assert wavelet._dealt(made.limit(3)).rdd.getNumPartitions() == 3
+    got = wavelet.read(wavelet.bases(made), folder).orderBy("start").collect()
+    lib = Tokenizer.from_file(BYTE)
+    lengths = [len(lib.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+    assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(i, sum(lengths[:i]), n) for i, n in enumerate(lengths)]
