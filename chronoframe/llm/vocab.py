@@ -96,6 +96,7 @@ class Memory(dict):
     """
 
     FIXED, LONG = 160, 48
+    __slots__ = ("make", "room", "each", "plain", "left", "old")
 
     def __init__(self, make, room: int, each: int = 1, plain: bool = False):
         super().__init__()
@@ -104,12 +105,17 @@ class Memory(dict):
 
     def __missing__(self, key):
         value = self.old.get(key)
+        size = 0 if self.plain else len(key)
         if value is None:
             value = self.make(key)
-            if not self.plain and len(key) > self.LONG:
+            if size > self.LONG:
                 return value
-        self.left -= self.FIXED + (0 if self.plain else 2 * len(key)) + (self.each * len(value) if self.each else 0)
-        if self.left < 0:
+        size = self.FIXED + 2 * size
+        if self.each:
+            size += self.each * len(value)
+        # making the value may have taken room
+        self.left = left = self.left - size
+        if left < 0:
             self.old = dict(self)
             self.clear()
             self.left = self.room
@@ -179,7 +185,10 @@ class Vocabulary:
 
     def piece(self, piece: str) -> bytes:
         """Ids of one piece that the pre-tokenizer leaves whole."""
-        return array("I", [t.id for t in self.tokenize(lettered(piece))]).tobytes()
+        return self.token_ids(lettered(piece))
+
+    def token_ids(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
 
     def word_chunk(self, chunk: str) -> bytes:
         core = chunk.rstrip(MARKS)
@@ -190,10 +199,10 @@ class Vocabulary:
         return b"".join([self.pieces[p] for p in word_pieces(chunk)])
 
     def byte_chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            return self.token_ids(LETTERS[32] + chunk if chunk.isascii() else lettered(" " + chunk))
         core = chunk.rstrip(MARKS)
         if core.isalpha():
-            if len(core) == len(chunk):
-                return self.piece(" " + chunk)
             return self.chunks[core] + self.pieces[chunk[len(core) :]]
         return b"".join([self.pieces[p] for p in byte_pieces(" " + chunk)])
 
