@@ -96,7 +96,6 @@ class Memory(dict):
     """
 
     FIXED, LONG = 160, 48
-    __slots__ = ("make", "room", "each", "plain", "left", "old")
 
     def __init__(self, make, room: int, each: int = 1, plain: bool = False):
         super().__init__()
