@@ -8,7 +8,7 @@ as products of matrices, and scores exactly what comes near the threshold.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -24,8 +24,9 @@ from chronoframe.operators import temporal
 
 #: Rows of a block, at least; its numbers, at most; blocks below which it isn't larger.
 LEAST_ROWS, MOST_NUMBERS, BLOCKS = 1024, 1 << 20, 32
-#: Tasks that compare blocks, at most; cosines at once; pairs in a batch of results.
-TASKS, COSINES, BATCH = 1000, 1 << 20, 1 << 16
+#: Tasks that compare blocks, at most; pairs of blocks that a task compares where that gives
+#: fewer; cosines at once; pairs in a batch of results.
+TASKS, EACH, COSINES, BATCH = 1000, 4, 1 << 20, 1 << 16
 
 
 def search(
@@ -106,19 +107,29 @@ class Block:
             size = self.norm[i] * other.norm[j]
             return np.where(size == 0, 0.0, self._sum(self.columns, other.columns, i, j) / size)
 
-    def near(self, other: Block, threshold: float, differ: bool) -> Iterator[tuple]:
-        """(rows, rows of ``other``, scores) that reach the threshold, in batches; of a block
-        with itself each pair once.  ``differ``: those alone that ``apart`` parts."""
+    def close(self, other: Block, threshold: float) -> Iterator[tuple]:
+        """(rows, rows of ``other``) that may reach the threshold; of a block with itself each
+        pair once, and each row with itself."""
         # cosines of rounded vectors are off by less than this
         least = np.float32(threshold - (len(self.columns) + 8) * 2.0**-23)
         step = max(1, COSINES // max(1, len(other.norm)))
+        held = np.empty((min(step, len(self.norm)), len(other.norm)), np.float32)
         for at in range(0, len(self.norm), step):
+            own = self.unit[at : at + step]
             with np.errstate(all="ignore"):
-                cosine = self.unit[at : at + step] @ other.unit.T
+                cosine = np.matmul(own, other.unit.T, out=held[: len(own)])
             # a maximum is found faster than places; most rows have none
             some = np.flatnonzero(~(cosine.max(axis=1, initial=-2) < least))
             i, j = np.nonzero(~(cosine[some] < least))
             i = some[i] + at
+            if other is self:
+                i, j = i[i <= j], j[i <= j]
+            yield i, j
+
+    def near(self, other: Block, threshold: float, differ: bool) -> Iterator[tuple]:
+        """(rows, rows of ``other``, scores) that reach the threshold, in batches; of a block
+        with itself each pair once.  ``differ``: those alone that ``apart`` parts."""
+        for i, j in self.close(other, threshold):
             if other is self:
                 i, j = i[i < j], j[i < j]
             if differ:
@@ -131,6 +142,31 @@ class Block:
                 kept = ~(score < threshold)
                 yield x[kept], y[kept], score[kept]
 
+    def tally(self, other: Block, threshold: float, bars: list[float], differ: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Number and sum of the scores that reach the threshold, by how many of ``bars`` they
+        are over.  A row stands for as many rows as its key says, with one vector; with
+        ``differ`` rows whose ``apart`` is the same make no pair."""
+        n, total = np.zeros(len(bars) + 1, np.int64), np.zeros(len(bars) + 1)
+        mine, its = self.keys.to_numpy(), other.keys.to_numpy()
+        for all_i, all_j in self.close(other, threshold):
+            for k in range(0, len(all_i), BATCH):
+                i, j = all_i[k : k + BATCH], all_j[k : k + BATCH]
+                weight = mine[i] * its[j]
+                if other is self:
+                    weight = np.where(i == j, mine[i] * (mine[i] - 1) // 2, weight)
+                if differ:
+                    a, b = self.apart[i], other.apart[j]
+                    weight[(a == b) & ~pd.isna(a) & ~pd.isna(b)] = 0
+                i, j, weight = i[weight > 0], j[weight > 0], weight[weight > 0]
+                score = self.scores(other, i, j)
+                kept = ~(score < threshold)
+                score, weight = score[kept], weight[kept]
+                # what isn't a number is over all bars, as in SQL
+                band = sum((~(score <= bar) for bar in bars), np.zeros(len(score), np.int64))
+                np.add.at(n, band, weight)
+                np.add.at(total, band, weight * score)
+        return n, total
+
 
 def _ordered(found: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").where("a < b")
@@ -154,44 +190,100 @@ def pairs(
     part; as in SQL, a cosine that isn't a number (of an infinite vector) reaches any
     threshold."""
     rows = _comparable(df, key, vector, apart)
+    kind = rows.schema["key"].dataType.simpleString()
+    size, blocks = _size(rows)
+
+    def compare(x: Block, y: Block) -> Iterator[pa.RecordBatch]:
+        for i, j, score in x.near(y, threshold, apart is not None):
+            yield pa.RecordBatch.from_arrays([x.keys.take(i), y.keys.take(j), pa.array(score)], names=["a", "b", "score"])
+
+    return _ordered(_compared(rows.repartition(blocks), size, compare, f"a {kind}, b {kind}, score double"))
+
+
+def pair_counts(
+    df: DataFrame, threshold: float, bars: list[float], key: str = "key", vector: str = "embedding"
+) -> DataFrame:
+    """(band, n, total): of ``pairs``, how many have a score over so many of ``bars``, and the
+    sum of their scores.
+
+    Equal vectors are compared once, each with how many rows have it, and tasks count what
+    they find, so copies are not expanded into pairs and no pair is moved.  Rows that share
+    a key make no pair: only where keys repeat are vectors grouped by such a key too."""
+    rows = _comparable(df, key, vector).select("key", "vec")
+    size, _ = _size(rows)
+    again = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("key").alias("shared")))
+    repeat = not again.isEmpty()
+    marked = rows.join(again, "key", "left") if repeat else rows.withColumn("shared", F.lit(0))
+    groups = marked.groupBy("vec", "shared").agg(F.count(F.lit(1)).alias("n")).select("n", "vec", "shared")
+
+    def compare(x: Block, y: Block) -> Iterator[pa.RecordBatch]:
+        n, total = x.tally(y, threshold, bars, repeat)
+        band = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(band, pa.int32()), pa.array(n[band]), pa.array(total[band])], names=["band", "n", "total"])
+
+    found = _compared(groups, size, compare, "band int, n long, total double")
+    return found.groupBy("band").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def _size(rows: DataFrame) -> tuple[int, int]:
+    """Rows of a block, and the number of blocks that it takes for all."""
     count, longest = rows.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     most = max(1, MOST_NUMBERS // max(1, longest or 1))
-    blocks = max(1, -(-count // min(most, max(LEAST_ROWS, -(-count // BLOCKS)))))
-    folder = new_dir(df.sparkSession, "vectors")
-    make_dir(df.sparkSession, folder)
+    size = min(most, max(LEAST_ROWS, -(-count // BLOCKS)))
+    return size, max(1, -(-count // size))
+
+
+def _compared(rows: DataFrame, size: int, compare: Callable[[Block, Block], Iterator[pa.RecordBatch]], fields: str) -> DataFrame:
+    """What ``compare`` yields for every two blocks with vectors of one length, and for every
+    block with itself.  Blocks have at most about ``size`` of a partition's rows each."""
+    folder = new_dir(rows.sparkSession, "vectors")
+    make_dir(rows.sparkSession, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
+        def save(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             where, path = fs.FileSystem.from_uri(folder)
             name = uuid.uuid4().hex
             with where.open_output_stream(f"{path}/{name}") as out, pa.ipc.new_file(out, held[0].schema) as file:
                 for b in held:
                     file.write_batch(b)
-            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+            return pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                # repartition deals rows evenly, but not to the last row
+                part = batch.slice(0, size + BLOCKS - count)
+                held, count, batch = [*held, part], count + part.num_rows, batch.slice(part.num_rows)
+                if count == size + BLOCKS:
+                    yield save(held)
+                    held, count = [], 0
+        if held:
+            yield save(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = fs.FileSystem.from_uri(folder)
 
         def read(name: str) -> dict[int, Block]:
             with where.open_input_file(f"{path}/{name}") as file:
                 return Block.all(pa.ipc.open_file(file).read_all())
 
+        last, first = None, {}
         for batch in batches:
             for one, two in zip(*batch.to_pydict().values(), strict=True):
-                first = read(one)
+                if one != last:
+                    last, first = one, read(one)
                 second = first if one == two else read(two)
                 for n in first.keys() & second.keys():
-                    x, y = first[n], second[n]
-                    for i, j, score in x.near(y, threshold, apart is not None):
-                        yield pa.RecordBatch.from_arrays([x.keys.take(i), y.keys.take(j), pa.array(score)], names=["a", "b", "score"])
+                    yield from compare(first[n], second[n])
 
     # the files are there once this has run
-    names = cut(rows.repartition(blocks).mapInArrow(write, "name string"))
+    names = cut(rows.mapInArrow(write, "name string"))
+    count = names.count()
     items = names.toDF("one").crossJoin(F.broadcast(names.toDF("two"))).where("one <= two")
-    kind = rows.schema["key"].dataType.simpleString()
-    dealt = items.repartition(min(TASKS, blocks * (blocks + 1) // 2))
-    return _ordered(dealt.mapInArrow(compare, f"a {kind}, b {kind}, score double"))
+    # a task's pairs of blocks have their first one in common, mostly
+    tasks = max(1, min(TASKS, -(-count * (count + 1) // 2 // EACH)))
+    dealt = items.repartitionByRange(tasks, "one", "two").sortWithinPartitions("one", "two")
+    return dealt.mapInArrow(run, fields)
 
 
 def pairs_of(
@@ -222,6 +314,11 @@ def unconnected(found: DataFrame, connected: DataFrame, k: int | None) -> DataFr
     return rest if k is None else rest.orderBy(F.desc("score"), "a", "b").limit(k)
 
 
+#: Scores over which an edge is a composition, and an abstraction.
+EDGE_BARS = [0.85, 0.95]
+EDGE_KINDS = {0: ("proximity", 0.0), 1: ("composition", 0.7), 2: ("abstraction", 0.9)}
+
+
 def typed_edges(found: DataFrame) -> DataFrame:
     """Kind and strength of the edges of a similarity graph."""
     kind = (
@@ -241,6 +338,17 @@ def edge_stats(edges: DataFrame) -> DataFrame:
     )
 
 
+def counted_edge_stats(df: DataFrame, threshold: float, key: str = "key", vector: str = "embedding") -> DataFrame:
+    """``edge_stats`` of the ``typed_edges`` of ``pairs``, from counts alone."""
+    by = pair_counts(df, threshold, EDGE_BARS, key, vector)
+    kind, semantic = F.lit(None).cast("string"), F.lit(None).cast("double")
+    for band, (name, strength) in EDGE_KINDS.items():
+        kind = F.when(F.col("band") == band, name).otherwise(kind)
+        semantic = F.when(F.col("band") == band, strength).otherwise(semantic)
+    mean = 0.4 * F.col("total") / F.col("n") + 0.6 * semantic
+    return by.select(kind.alias("kind"), F.col("n").alias("edges"), mean.alias("mean_strength"))
+
+
 def abstraction_levels(edges: DataFrame) -> DataFrame:
     """2 for nodes with three kinds of edges and a mean strength under 0.8, 1 for two kinds."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("node"), "kind", "strength")

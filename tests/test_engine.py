@@ -271,6 +271,30 @@ def test_edge_stats_move_no_candidates(spark):
     assert "distinct" not in plan.lower() and plan.count("Join") == 1 and plan.count("Aggregate") == 1
 
 
+def test_edge_stats_query_counts_copies_without_pairs(spark, tmp_path, monkeypatch):
+    """Equal vectors are compared once; rows that share an id, however often, make no pair."""
+    from chronoframe.queries import QUERIES
+
+    monkeypatch.setattr(vector_search, "LEAST_ROWS", 16)
+    odd = _odd_vectors(spark).withColumnRenamed("key", "vec_id")
+    again = odd.where("vec_id % 5 = 0")
+    for name, rows in (("unique", odd.dropDuplicates(["vec_id"])), ("odd", odd), ("again", odd.union(again).union(again))):
+        rows.write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        joined = _joined(rows.withColumnRenamed("vec_id", "key"))
+        want = vector_search.edge_stats(vector_search.typed_edges(joined)).collect()
+        got = QUERIES["x_edge_stats"](spark, f"{tmp_path}/{name}").collect()
+        assert {r.kind: r.edges for r in got} == {r.kind: r.edges for r in want}
+        for r in got:
+            mean = next(w.mean_strength for w in want if w.kind == r.kind)
+            assert r.mean_strength == pytest.approx(mean, abs=1e-6, nan_ok=True)
+    # 4.5 thousand million pairs: none of them is made
+    rows = spark.range(100_000).selectExpr("id AS vec_id", "array(float(id % 3 + 1), float(1), float(0)) AS embedding", "1 AS label")
+    rows.limit(95_000).write.parquet(f"{tmp_path}/many/embeddings.parquet")
+    found = QUERIES["x_edge_stats"](spark, f"{tmp_path}/many")
+    assert "score" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(r.edges for r in found.collect()) == 95_000 * 94_999 // 2
+
+
 def test_pairs_apart(spark, monkeypatch):
     """Pairs of unlike labels, as SQL has them: a row without one is in none."""
     monkeypatch.setattr(vector_search, "LEAST_ROWS", 16)
