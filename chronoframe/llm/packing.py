@@ -38,8 +38,9 @@ SLACK = 0.002
 #: bounds what a task holds.  Underfull bins of all leaves meet above, so that the place of a
 #: run's end costs nothing but the order in which nearly full bins are found.
 LEAF = 500_000
-#: Bytes of words that a worker remembers the ids of, in each generation.
-REMEMBERED = 32 << 20
+#: Bytes of words that a worker remembers the ids of, in each generation: beside what other
+#: steps have left in the JVM and the workers, and in a session that does nothing else.
+REMEMBERED, ALONE = 32 << 20, 112 << 20
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,13 +118,15 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(
-    docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id"
+    docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id", remembered: int = REMEMBERED
 ) -> DataFrame:
-    """Token pieces of whole texts, each with the end id after it; only longer ones are cut."""
+    """Token pieces of whole texts, each with the end id after it; only longer ones are cut.
+
+    ``remembered`` bounds the words that a worker holds, not the result."""
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = vocabulary(path, REMEMBERED).encode
+        encode = vocabulary(path, remembered).encode
         for batch in batches:
             rows = []
             for doc, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -229,4 +232,4 @@ def op9_packing(spark, sf_dir: str) -> DataFrame:
 
     bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return pack(pieces(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=ALONE))

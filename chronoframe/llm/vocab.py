@@ -191,9 +191,10 @@ class Vocabulary:
 
     def word_chunk(self, chunk: str) -> bytes:
         core = chunk.rstrip(MARKS)
-        if core.isalpha() and core.isascii():
+        # letters that stay letters when folded are one piece
+        if core.isalpha() and (folded := fold(core)).isalpha():
             if len(core) == len(chunk):
-                return self.piece(chunk.lower())
+                return self.token_ids(folded if folded.isascii() else lettered(folded))
             return self.chunks[core] + self.pieces[chunk[len(core) :]]
         return b"".join([self.pieces[p] for p in word_pieces(chunk)])
 
