@@ -6,7 +6,7 @@ not seen lately reach the library's model.  The cut depends on the vocabulary fi
 
 * ``word``: white space is dropped, so any white space cuts;
 * ``byte``: a space belongs to the word after it, so a single space between two
-  characters that aren't white space cuts;
+  characters that aren't white space cuts, and so does a newline that stands alone;
 * any other file: the library encodes whole texts.
 
 Texts that hold a special token's string go to the library whole, and so do texts with
@@ -143,9 +143,12 @@ def word_pieces(chunk: str) -> list[str]:
 
 
 def byte_chunks(text: str) -> list[str]:
-    """Chunks; each but the first follows one space that belongs to it."""
+    """Chunks; each but the first follows one space that belongs to it, or starts with a
+    newline, which stands alone and is a piece of its own."""
     if "  " in text or "\n " in text or " \n" in text or _ODD_SPACE.search(text):
         return _CUT.split(text)
+    if "\n" in text and "\n\n" not in text:
+        return text.replace("\n", " \n").split(" ")
     return text.split(" ")
 
 
@@ -204,8 +207,19 @@ class Vocabulary:
         core = chunk.rstrip(MARKS)
         if core.isalpha():
             return self.chunks[core] + self.pieces[chunk[len(core) :]]
+        if chunk[:1] == "\n":
+            return self.pieces["\n"] + self.head(chunk[1:])
         return b"".join([self.pieces[p] for p in byte_pieces(" " + chunk)])
 
+    def head(self, chunk: str) -> bytes:
+        """Ids of a chunk that follows no space."""
+        if chunk.isalpha():
+            return self.token_ids(chunk if chunk.isascii() else lettered(chunk))
+        core = chunk.rstrip(MARKS)
+        if core.isalpha():
+            return self.head(core) + self.pieces[chunk[len(core) :]]
+        return b"".join([self.pieces[p] for p in byte_pieces(chunk)])
+
     def whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
@@ -219,8 +233,7 @@ class Vocabulary:
         if self.style == "word":
             return b"".join(map(self.chunks.__getitem__, word_chunks(text)))
         first, *rest = byte_chunks(text)
-        head = b"".join([self.pieces[p] for p in byte_pieces(first)])
-        return head + b"".join(map(self.chunks.__getitem__, rest))
+        return self.head(first) + b"".join(map(self.chunks.__getitem__, rest))
 
 
 @lru_cache(maxsize=4)

@@ -53,6 +53,19 @@ def test_words_of_letters_are_one_piece():
     assert not {"éêlle", "übermut", "ouauxçé"} & v.pieces.keys()
 
 
+def test_newlines_part_words():
+    """A newline that stands alone parts words, so that a memory needn't hold what it joins."""
+    v, rng = vocab.Vocabulary(BYTE), random.Random(3)
+    pool = ["ab", "Cé", " ", " ", "\n", ".", ",\n", "!!", "'s", "9", "漢", "_", "\n\n", "\t", "x, "]
+    texts = ["".join(rng.choices(pool[: rng.choice((12, 15))], k=rng.randint(0, 12))) for _ in range(6000)]
+    for t in [*texts, "\n", "\na", "a\n", "a\nb\n", "\n'll\n'll a", "a.\n.b c\n9"]:
+        want = v.library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(v.encode(t), "<u4").tolist() == want, repr(t)
+    v = vocab.Vocabulary(BYTE)
+    v.encode("One two.\nThrée four,\nfive six")
+    assert sorted(v.chunks) == ["\nThrée", "\nfive", "four", "four,", "six", "two", "two."]
+
+
 @pytest.fixture(scope="module")
 def coder():
     return bpe.encoder(WORD)
