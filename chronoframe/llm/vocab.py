@@ -9,6 +9,9 @@ not seen lately reach the library's model.  The cut depends on the vocabulary fi
   characters that aren't white space cuts, and so does a newline that stands alone;
 * any other file: the library encodes whole texts.
 
+``encode_all`` takes many texts at once: all their bytes are cut together, equal words are
+found by hash, and each is looked up once.
+
 Texts that hold a special token's string go to the library whole, and so do texts with
 characters that this Python's Unicode tables don't know.  Ids come as little-endian
 unsigned 32-bit integers.
@@ -23,6 +26,7 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
@@ -51,6 +55,18 @@ _LATE = re.compile("[^\x00-\u0377]")
 _ODD_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile("(?<=[^\\s]) (?=[^\\s])")
 
+#: What a byte is for the cuts of many texts: digits, controls and all beyond ASCII are 0.
+SPACE, LETTER, MARK = 1, 2, 3
+_KINDS = np.zeros(256, np.uint8)
+_ASCII_SPACE = "\t\n\x0b\x0c\r "
+_KINDS[list(_ASCII_SPACE.encode())] = SPACE
+_KINDS[[b for b in range(33, 127) if chr(b).isalpha()]] = LETTER
+_KINDS[[b for b in range(33, 127) if not chr(b).isalnum()]] = MARK
+#: Other white space, or what only some libraries count as such.
+_RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: In place of ids: the text of this word goes through ``encode``.
+ODD = b"?"
+
 
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
@@ -156,6 +172,27 @@ def byte_pieces(chunk: str) -> list[str]:
     return (_ASCII_BYTE if chunk.isascii() else _BYTE).findall(chunk)
 
 
+def byte_cuts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places in the texts' bytes before which no token crosses, where ASCII's is the only white
+    space.  ``starts`` and ``ends`` are those of all texts that aren't empty.
+
+    Only tokens of white space alone have any after their first place, and they leave the last
+    place of a run that something follows: so it cuts before a run, before its last place, and
+    after that if it is no space.  Letters end before a mark.
+    """
+    kind = _KINDS[data]
+    space = kind == SPACE
+    alone, cut = np.ones(len(data), bool), np.zeros(len(data), bool)
+    np.logical_not(space[1:], out=alone[:-1])
+    alone[ends - 1] = False
+    alone[1:] |= ~space[:-1]
+    np.logical_and(space, alone, out=cut)
+    cut[1:] |= (kind[1:] == MARK) & (kind[:-1] == LETTER)
+    cut[1:] |= space[:-1] & (data[:-1] != 32) & ~space[1:]
+    cut[starts] = True
+    return np.flatnonzero(cut)
+
+
 def read_spec(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         return json.load(f)
@@ -181,9 +218,11 @@ class Vocabulary:
         self.tokenize = self.library.model.tokenize
         # pieces are few: marks, numbers, parts of odd chunks
         self.pieces = Memory(self.piece, remembered // 8)
-        self.chunks = Memory(
-            self.word_chunk if self.style == "word" else self.byte_chunk, remembered
-        )
+        if self.style == "word":
+            self.chunks = Memory(self.word_chunk, remembered)
+        else:  # most texts come many at once, and their words are in a memory of its own
+            self.chunks = Memory(self.byte_chunk, remembered // 4)
+            self.words = Memory(self.byte_word, remembered)
 
     def piece(self, piece: str) -> bytes:
         """Ids of one piece that the pre-tokenizer leaves whole."""
@@ -220,6 +259,20 @@ class Vocabulary:
             return self.head(core) + self.pieces[chunk[len(core) :]]
         return b"".join([self.pieces[p] for p in byte_pieces(chunk)])
 
+    def byte_word(self, word: str) -> bytes:
+        """Ids of what lies between two cuts of ``byte_cuts``, with the space that it begins
+        with; ODD if it has characters that aren't known, or rare white space at an end, where
+        more may follow beyond the cut."""
+        if word.isalpha() or word[0] == " " and word[1:].isalpha():
+            return self.token_ids(lettered(word))
+        inner = word.strip(_ASCII_SPACE)
+        if not known(word) or _RARE_SPACE.match(inner) or _RARE_SPACE.match(inner[-1:]):
+            return ODD
+        core = word.rstrip(MARKS)
+        if core != word and core.lstrip(" ").isalpha():
+            return self.words[core] + self.pieces[word[len(core) :]]
+        return b"".join([self.pieces[p] for p in byte_pieces(word)])
+
     def whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
@@ -235,6 +288,38 @@ class Vocabulary:
         first, *rest = byte_chunks(text)
         return self.head(first) + b"".join(map(self.chunks.__getitem__, rest))
 
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """``encode`` of each text."""
+        if self.style != "byte":
+            return [self.encode(t.as_py()) for t in texts]
+        texts = texts.cast(pa.large_string()).fill_null("")
+        _, places, data = texts.buffers()
+        bounds = np.frombuffer(places or bytes(8), np.int64)[texts.offset :][: len(texts) + 1]
+        data = np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        full = np.flatnonzero(np.diff(bounds))
+        if not len(full):
+            return [b""] * len(texts)
+        cuts = byte_cuts(data, bounds[full], bounds[full + 1])
+        parts = pa.py_buffer(np.append(cuts, len(data))), pa.py_buffer(data)
+        words = pa.LargeStringArray.from_buffers(len(cuts), *parts).dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False)
+        ids = pa.array([self.words[w] for w in distinct], pa.large_binary()).take(words.indices)
+        _, places, found = ids.buffers()
+        ends, every = np.frombuffer(places, np.int64)[: len(cuts) + 1], memoryview(found)
+        # the first word of each text, and where its ids begin
+        first = np.searchsorted(cuts, bounds)
+        at = ends[first].tolist()
+        out = [bytes(every[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        odd = np.flatnonzero(np.diff(ends) == len(ODD))
+        again = set((np.searchsorted(first, odd, side="right") - 1).tolist())
+        raw = data.tobytes()
+        if any(s.encode() in raw for s in self.specials):
+            again |= {i for i, t in enumerate(texts) if any(s in t.as_py() for s in self.specials)}
+        for i in again:
+            out[i] = self.encode(texts[i].as_py())
+        return out
+
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str, remembered: int = REMEMBERED) -> Vocabulary:

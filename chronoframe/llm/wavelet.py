@@ -306,7 +306,7 @@ def write(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = vocabulary(path, REMEMBERED).encode
+        encode = vocabulary(path, REMEMBERED).encode_all
         end = np.array([END_ID], "<u4").tobytes()
         part, shard = TaskContext.get().partitionId(), 0
         keys: list[int | None] = []
@@ -325,9 +325,9 @@ def write(
             )
 
         for batch in batches:
-            for k, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for k, own in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 keys.append(k)
-                ids.append(encode(words.as_py()) + end)
+                ids.append(own + end)
                 held += len(ids[-1]) // 4
                 if held >= shard_ids:
                     yield flush()

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -66,6 +67,30 @@ def test_newlines_part_words():
     assert sorted(v.chunks) == ["\nThrée", "\nfive", "four", "four,", "six", "two", "two."]
 
 
+def test_many_texts_at_once():
+    """As one by one, whatever the white space, and each word of all of them is looked up once."""
+    v, rng = vocab.Vocabulary(BYTE), random.Random(4)
+    pool = ["ab", "Cé", " ", " ", "\n", ".", ",\n", "!!", "'s", "'", "9", "漢", "_", "\n\n", "\t", "\r\n", "\x0b", "x, ", "“", "\xa0", "\u2003", "\x85"]
+    texts = ["".join(rng.choices(pool[: rng.choice((19, 22))], k=rng.randint(0, 12))) for _ in range(8000)]
+    texts += [*fuzz(3000), None, "", " ", "  ", "\n", "\na", " a", "a ", "a  ", "  a", "\t a", "\n'll\n'll, a", "a<|endoftext|>b"]
+    rng.shuffle(texts)
+    texts += ["\xa0", None, "a" * 3000, "é, " * 100, ""]
+    want = [v.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    given = pa.array(["cut off", *texts], pa.string())[1:]
+    for kind in (pa.string(), pa.large_string()):
+        got = v.encode_all(given.cast(kind))
+        for t, ids, w in zip(texts, got, want, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == w, repr(t)
+    assert v.encode_all(given[:0]) == [] and v.encode_all(pa.array([None, ""], pa.string())) == [b"", b""]
+    asked = []
+    v.words = type("Words", (vocab.Memory,), {"__getitem__": lambda m, w: asked.append(w) or vocab.Memory.__missing__(m, w)})(v.byte_word, 1 << 20)
+    v.encode_all(pa.array(["One two.\nThrée two,\nsix", "six two"] * 50))
+    assert sorted(asked) == sorted(["One", " two", ".", "\n", "Thrée", ",", "six"])
+    # no-break spaces inside words send no text back
+    v.encode = None
+    assert np.frombuffer(v.encode_all(pa.array(["«\xa0un mot\xa0! 10\xa0000"]))[0], "<u4").tolist() == v.library.encode("«\xa0un mot\xa0! 10\xa0000").ids
+
+
 @pytest.fixture(scope="module")
 def coder():
     return bpe.encoder(WORD)
