@@ -292,14 +292,21 @@ class Vocabulary:
         """``encode`` of each text."""
         if self.style != "byte":
             return [self.encode(t.as_py()) for t in texts]
-        texts = texts.cast(pa.large_string()).fill_null("")
+        out, again = self.by_words(texts.cast(pa.large_string()).fill_null(""))
+        # what the words took is free by now: texts may be long
+        for i in again:
+            out[i] = self.encode(texts[i].as_py())
+        return out
+
+    def by_words(self, texts: pa.Array) -> tuple[list[bytes], set[int]]:
+        """Ids of each text from those of its words, and the texts for which they aren't right."""
         _, places, data = texts.buffers()
         bounds = np.frombuffer(places or bytes(8), np.int64)[texts.offset :][: len(texts) + 1]
         data = np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]
         bounds = bounds - bounds[0]
         full = np.flatnonzero(np.diff(bounds))
         if not len(full):
-            return [b""] * len(texts)
+            return [b""] * len(texts), set()
         cuts = byte_cuts(data, bounds[full], bounds[full + 1])
         parts = pa.py_buffer(np.append(cuts, len(data))), pa.py_buffer(data)
         words = pa.LargeStringArray.from_buffers(len(cuts), *parts).dictionary_encode()
@@ -316,9 +323,7 @@ class Vocabulary:
         raw = data.tobytes()
         if any(s.encode() in raw for s in self.specials):
             again |= {i for i, t in enumerate(texts) if any(s in t.as_py() for s in self.specials)}
-        for i in again:
-            out[i] = self.encode(texts[i].as_py())
-        return out
+        return out, again
 
 
 @lru_cache(maxsize=4)
