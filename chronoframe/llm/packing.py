@@ -19,7 +19,7 @@ rows.  Input columns beyond those named are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.llm.shared import bounded_batches, cut, lean
+from chronoframe.llm.shared import SMALL, bounded_batches, cut, lean
 from chronoframe.llm.vocab import vocabulary
 
 CAPACITY = 2048
@@ -114,18 +114,19 @@ def best_fit_counts(counts: dict[int, int], capacity: int) -> tuple[np.ndarray,
     return np.array(sorted(plan), np.int64).reshape(-1, 5), used
 
 
+Batches = Iterator[pa.RecordBatch]
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+NAMES = [f.split()[0] for f in PIECES.split(", ")]
+#: A piece's bin and place in it, its partition, whether the bin is underfull, and if so the
+#: piece's place among those of its partition and length.
+LOCAL = "bin long, offset long, node long, open boolean, place long"
 
 
-def pieces(
-    docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id", remembered: int = REMEMBERED
-) -> DataFrame:
-    """Token pieces of whole texts, each with the end id after it; only longer ones are cut.
-
-    ``remembered`` bounds the words that a worker holds, not the result."""
+def _cutter(path: str, capacity: int, remembered: int) -> Callable[[Batches], Batches]:
+    """What a task does to (doc_id, text) for the columns PIECES."""
     end = np.array([END_ID], "<u4").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         encode = vocabulary(path, remembered).encode
         for batch in batches:
             rows = []
@@ -138,23 +139,33 @@ def pieces(
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                    names=NAMES,
                 )
 
+    return run
+
+
+def pieces(
+    docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id", remembered: int = REMEMBERED
+) -> DataFrame:
+    """Token pieces of whole texts, each with the end id after it; only longer ones are cut.
+
+    ``remembered`` bounds the words that a worker holds, not the result."""
+    run = _cutter(path, capacity, remembered)
     return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(lean(run), PIECES)
 
 
-def _local(items: DataFrame, capacity: int) -> DataFrame:
-    """``items`` packed within each partition, with ``bin``, ``offset``, ``node``, ``open``
-    and ``place``, an open piece's place among those of its partition and length."""
-    names, most = items.columns, LEAF
+def _packer(names: list[str], capacity: int) -> Callable[[Batches], Batches]:
+    """What a task does to pack its pieces (with the columns ``names``) by themselves, for
+    the columns LOCAL beside those."""
+    most = LEAF
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         part = TaskContext.get().partitionId()
         used = 0
         seen = np.zeros(capacity + 1, np.int64)
 
-        def packed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        def packed(table: pa.Table) -> Batches:
             nonlocal used, seen
             lengths = table.column("length").to_numpy()
             bins, offsets, fills = best_fit(lengths, capacity)
@@ -183,7 +194,7 @@ def _local(items: DataFrame, capacity: int) -> DataFrame:
         if block:
             yield from packed(pa.Table.from_batches(block))
 
-    return items.mapInArrow(lean(run), f"{_fields(items)}, bin long, offset long, node long, open boolean, place long")
+    return run
 
 
 def _fields(df: DataFrame) -> str:
@@ -195,7 +206,7 @@ def _planned(rows: DataFrame, plan: np.ndarray, names: list[str]) -> DataFrame:
     ``offset`` of ``plan``."""
     keys = plan[:, 0] << 48 | plan[:, 1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             length, place = (batch.column(c).to_numpy() for c in ("length", "place"))
             length = length.astype(np.int64)
@@ -214,7 +225,23 @@ def _planned(rows: DataFrame, plan: np.ndarray, names: list[str]) -> DataFrame:
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``items`` (with ``length`` from 1 to ``capacity``) with ``sequence_id`` and ``offset``."""
     names = items.columns
-    placed = cut(_local(items, capacity))
+    run = _packer(names, capacity)
+    return _repacked(items.mapInArrow(lean(run), f"{_fields(items)}, {LOCAL}"), names, capacity)
+
+
+def pack_texts(
+    docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id", remembered: int = REMEMBERED
+) -> DataFrame:
+    """``pack`` of ``pieces``, by one Python worker of a task: two in a row take turns, and each
+    would come to remember the words."""
+    cutter, packer = _cutter(path, capacity, remembered), _packer(NAMES, capacity)
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), text)
+    return _repacked(texts.mapInArrow(lean(lambda batches: packer(cutter(batches))), f"{PIECES}, {LOCAL}"), NAMES, capacity)
+
+
+def _repacked(local: DataFrame, names: list[str], capacity: int) -> DataFrame:
+    """``local``, packed within each partition, with the pieces of underfull bins packed anew."""
+    placed = cut(local)
     left = placed.where("open").select(*names, "node", "place")
     counts = cut(left.groupBy("node", "length").agg(F.count(F.lit(1)).alias("n")))
     # at most ``capacity`` rows
@@ -230,6 +257,6 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def op9_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    bounded_batches(spark)
+    bounded_batches(spark, SMALL)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(pieces(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=ALONE))
+    return pack_texts(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=ALONE)

@@ -20,15 +20,23 @@ BATCH = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
+#: The same and the rows that a scan decodes at once, for steps whose JVM has to stay small: each
+#: file that a task writes has the JVM start ``chmod``, and until that is executed the new process
+#: counts with all of the JVM's memory once more.
+SMALL = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20),
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+}
 #: Keys that are joined by broadcast, at most, and rows below which a key never is.
 HOT, LEAST = 1_000, 32
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session, where it has no setting of its own: texts
+def bounded_batches(spark: SparkSession, bounds: dict[str, str] = BATCH) -> None:
+    """Bounds the batches of this session, where it has no setting of its own: texts
     are long, and a batch is held several times over by both sides."""
     own = spark.conf.getAll
-    for name, value in BATCH.items():
+    for name, value in bounds.items():
         if name not in own:
             spark.conf.set(name, value)
 

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -197,6 +198,28 @@ def test_packing_of_unlike_partitions(spark, monkeypatch, long, short, more):
     assert len({r.sequence_id for r in got}) <= more * best
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_packing_of_texts_is_that_of_their_pieces(spark, parts):
+    rng = random.Random(4)
+    texts = [*TEXTS, *("w " * rng.randint(0, 1500) for _ in range(150))]
+    given = docs(spark, texts, [None, 5, 5, *range(7, 4 + len(texts))]).repartition(parts).cache()
+    want = packing.pack(packing.pieces(given, WORD)).collect()
+    got = packing.pack_texts(given.withColumnsRenamed({"doc_id": "k", "text": "t"}), WORD, text="t", key="k")
+    assert got.columns == [*packing.NAMES, "sequence_id", "offset"]
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want))
+
+
+def test_packing_holds_little(spark, monkeypatch, tmp_path):
+    """A task's words are in one Python worker, and its JVM holds small batches of texts."""
+    pq.write_table(pa.table({"doc_id": pa.array([1, 2], pa.int64()), "text": ["a b", None]}), tmp_path / "documents.parquet")
+    fresh, plans = spark.newSession(), []
+    monkeypatch.setattr(packing, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or shared.cut(df))
+    assert packing.op9_packing(fresh, str(tmp_path)).count() == 2
+    assert plans[0].count("InArrow") == 1
+    assert int(fresh.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+    assert int(fresh.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 2 << 20
+
+
 def test_packing_nothing(spark):
     assert packing.pack(packing.pieces(docs(spark, []), WORD)).count() == 0
 
